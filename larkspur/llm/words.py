@@ -31,7 +31,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def parts(column: pa.Array, most: int = 1 << 22):
+def parts(column: pa.Array, most: int = 1 << 20):
     """Slices of a text column of at most ``most`` bytes, or of one row: (first row, bytes, offsets)."""
     data, offs = utf8(column)
     lo, n = 0, len(offs) - 1
