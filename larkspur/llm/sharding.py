@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 #: 52 bits of the digest make a double in (0, 1) without rounding.
 _BITS = 4503599627370496.0
 #: Rows that one task numbers; a group of more rows is numbered in several tasks.
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 20_000
 _EXPAND = 10_000
 
 
