@@ -1,10 +1,4 @@
 """All registered queries of the engine's own operators, and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import extras, files, telemetry, text, vectors, web, workflow  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
