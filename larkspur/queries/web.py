@@ -1 +1,36 @@
-"""Queries."""
+"""URL and page queries over ``pages``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import web as O
+from ..sources.html import parse_pages
+from .base import query
+
+_URLS = """WITH u AS (SELECT url FROM pages UNION ALL SELECT 'ftp:' || url FROM pages UNION ALL SELECT replace(url, 'example.', 'example<') FROM pages UNION ALL SELECT 'http://localhost:' || page_id FROM pages UNION ALL SELECT 'http://10.0.0.' || page_id FROM pages UNION ALL SELECT url || ' ' FROM pages) """
+
+
+def urls(pages):
+    more = ["concat('ftp:', url)", "replace(url, 'example.', 'example<')", "concat('http://localhost:', page_id)", "concat('http://10.0.0.', page_id)", "concat(url, ' ')"]
+    return pages.select(F.explode(F.array("url", *[F.expr(e) for e in more])).alias("url"))
+
+
+query("validate_url", _URLS + r""", p AS (SELECT url, regexp_matches(url, '(?i)^https?://\S+$') AS syn, regexp_matches(url, '(?i)^https://') AS https, regexp_matches(url, '[<>]') AS odd, regexp_extract(url, '(?i)^https?://([^/?#]*)', 1) AS host FROM u),
+q AS (SELECT *, string_split(string_split(host, ':')[1], '.') AS parts FROM p), r AS (SELECT *, CASE WHEN host = '' THEN 'Missing domain' WHEN len(parts) < 2 THEN 'Missing top-level domain (TLD)' WHEN length(parts[-1]) < 2 OR NOT regexp_matches(parts[-1], '^\p{L}+$') THEN 'Invalid TLD: ' || parts[-1] END AS dom FROM q)
+SELECT url, (syn AND dom IS NULL AND NOT odd) AS valid, (syn AND https) AS uses_https, CASE WHEN NOT syn THEN 'Invalid URL syntax (should start with http:// or https://)' ELSE concat_ws(' | ', dom, CASE WHEN NOT https THEN 'Consider using HTTPS for secure connections' END, CASE WHEN odd THEN 'URL contains suspicious characters (< or >)' END) END AS issues FROM r""")(lambda load: O.validate_url(urls(load("pages"))))
+_BARE = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|(?i:<script\b.*?</script>|<style\b.*?</style>)', '', 'g')"
+_N = lambda tag: rf"len(regexp_extract_all(b, '(?i)<{tag}[\s>/]'))::BIGINT"
+query("page_flags", f"SELECT page_id, {_N('form')} AS forms, {_N('table')} AS tables, {_N('ul')} + {_N('ol')} AS lists, {_N('img')} AS images, " + ", ".join(f"{_N(f'h{i}')} AS h{i}" for i in range(1, 7)) + f" FROM (SELECT page_id, {_BARE} AS b FROM pages)")(lambda load: O.page_flags(load("pages")))
+query("heading_counts", f"SELECT page_id, {_N('h1')} AS h1, (({_N('h1')} > 0)::INT + ({_N('h1')} = 1)::INT) / 2.0::DOUBLE AS score FROM (SELECT page_id, {_BARE} AS b FROM pages)")(
+    lambda load: O.page_flags(load("pages")).select("page_id", "h1", (((F.col("h1") > 0).cast("int") + (F.col("h1") == 1).cast("int")) / F.lit(2.0)).alias("score")))
+query("ux_score", rf"SELECT page_id, (({_N('a')} > 5)::INT + ({_N('img')} > 0)::INT + ({_N('ul')} + {_N('ol')} > 0)::INT + ({_N('form')} > 0)::INT) / 4.0::DOUBLE AS score FROM (SELECT page_id, {_BARE} AS b FROM pages)")(
+    lambda load: O.page_flags(load("pages")).join(load("pages").select(F.col("page_id").alias("p"), F.regexp_count(O.bare(F.col("html")), F.lit(r"(?i)<a[\s>/]")).alias("links")), F.col("page_id") == F.col("p")).select("page_id", (O._sum(F.col("links") > 5, F.col("images") > 0, F.col("lists") > 0, F.col("forms") > 0) / F.lit(4.0)).alias("score")))
+query("status_class", "SELECT page_id, status, CASE WHEN status BETWEEN 200 AND 299 THEN 'Success' WHEN status BETWEEN 300 AND 399 THEN 'Redirection' WHEN status BETWEEN 400 AND 499 THEN 'Client Error' WHEN status BETWEEN 500 AND 599 THEN 'Server Error' ELSE 'Unknown' END AS status_class FROM (SELECT page_id, 100 + page_id % 7 * 100 AS status FROM pages)")(
+    lambda load: O.status_class(load("pages").select("page_id", (F.lit(100) + F.col("page_id") % 7 * 100).alias("status"))))
+query("page_title")(lambda load: parse_pages(load("pages")).select("page_id", "title", F.length("title").alias("length")))
+query("page_links")(lambda load: parse_pages(load("pages")).select("page_id", F.explode("links").alias("l")).select("page_id", "l.*"))
+query("page_text")(lambda load: O.page_text(parse_pages(load("pages"))))
+query("page_quick_score")(lambda load: O.page_scores(parse_pages(load("pages"))).select("page_id", "quick_score"))
+query("page_grade")(lambda load: O.page_scores(parse_pages(load("pages"))))
+query("web_pipeline")(lambda load: O.validate_url(load("pages")).where("valid").select("url").join(load("pages"), "url").transform(parse_pages).transform(O.page_scores))
