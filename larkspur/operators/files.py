@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import files as K
+from ..functions.times import epoch
 from ..registry import operator
 
 EXTENSIONS = (".txt", ".py", ".csv", ".pdf", ".jpg", ".zip", ".mp3", ".xyz")
@@ -17,7 +18,7 @@ EXTENSIONS = (".txt", ".py", ".csv", ".pdf", ".jpg", ".zip", ".mp3", ".xyz")
 def catalog(docs: DataFrame) -> DataFrame:
     """A catalog made of documents: directory by source, extension by id, an hour of age for each id."""
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    rows = docs.select("doc_id", F.col("source").alias("dir"), ext.alias("extension"), F.col("n_chars").alias("size"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("mtime"), F.col("text").alias("content"))
+    rows = docs.select("doc_id", F.col("source").alias("dir"), ext.alias("extension"), F.col("n_chars").alias("size"), (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("mtime"), F.col("text").alias("content"))
     name = F.concat(F.col("doc_id").cast("string"), F.col("extension"))
     return rows.select(F.concat_ws("/", "dir", name).alias("path"), name.alias("name"), "dir", "extension", "size", "mtime", "content", "doc_id")
 
@@ -46,7 +47,7 @@ def scan_stats(files: DataFrame) -> DataFrame:
     """Count, total and mean size, oldest, newest and largest file; ties by path."""
     first = lambda k: F.min_by("path", F.struct(k, "path"))
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.coalesce(F.floor(F.avg("size")), F.lit(0)).cast("long").alias("avg_size"),
-        F.min_by("path", F.struct("mtime", "path")).alias("oldest"), first((-F.unix_seconds("mtime")).alias("a")).alias("newest"), first((-F.col("size")).alias("a")).alias("largest"))
+        F.min_by("path", F.struct("mtime", "path")).alias("oldest"), first((-epoch(F.col("mtime"))).alias("a")).alias("newest"), first((-F.col("size")).alias("a")).alias("largest"))
 
 
 @operator(category="files")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import files as K
+from ..functions.times import epoch
 from ..operators import files as O
 from .base import query
 
@@ -74,7 +75,7 @@ files("batch_rename", r"SELECT path, regexp_replace(name, '([0-9]+)1\.', 'file_\
 files("retention", "SELECT path, dir FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY mtime DESC, path) AS r FROM c) WHERE r > 5")(
     lambda c: c.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("mtime"), "path"))).where("r > 5").select("path", "dir"))
 files("file_info", f"SELECT path, size, md5(content) AS md5, sha256(content) AS sha256, epoch(mtime)::BIGINT AS mtime_epoch, {CAT} AS category FROM c WHERE size < 10485760")(
-    lambda c: c.where("size < 10485760").select("path", "size", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), F.unix_seconds("mtime").alias("mtime_epoch"), K.category(F.col("extension")).alias("category")))
+    lambda c: c.where("size < 10485760").select("path", "size", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), epoch(F.col("mtime")).alias("mtime_epoch"), K.category(F.col("extension")).alias("category")))
 _TO = " UNION ALL ".join(f"SELECT '.{a}' AS e, '{b}' AS to_format" for a, bs in K.CONVERSIONS.items() for b in bs.split())
 files("conversion_suggestions", f", t AS ({_TO}) SELECT path, to_format, CASE WHEN (e, to_format) IN (('.csv', 'xlsx'), ('.txt', 'pdf')) THEN 'simple' WHEN (e, to_format) IN (('.pdf', 'docx'), ('.docx', 'pdf')) THEN 'complex' ELSE 'medium' END AS complexity FROM c JOIN t ON extension = e")(
     lambda c: c.select("path", "extension", F.explode(F.split(K.lookup(F.ltrim("extension", F.lit(".")), K.CONVERSIONS, None), " ")).alias("to_format")).select("path", "to_format", F.when(F.concat("extension", "to_format").isin(".csvxlsx", ".txtpdf"), "simple").when(F.concat("extension", "to_format").isin(".pdfdocx", ".docxpdf"), "complex").otherwise("medium").alias("complexity")))

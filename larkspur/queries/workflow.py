@@ -1 +1,34 @@
-"""Queries."""
+"""Prompt, workflow and image-metric queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.files import lookup
+from .base import query
+
+ALIASES = {"path": "file_path", "filename": "file_path", "file": "file_path", "text": "content", "data": "content", "type": "file_type", "format": "file_type", "output_format": "target_format", "conversion_format": "target_format", "language": "target_language", "lang": "target_language"}
+_KEYS = [*ALIASES, "content", "other"]
+_PICK = "[" + ", ".join(f"'{k}'" for k in _KEYS) + f"][(doc_id % {len(_KEYS)} + 1)::BIGINT]"
+query("param_normalize", f"SELECT doc_id, k AS given, CASE k " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items()) + f" ELSE k END AS name, substr(text, 1, 100000) AS value FROM (SELECT doc_id, text, {_PICK} AS k FROM documents)")(
+    lambda load: load("documents").select("doc_id", "text", F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("doc_id") % len(_KEYS)).cast("int")).alias("given")).select("doc_id", "given", F.coalesce(lookup(F.col("given"), ALIASES, None), "given").alias("name"), F.substring("text", 1, 100000).alias("value")))
+
+
+@query("dag_levels", "SELECT o_orderkey AS step, length(bin(o_orderkey)) - 1 AS level FROM (SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey BETWEEN 1 AND 255) AS t(o_orderkey, x)")
+def dag_levels(load):
+    """Levels of steps that depend on step div 2: a join a level, until no step is left."""
+    steps = load("orders").where("o_orderkey between 1 and 255").select(F.col("o_orderkey").alias("step"))
+    level = steps.where("step = 1").withColumn("level", F.lit(0).cast("long"))
+    out = level
+    for i in range(1, 8):
+        level = steps.join(level.select(F.col("step").alias("dep")), F.floor(F.col("step") / 2) == F.col("dep")).where("step > 1").select("step", F.lit(i).cast("long").alias("level"))
+        out = out.unionByName(level)
+    return out
+
+
+_M = "SELECT l_orderkey, l_linenumber, l_quantity / 20.0::DOUBLE AS bpp, l_extendedprice / 5000.0::DOUBLE AS mp, l_discount * 100 AS sharp, l_tax * 100 AS noise FROM lineitem"
+query("image_quality_band", f"WITH s AS (SELECT *, (CASE WHEN bpp > 2 THEN 2 WHEN bpp > 1 THEN 1 ELSE 0 END + CASE WHEN mp > 8 THEN 2 WHEN mp > 2 THEN 1 ELSE 0 END + CASE WHEN sharp > 10 THEN 2 WHEN sharp > 5 THEN 1 ELSE 0 END + CASE WHEN noise < 5 THEN 2 WHEN noise < 10 THEN 1 ELSE 0 END) AS score FROM ({_M})) SELECT l_orderkey, l_linenumber, score::BIGINT AS score, CASE WHEN score >= 6 THEN 'excellent' WHEN score >= 4 THEN 'good' WHEN score >= 2 THEN 'fair' ELSE 'poor' END AS band FROM s")(
+    lambda load: load("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 20.0).alias("bpp"), (F.col("l_extendedprice") / 5000.0).alias("mp"), (F.col("l_discount") * 100).alias("sharp"), (F.col("l_tax") * 100).alias("noise")).select("l_orderkey", "l_linenumber", (
+        F.when(F.col("bpp") > 2, 2).when(F.col("bpp") > 1, 1).otherwise(0) + F.when(F.col("mp") > 8, 2).when(F.col("mp") > 2, 1).otherwise(0) + F.when(F.col("sharp") > 10, 2).when(F.col("sharp") > 5, 1).otherwise(0) + F.when(F.col("noise") < 5, 2).when(F.col("noise") < 10, 1).otherwise(0)).cast("long").alias("score")).withColumn("band", F.when(F.col("score") >= 6, "excellent").when(F.col("score") >= 4, "good").when(F.col("score") >= 2, "fair").otherwise("poor")))
+query("text_pipeline")(lambda load: load("documents").select("doc_id", T.clean(F.col("text")).alias("text")).select("doc_id", T.first_n(F.col("text"), 200).alias("summary"), T.detected_language(F.col("text"))[0].alias("language")))
