@@ -84,12 +84,15 @@ def reading_level(flesch: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Blanks collapsed; punctuation spacing and repeats mended only where that changed the length."""
-    stripped, squeezed = strip(given(text)), strip(F.regexp_replace(given(text), f"{BLANK}+", " "))
+    """Blanks collapsed; punctuation spacing and repeats mended only where that changed the length.
+
+    A stripped text keeps its length if each of its blanks stands alone.
+    """
+    squeezed = strip(F.regexp_replace(given(text), f"{BLANK}+", " "))
     out = F.regexp_replace(squeezed, r" ([.,!?;:])", "$1")
     out = F.regexp_replace(F.regexp_replace(out, r"\( ", "("), r" \)", ")")
     out = F.regexp_replace(out, r"([.,!?])\1+", "$1")
-    return F.when(F.length(squeezed) == F.length(stripped), squeezed).otherwise(out)
+    return F.when(strip(given(text)).rlike(BLANK + "{2}"), out).otherwise(squeezed)
 
 
 def ingest_clean(text: Column) -> Column:
@@ -138,8 +141,8 @@ def translate_mock(text: Column, target: str) -> Column:
 
 
 def chunks_fixed(text: Column, size: int = 800, overlap: int = 100, least: int = 50) -> Column:
-    """Array of fixed windows that reach back by ``overlap``; the last ends with the text, short ones go."""
-    t = strip(given(text))
+    """Fixed windows of a stripped text that reach back by ``overlap``; the last ends with the text, short ones go."""
+    t = text
     n = F.length(t)
     last = F.greatest(F.ceil(n / F.lit(float(size))).cast("int") - 1, F.lit(0))
 

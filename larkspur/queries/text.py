@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import text as O
+from ..session import spread
 from .base import query
 
 W, WS = T.WORD, T.BLANK
@@ -40,12 +41,12 @@ BASE = f"""WITH d AS (
 
 
 def doc_query(name: str, operator, select: str, base: str = BASE, **params):
-    query(name, base + select)(lambda load: operator(load("documents"), **params))
+    query(name, base + select)(lambda load: operator(spread(load("documents")), **params))
 
 
 @query("corpus_by_lang", BASE + "SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_words, sum(ns)::BIGINT AS n_sentences, max(n)::BIGINT AS longest FROM n GROUP BY lang")
 def corpus_by_lang(load):
-    b = load("documents").select("lang", F.size(T.words(F.col("text"))).alias("w"), F.size(T.sentences(F.col("text"))).alias("s"))
+    b = spread(load("documents")).select("lang", F.size(T.words(F.col("text"))).alias("w"), F.size(T.sentences(F.col("text"))).alias("s"))
     return b.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("w").alias("n_words"), F.sum("s").alias("n_sentences"), F.max("w").cast("long").alias("longest"))
 
 
@@ -87,12 +88,12 @@ SELECT y.doc_id, y.pos::BIGINT AS pos, coalesce(total, 0) AS total, len(w)::BIGI
 _FIXED = f""", t AS (SELECT doc_id, {STRIP("text")} AS t FROM d), u AS (SELECT doc_id, t, length(t) AS n, greatest(ceil(length(t) / 800.0)::INT - 1, 0) AS last FROM t), v AS (SELECT *, unnest(range(0, last + 1)) AS i FROM u),
 x AS (SELECT doc_id, i, {STRIP("substr(t, (greatest(i * 800 - 100, 0) + 1)::BIGINT, (CASE WHEN i = last THEN n - greatest(i * 800 - 100, 0) ELSE (i + 1) * 800 - greatest(i * 800 - 100, 0) END)::BIGINT)")} AS c FROM v) """
 doc_query("chunk_fixed", O.chunk_fixed, _FIXED + r"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk, c AS text, len(regexp_extract_all(c, '[^\s\p{Z}\x0b\x1c-\x1f\x85]+'))::BIGINT AS word_count FROM x WHERE length(c) >= 50""")
-query("chunk_smart")(lambda load: O.chunk_smart(load("documents")))
+query("chunk_smart")(lambda load: O.chunk_smart(spread(load("documents"))))
 
 
 def columns(name_: str, sql: str, base: str = BASE, **cols):
     """A projection query: Column functions of text on one side, SQL over ``d`` on the other."""
-    query(name_, base + sql)(lambda load: load("documents").select("doc_id", *[c().alias(n) for n, c in cols.items()]))
+    query(name_, base + sql)(lambda load: spread(load("documents")).select("doc_id", *[c().alias(n) for n, c in cols.items()]))
 
 
 t = lambda: F.col("text")

@@ -26,3 +26,9 @@ def get_session(app: str = "larkspur", master: str | None = None, **settings: st
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables below ``sf_dir``; any path that Spark's readers open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """The table in as many partitions as there are cores, where its files give fewer; large inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
