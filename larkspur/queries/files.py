@@ -85,3 +85,7 @@ files("time_estimate", "SELECT dir, count(*) AS n, (count(*) * 2.0)::DOUBLE AS s
     lambda c: c.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).select("dir", "n", (F.col("n") * 2.0).alias("serial_s"), (F.col("n") * 2.0 / F.least(F.lit(4), F.col("n"))).alias("parallel_s"), F.when(F.col("n") > 10, "parallel").otherwise("serial").alias("mode")))
 files("batch_summary", "SELECT dir, count(*) AS processed, count(*) FILTER (WHERE size <= 5000) AS successful, count(*) FILTER (WHERE size > 5000) AS failed, floor(10000.0::DOUBLE * count(*) FILTER (WHERE size <= 5000) / count(*) + 0.5::DOUBLE) / 10000.0::DOUBLE AS success_rate FROM c GROUP BY dir")(
     lambda c: c.groupBy("dir").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("size") <= 5000).alias("successful"), F.count_if(F.col("size") > 5000).alias("failed")).withColumn("success_rate", F.floor(F.lit(10000.0) * F.col("successful") / F.col("processed") + 0.5) / 10000.0))
+from ..sources.sinks import column_widths  # noqa: E402
+
+files("column_widths", "SELECT unnest(['path', 'dir', 'size']) AS \"column\", unnest([least(greatest(max(length(path)), 4) + 2, 50), least(greatest(max(length(dir)), 3) + 2, 50), least(greatest(max(length(size::VARCHAR)), 4) + 2, 50)])::BIGINT AS width FROM c")(
+    lambda c: column_widths(c.select("path", "dir", "size")))
