@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 def block_pairs(size: Column, key: Column, block: int) -> Column:
     """array<struct<lo,hi,mine>>: the cells that a row of a group of ``size`` rows goes to.
 
-    The row's block is drawn from ``key``. Every pair of rows of the group meets in just one
+    A group of up to 8 blocks is cut into 8, as long as they hold an eighth of ``block`` or more each, so
+    that a group of middling size is many tasks too. The row's block is drawn from ``key``. Every pair of rows of the group meets in just one
     cell: rows of one block in (b, b), rows of blocks a < b in (a, b).
     """
-    n = F.ceil(size / F.lit(block)).cast("int")
+    n = F.greatest(F.ceil(size / F.lit(block)), F.least(F.lit(8), F.ceil(size / F.lit(max(1, block // 8))))).cast("int")
     mine = F.pmod(F.xxhash64(key, F.lit("block")), n.cast("long")).cast("int")
     return F.transform(
         F.sequence(F.lit(0), n - 1),
