@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.files import lookup
+from ..operators.workflow import step_levels
 from .base import query
 
 ALIASES = {"path": "file_path", "filename": "file_path", "file": "file_path", "text": "content", "data": "content", "type": "file_type", "format": "file_type", "output_format": "target_format", "conversion_format": "target_format", "language": "target_language", "lang": "target_language"}
@@ -15,16 +16,8 @@ query("param_normalize", f"SELECT doc_id, k AS given, CASE k " + " ".join(f"WHEN
     lambda load: load("documents").select("doc_id", "text", F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("doc_id") % len(_KEYS)).cast("int")).alias("given")).select("doc_id", "given", F.coalesce(lookup(F.col("given"), ALIASES, None), "given").alias("name"), F.substring("text", 1, 100000).alias("value")))
 
 
-@query("dag_levels", "SELECT o_orderkey AS step, length(bin(o_orderkey)) - 1 AS level FROM (SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey BETWEEN 1 AND 255) AS t(o_orderkey, x)")
-def dag_levels(load):
-    """Levels of steps that depend on step div 2: a join a level, until no step is left."""
-    steps = load("orders").where("o_orderkey between 1 and 255").select(F.col("o_orderkey").alias("step"))
-    level = steps.where("step = 1").withColumn("level", F.lit(0).cast("long"))
-    out = level
-    for i in range(1, 8):
-        level = steps.join(level.select(F.col("step").alias("dep")), F.floor(F.col("step") / 2) == F.col("dep")).where("step > 1").select("step", F.lit(i).cast("long").alias("level"))
-        out = out.unionByName(level)
-    return out
+query("dag_levels", "SELECT o_orderkey AS step, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS level FROM orders")(
+    lambda load: step_levels(load("orders").select(F.col("o_orderkey").alias("step"), F.floor(F.col("o_orderkey") / 2).cast("long").alias("dep"))))
 
 
 _M = "SELECT l_orderkey, l_linenumber, l_quantity / 20.0::DOUBLE AS bpp, l_extendedprice / 5000.0::DOUBLE AS mp, l_discount * 100 AS sharp, l_tax * 100 AS noise FROM lineitem"
