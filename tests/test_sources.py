@@ -41,3 +41,39 @@ def test_workbook(spark):
     data = sinks.xlsx(spark.createDataFrame([(1, "a<b"), (2, None)], "n int, t string"))
     sheet = zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
     assert sheet.count("<row>") == 3 and "a&lt;b" in sheet
+
+
+def test_page_parts():
+    p = html.parse(1, "http://a.com/x/", '<meta name="k" content="1"><meta property="k" content="2"><meta name="e" content=""><h2> A <b>b</b></h2><h3> </h3><img src="i.png" width=3><img alt="no source"><a href="http://[bad">z</a>')
+    assert (p["meta"], p["heading_texts"]) == ([("k", "2")], [{"level": "h2", "text": "A b"}])
+    assert p["image_list"] == [{"src": "http://a.com/x/i.png", "alt": "", "title": "", "width": "3", "height": ""}]
+    assert p["links"][0]["href"] == "http://[bad"
+
+
+def _docx() -> bytes:
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>".format
+    row = "<w:tr>" + "".join(f"<w:tc>{p(x)}</w:tc>" for x in ("a", " ", "b")) + "</w:tr>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{p("one")}<w:tbl>{row}</w:tbl>{p(" ")}{p("two")}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_ingest(spark, tmp_path):
+    from larkspur.sources import ingest
+
+    files_ = {"a.txt": "Café".encode("latin-1"), "b.csv": b"n,v\nx,1\n\n", "c.json": b'{"a": {"b": [1, null]}, "c": {}}', "d.docx": _docx(), "e.docx": b"no archive", "f.TSV": b"p\tq\n", "g.html": b"<p>one</p>\n<script>x</script>two", "h.up": b"abc"}
+    for name, data in files_.items():
+        (tmp_path / name).write_bytes(data)
+    ingest.register_reader("UP", lambda b: b.decode().upper())
+    try:
+        rows = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in ingest.read_documents(spark, str(tmp_path)).collect()}
+    finally:
+        del ingest.READERS[".up"]
+    assert {k: v[0] for k, v in rows.items()} == {"a.txt": "Café", "b.csv": "n | v\nx | 1", "c.json": "a: b[0]: 1\na: b[1]: None", "d.docx": "one\ntwo\na | b", "e.docx": None, "f.TSV": "p | q", "g.html": "one\ntwo", "h.up": "ABC"}
+    assert "BadZipFile" in rows["e.docx"][1] and not any(v[1] for k, v in rows.items() if k != "e.docx")
+    small = ingest.read_documents(spark, str(tmp_path), ["CSV"], most_bytes=3).collect()
+    assert [(r["text"], r["error"]) for r in small] == [(None, "file too large")]
+    docs = spark.createDataFrame([("p", "Some words. " * 200), ("q", None), ("r", "  ")], "path string, text string")
+    assert {r["path"] for r in ingest.ingest(docs).collect()} == {"p"}
