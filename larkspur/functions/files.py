@@ -35,6 +35,47 @@ CONVERSIONS = {
     "jpg": "png webp pdf", "jpeg": "png webp pdf", "png": "jpg webp pdf", "gif": "png jpg pdf", "webp": "png jpg pdf",
     "json": "csv yaml xml", "yaml": "json xml", "xml": "json yaml",
 }
+#: Categories as the scanner, the file record and the type detector have them.
+SCANNED = {
+    "document": ".txt .md .pdf .doc .docx .rtf",
+    "code": ".py .js .html .css .java .cpp .c .h",
+    "image": ".jpg .jpeg .png .gif .bmp .tiff .webp",
+    "audio": ".mp3 .wav .flac .aac .ogg",
+    "video": ".mp4 .avi .mov .mkv .webm",
+    "archive": ".zip .tar .gz .7z .rar",
+    "spreadsheet": ".xls .xlsx .csv",
+    "presentation": ".ppt .pptx",
+}
+RECORDED = {
+    "text": ".txt .md .rst",
+    "code": ".py .js .html .css",
+    "image": ".jpg .jpeg .png .gif",
+    "document": ".pdf .doc .docx",
+    "spreadsheet": ".xls .xlsx .csv",
+    "archive": ".zip .tar .gz",
+    "audio": ".mp3 .wav .flac",
+    "video": ".mp4 .avi .mov",
+}
+DETECTED = {
+    "document": ".pdf .docx .doc .txt .rtf .odt",
+    "spreadsheet": ".csv .xlsx .xls .ods",
+    "image": ".jpg .jpeg .png .gif .bmp .webp .tiff",
+    "presentation": ".pptx .ppt .odp",
+    "data": ".json .yaml .xml",
+}
+#: Programming languages by extension, conversion tools by both extensions, messages that let a file be skipped.
+LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".java": "java", ".cpp": "cpp", ".c": "c", ".html": "html", ".css": "css", ".php": "php", ".rb": "ruby", ".go": "go",
+    ".rs": "rust", ".ts": "typescript", ".sql": "sql", ".json": "json", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".md": "markdown", ".txt": "text",
+}
+TOOLS = (
+    (".csv", ".xlsx", "convert_csv_to_xlsx"),
+    (".docx", ".pdf", "convert_docx_to_pdf"),
+    (".doc", ".pdf", "convert_docx_to_pdf"),
+    (".pdf", ".docx", "convert_pdf_to_docx"),
+    (".txt", ".pdf", "convert_txt_to_pdf"),
+)
+SKIPPED = ("Permission denied", "File not found", "Unsupported format", "Corrupted file")
 MAGIC = (
     ("25504446", "application/pdf"), ("504B0304", "application/zip"), ("D0CF11E0", "application/msword"), ("89504E470D0A1A0A", "image/png"),
     ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("424D", "image/bmp"), ("52494646", "video/avi"), ("1A45DFA3", "video/webm"),

@@ -159,3 +159,24 @@ def sanitize(text: Column) -> Column:
 
 def clean_filename(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), r"^ +| +\z", ""), r"^\.+|\.+\z", "")
+
+
+def at_least(summary: Column, text: Column, n: int) -> Column:
+    """The summary, or the text's first n sentences where the summary has fewer than n."""
+    return F.when(F.size(sentences(summary)) < n, F.array_join(F.slice(sentences(text), 1, n), " ")).otherwise(given(summary))
+
+
+def merge(left: Column, right: Column) -> Column:
+    """Both maps in one; where both have a key, the right one's value counts. A null map is empty."""
+    own = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
+    return F.when(right.isNull(), left).when(left.isNull(), right).otherwise(F.map_concat(own, right))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and no more; null and empty texts are not.
+
+    The parser stops after a first value, so the text is parsed inside an array and inside an object:
+    no text with a remainder is whole in both.
+    """
+    inside = [F.try_parse_json(F.concat(F.lit(a), given(text), F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"v":', "}"))]
+    return inside[0] & inside[1] & (F.trim(given(text)) != "")

@@ -92,3 +92,38 @@ def test_stream_equals_table(spark, tmp_path):
         q = q.option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, want.collect()))
+
+
+def test_step_levels(spark):
+    from larkspur.operators.workflow import step_levels
+
+    def levels(rows):
+        return {r["step"]: r["level"] for r in step_levels(spark.createDataFrame(rows, "step long, dep long")).collect()}
+
+    assert levels([(i, i - 1) for i in range(20)]) == {i: i for i in range(20)}
+    assert levels([(1, 1), (2, None), (3, 99), (4, 3)]) == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert levels([]) == {}
+    with pytest.raises(ValueError):
+        levels([(1, 2), (2, 1)])
+
+
+def test_record_operators(spark):
+    from larkspur.operators import records as R
+
+    words = spark.createDataFrame([(1, "ab", 90), (1, " ", 99), (1, "c", 0), (1, None, 50), (2, "x", -1)], "image long, word string, conf long")
+    r = R.ocr_words(words).collect()
+    assert [(x["image"], x["word_count"], x["character_count"], x["average_confidence"], x["quality"]) for x in r] == [(1, 1, 2, 90.0, "excellent")]
+    sizes = spark.createDataFrame([(1920, 1080), (7, 0), (0, 0), (None, 3)], "width long, height long")
+    assert [x["aspect"] for x in R.image_basics(sizes).collect()] == ["16:9", "1:0", None, None]
+    hosts = spark.createDataFrame([("a", True, True, None, True), ("b", None, True, False, False)], "host string, resolvable boolean, reachable boolean, http boolean, https boolean")
+    assert [(x["overall"], x["issues"]) for x in R.connectivity(hosts).collect()] == [("healthy", ""), ("degraded", "DNS resolution failed; HTTP/HTTPS services are not accessible")]
+    calls = spark.createDataFrame([(1, ["b", "z", "y"]), (2, None)], "call long, given array<string>")
+    assert [(x["missing"], x["extra"]) for x in R.parameter_sets(calls, ["a", "b"]).collect()] == [("a", "y,z"), ("a,b", "")]
+
+
+def test_json_and_maps(spark):
+    for text, ok in ((None, False), ("", False), ("{}", True), ('{"k": 1}', True), ('"k": 69}', False), ('{"k": 69', False), ("1] 2", False), ("1, 2", False), ("[1]", True), ("nope", False)):
+        assert spark.createDataFrame([(text,)], "t string").select(T.is_json(F.col("t"))).first()[0] is ok, text
+    m = spark.sql("select map('a', 1, 'b', 2) as x, map('b', 3, 'c', 4) as y, cast(null as map<string,int>) as z")
+    assert m.select(T.merge(F.col("x"), F.col("y")).alias("m")).first()["m"] == {"a": 1, "b": 3, "c": 4}
+    assert m.select(T.merge(F.col("x"), F.col("z")).alias("m")).first()["m"] == {"a": 1, "b": 2}
