@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import files as K
-from ..functions.text import per, rnd
+from ..functions.text import per, rnd, strip
 from ..registry import operator
 
 
@@ -152,3 +152,28 @@ def parameter_sets(calls: DataFrame, required: list[str]) -> DataFrame:
     given = F.coalesce("given", F.array().cast("array<string>"))
     sides = {"missing": F.array_except(need, given), "extra": F.array_except(given, need)}
     return calls.select("call", *[F.array_join(F.array_sort(c), ",").alias(k) for k, c in sides.items()])
+
+
+@operator(category="images")
+def image_collection(images: DataFrame) -> DataFrame:
+    """Images (format, mode, width, height) by format: counts, sizes, and advice where over half are grey (mode L)."""
+    size = [f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))]
+    rows = images.groupBy("format").agg(one().alias("n"), F.count_if(F.col("mode") == "L").alias("n_grey"), *size, rnd(F.avg("width"), 2).alias("avg_width"), rnd(F.avg("height"), 2).alias("avg_height"))
+    return rows.withColumn("advice", F.when(F.col("n_grey") * 2 > F.col("n"), "store as greyscale"))
+
+
+@operator(category="files")
+def table_clean(tables: DataFrame) -> DataFrame:
+    """Tables (id, cells: array of rows) with stripped cells, without blank rows, all rows as wide as the widest."""
+    rows = F.transform(F.coalesce("cells", F.array().cast("array<array<string>>")), lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))))
+    full = tables.withColumn("cells", F.filter(rows, lambda r: F.exists(r, lambda c: c != "")))
+    full = full.withColumn("_width", F.coalesce(F.array_max(F.transform("cells", F.size)), F.lit(0)))
+    return full.withColumn("cells", F.transform("cells", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("_width") - F.size(r))))).drop("_width")
+
+
+@operator(category="telemetry")
+def progress_states(events: DataFrame, done: str = "purchase", failed: str = "error") -> DataFrame:
+    """Each operation's (key, kind, t) events: steps, span, and a status of completed, failed (never completed) or active."""
+    ended, broke = F.bool_or(F.col("kind") == done), F.bool_or(F.col("kind") == failed)
+    rows = events.groupBy("key").agg(one().alias("steps"), (F.max("t") - F.min("t")).alias("span_s"), ended.alias("e"), broke.alias("b"))
+    return rows.select("key", "steps", "span_s", F.when(F.col("e"), "completed").when(F.col("b"), "failed").otherwise("active").alias("status"))

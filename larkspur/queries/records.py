@@ -11,7 +11,7 @@ from ..operators import records as O
 from ..operators import web
 from ..session import spread
 from ..sources.html import parse_pages
-from .base import query
+from .base import ORACLE_SQL, query
 from .files import case, files
 from .text import BASE, STRIP, WS, R
 from .web import _URLS, urls
@@ -107,3 +107,12 @@ query("ocr_words", f"WITH w AS (SELECT l_orderkey AS image, CASE WHEN l_linenumb
     lambda load: O.ocr_words(load("lineitem").select(F.col("l_orderkey").alias("image"), F.when(F.col("l_linenumber") % 5 == 0, "  ").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("word"), (F.col("l_quantity") * 2 - 4).cast("long").alias("conf"))))
 query("page_regions", "SELECT l_orderkey AS page, l_linenumber * 10 AS x0, l_quantity * 16 AS y0, l_quantity * 16 + 20 AS y1, 800.0::DOUBLE AS height, CASE WHEN l_quantity * 16 + 20 <= 800.0::DOUBLE * 0.15::DOUBLE THEN 'header' WHEN l_quantity * 16 >= 800.0::DOUBLE * 0.85::DOUBLE THEN 'footer' ELSE 'body' END AS region FROM lineitem")(
     lambda load: O.page_regions(load("lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 10).alias("x0"), (F.col("l_quantity") * 16).alias("y0"), (F.col("l_quantity") * 16 + 20).alias("y1"), F.lit(800.0).alias("height"))))
+query("image_collection", f"WITH i AS (SELECT l_returnflag AS format, CASE WHEN l_linestatus = 'O' THEN 'L' ELSE 'RGB' END AS mode, l_partkey % 4000 + 1 AS width, l_suppkey % 3000 + 1 AS height FROM lineitem) SELECT format, count(*) AS n, count(*) FILTER (WHERE mode = 'L') AS n_grey, min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height, {R('avg(width)', 2)} AS avg_width, {R('avg(height)', 2)} AS avg_height, CASE WHEN count(*) FILTER (WHERE mode = 'L') * 2 > count(*) THEN 'store as greyscale' END AS advice FROM i GROUP BY 1")(
+    lambda load: O.image_collection(load("lineitem").select(F.col("l_returnflag").alias("format"), F.when(F.col("l_linestatus") == "O", "L").otherwise("RGB").alias("mode"), (F.col("l_partkey") % 4000 + 1).alias("width"), (F.col("l_suppkey") % 3000 + 1).alias("height"))))
+docs("table_clean", f"WITH r AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda r: list_transform(string_split(r, ','), lambda c: {STRIP('c')})), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS rows FROM documents), w AS (SELECT *, coalesce(list_max(list_transform(rows, lambda r: len(r))), 0) AS width FROM r) "
+     "SELECT doc_id, width::BIGINT AS width, array_to_string(list_transform(rows, lambda r: array_to_string(r, '|') || repeat('|', width - len(r))), chr(10)) AS cleaned FROM w")(
+    lambda d: O.table_clean(d.select("doc_id", F.transform(F.split(T.given(F.col("text")), "\n"), lambda r: F.split(r, ",")).alias("cells"))).select("doc_id", F.coalesce(F.array_max(F.transform("cells", F.size)), F.lit(0)).cast("long").alias("width"), F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), "\n").alias("cleaned")))
+events("progress_states", "SELECT user_id AS key, count(*) AS steps, max(epoch(date_trunc('second', ts)))::BIGINT - min(epoch(date_trunc('second', ts)))::BIGINT AS span_s, CASE WHEN bool_or(event_type = 'purchase') THEN 'completed' WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'active' END AS status FROM events GROUP BY 1")(
+    lambda e: O.progress_states(e.select(F.col("user_id").alias("key"), F.col("event_type").alias("kind"), epoch(F.date_trunc("second", "ts")).alias("t"))))
+docs("summary_compression", f"SELECT lang, {R('avg(length(summary)::DOUBLE / greatest(length(text), 1))', 3)} AS mean_ratio FROM ({ORACLE_SQL['summary_first_n']}) JOIN (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents) USING (doc_id) GROUP BY 1")(
+    lambda d: d.groupBy("lang").agg(T.rnd(F.avg(F.length(T.first_n(F.col("text"), 200)) / F.greatest(F.length(T.given(F.col("text"))), F.lit(1))), 3).alias("mean_ratio")))

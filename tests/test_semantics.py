@@ -127,3 +127,24 @@ def test_json_and_maps(spark):
     m = spark.sql("select map('a', 1, 'b', 2) as x, map('b', 3, 'c', 4) as y, cast(null as map<string,int>) as z")
     assert m.select(T.merge(F.col("x"), F.col("y")).alias("m")).first()["m"] == {"a": 1, "b": 3, "c": 4}
     assert m.select(T.merge(F.col("x"), F.col("z")).alias("m")).first()["m"] == {"a": 1, "b": 2}
+
+
+def test_tables_and_states(spark):
+    from larkspur.operators import records as R
+
+    t = spark.createDataFrame([(1, [[" a ", None], [" ", ""], ["b", "c", "d"]]), (2, None), (3, [])], "id long, cells array<array<string>>")
+    assert [r["cells"] for r in R.table_clean(t).orderBy("id").collect()] == [[["a", "", ""], ["b", "c", "d"]], [], []]
+    e = spark.createDataFrame([(1, "view", 3), (1, "purchase", 9), (2, "error", 1), (3, None, 5)], "key long, kind string, t long")
+    assert [(r["key"], r["span_s"], r["status"]) for r in R.progress_states(e).orderBy("key").collect()] == [(1, 6, "completed"), (2, 0, "failed"), (3, 0, "active")]
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from larkspur.__main__ import main
+
+    main(["operators", "--category", "text"])
+    assert "readability" in capsys.readouterr().out
+    main(["query", "corpus_by_lang", "--tables", sf, "--out", str(tmp_path / "q")])
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 4
+    (tmp_path / "a.txt").write_text("Some words here. " * 20)
+    main(["ingest", str(tmp_path / "a.txt")])
+    assert "Some words" in capsys.readouterr().out
