@@ -47,11 +47,12 @@ files("duplicate_groups", "SELECT md5(content) AS md5, count(*) AS n, string_agg
 files("dir_sizes", "SELECT dir, sum(size)::BIGINT AS total_size, count(*) AS n FROM c GROUP BY dir ORDER BY total_size DESC, dir LIMIT 10")(
     lambda c: c.groupBy("dir").agg(F.sum("size").alias("total_size"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("total_size"), "dir").limit(10))
 files("flatten_names", r"SELECT path, CASE WHEN n = 0 THEN t ELSE regexp_replace(t, '(\.[^.]*)$', '_' || n || '\1') END AS target FROM (SELECT path, t, row_number() OVER (PARTITION BY t ORDER BY path) - 1 AS n FROM (SELECT path, regexp_extract(dir, '^[^0-9]*') || extension AS t FROM c))")(O.flatten_names)
-files("compare_sets", "SELECT name, CASE WHEN a AND b THEN 'both' WHEN a THEN 'first' ELSE 'second' END AS side FROM (SELECT name, bool_or(doc_id % 2 = 0) AS a, bool_or(doc_id % 3 <> 0) AS b FROM c GROUP BY name) WHERE a OR b")(
-    lambda c: O.compare_sets(c.where("doc_id % 2 = 0"), c.where("doc_id % 3 <> 0")))
+query("compare_sets", CATALOG + f", b AS (SELECT DISTINCT c_custkey || {_EXT}[(c_custkey % 4 + 1)::BIGINT] AS other FROM customer), a AS (SELECT DISTINCT name AS own FROM c) SELECT coalesce(own, other) AS name, CASE WHEN other IS NULL THEN 'first' WHEN own IS NULL THEN 'second' ELSE 'both' END AS side FROM a FULL JOIN b ON own = other")(
+    lambda load: O.compare_sets(O.catalog(load("documents")), load("customer").select(F.concat(F.col("c_custkey").cast("string"), F.element_at(F.array(*[F.lit(e) for e in O.EXTENSIONS]), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("name"))))
 files("validate_files", "SELECT path, concat_ws('; ', CASE WHEN size = 0 THEN 'File is empty' END, CASE WHEN size > 5000 THEN 'File too large' END, CASE WHEN extension NOT IN ('.txt', '.csv', '.pdf') THEN 'Extension not allowed' END) AS errors, (size BETWEEN 1 AND 5000 AND extension IN ('.txt', '.csv', '.pdf')) AS valid FROM c")(O.validate_files)
-files("human_size", "SELECT path, CASE WHEN size = 0 THEN '0 B' WHEN size >= 1024 THEN printf('%.2f KB', floor(size / 1024.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE) ELSE printf('%.2f B', size::DOUBLE) END AS human FROM c WHERE size < 1048576")(
-    lambda c: c.where("size < 1048576").select("path", K.human_size(F.col("size")).alias("human")))
+_IN = lambda unit, by: f"printf('%.2f {unit}', floor(size / {by}.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE)"
+files("human_size", f"SELECT path, CASE WHEN size = 0 THEN '0 B' WHEN size >= 1099511627776 THEN {_IN('TB', 1024**4)} WHEN size >= 1073741824 THEN {_IN('GB', 1024**3)} WHEN size >= 1048576 THEN {_IN('MB', 1024**2)} WHEN size >= 1024 THEN {_IN('KB', 1024)} ELSE {_IN('B', 1)} END AS human FROM (SELECT path, size * [1, 1000, 1000000, 1000000000][(doc_id % 4 + 1)::BIGINT] AS size FROM c)")(
+    lambda c: c.select("path", K.human_size(F.col("size") * F.element_at(F.array(*[F.lit(1000**i) for i in range(4)]), (F.col("doc_id") % 4 + 1).cast("int"))).alias("human")))
 files("mime_category", f"SELECT path, {KIND} AS mime, CASE WHEN starts_with({KIND}, 'text/') THEN 'document' WHEN starts_with({KIND}, 'image/') THEN 'image' WHEN starts_with({KIND}, 'audio/') THEN 'audio' ELSE 'binary' END AS category FROM c")(
     lambda c: c.select("path", K.lookup(F.col("extension"), K.MIME, "application/octet-stream").alias("mime")).withColumn("category", K.mime_category(F.col("mime"))))
 _HEAD = "[" + ", ".join(f"'{h}'" for h, _ in K.MAGIC) + f"][(doc_id % {len(K.MAGIC) + 3} + 1)::BIGINT]"
@@ -74,8 +75,8 @@ files("batch_rename", r"SELECT path, regexp_replace(name, '([0-9]+)1\.', 'file_\
     lambda c: c.select("path", "name", F.regexp_replace("name", r"([0-9]+)1\.", "file_$1_.").alias("new_name")).where("name <> new_name").drop("name"))
 files("retention", "SELECT path, dir FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY mtime DESC, path) AS r FROM c) WHERE r > 5")(
     lambda c: c.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("mtime"), "path"))).where("r > 5").select("path", "dir"))
-files("file_info", f"SELECT path, size, md5(content) AS md5, sha256(content) AS sha256, epoch(mtime)::BIGINT AS mtime_epoch, {CAT} AS category FROM c WHERE size < 10485760")(
-    lambda c: c.where("size < 10485760").select("path", "size", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), epoch(F.col("mtime")).alias("mtime_epoch"), K.category(F.col("extension")).alias("category")))
+files("file_info", f"SELECT path, size, CASE WHEN size < 10485760 THEN md5(content) END AS md5, CASE WHEN size < 10485760 THEN sha256(content) END AS sha256, epoch(mtime)::BIGINT AS mtime_epoch, {CAT} AS category FROM c")(
+    lambda c: c.select("path", "size", F.when(F.col("size") < 10485760, F.md5("content")).alias("md5"), F.when(F.col("size") < 10485760, F.sha2("content", 256)).alias("sha256"), epoch(F.col("mtime")).alias("mtime_epoch"), K.category(F.col("extension")).alias("category")))
 _TO = " UNION ALL ".join(f"SELECT '.{a}' AS e, '{b}' AS to_format" for a, bs in K.CONVERSIONS.items() for b in bs.split())
 files("conversion_suggestions", f", t AS ({_TO}) SELECT path, to_format, CASE WHEN (e, to_format) IN (('.csv', 'xlsx'), ('.txt', 'pdf')) THEN 'simple' WHEN (e, to_format) IN (('.pdf', 'docx'), ('.docx', 'pdf')) THEN 'complex' ELSE 'medium' END AS complexity FROM c JOIN t ON extension = e")(
     lambda c: c.select("path", "extension", F.explode(F.split(K.lookup(F.ltrim("extension", F.lit(".")), K.CONVERSIONS, None), " ")).alias("to_format")).select("path", "to_format", F.when(F.concat("extension", "to_format").isin(".csvxlsx", ".txtpdf"), "simple").when(F.concat("extension", "to_format").isin(".pdfdocx", ".docxpdf"), "complex").otherwise("medium").alias("complexity")))
