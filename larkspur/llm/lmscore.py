@@ -2,14 +2,16 @@
 
 Both models count the same words with the same smoothing: the background all documents, the target
 those that are labelled good. A document's score is the mean over its words of the target's loss less
-the background's; lower is closer to the target. Counts are taken over all documents. They are summed
-in each task as arrays with a fixed number of slots, and moved as sparse blocks of these arrays.
+the background's; lower is closer to the target. Counts are taken over all documents, and every word
+and every pair of words has counts of its own.
+
+Documents are dealt into blocks of some MB. A block sends its distinct words and pairs, as sorted
+hashes with their counts, to the parts of the range of hashes; a part adds up what all blocks have sent
+and replies to each with the sums of what it asked for, in the same order. So no step holds a whole model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,160 +21,126 @@ from ..storage import Scratch
 from .joins import sized_join
 from .words import hashes, mix, parts, spans
 
-#: Words with an id of their own, at most; all others are one unknown word.
-VOCABULARY = 1 << 16
-#: Slots of the bigram counts; bigrams that fall into one slot share their count.
-SLOTS = 1 << 20
-_BLOCK = 1024
+#: Bytes of text in a block, and bytes of text whose words and pairs are one part, about.
+BLOCK, PART = 8 << 20, 16 << 20
 #: Weight of the unigram model, in counts, and of a word without counts.
 MU, ALPHA = 20.0, 0.1
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """The hashes, ascending, of the words that are frequent enough in all documents.
-
-    The least frequency is the lowest by which no more than ``size`` words are left. It is read off
-    a histogram of frequencies, exact up to 4,096 and in steps of 1/64 of a power of two above.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-
-        def fold():
-            nonlocal keys, counts, held
-            word, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
-            both, of = np.unique(np.concatenate([keys, word]), return_inverse=True)
-            keys, counts, held = both, np.bincount(of, np.concatenate([counts, n]), len(both)).astype(np.int64), []
-
-        for batch in batches:
-            for _, data, offs in parts(batch.column(0)):
-                start, end, _ = spans(data, offs)
-                held.append(hashes(data, start, end))
-                if len(held) >= 4:
-                    fold()
-            # a task's distinct words go out before they take much memory
-            if len(keys) > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
-                keys, counts = keys[:0], counts[:0]
-        fold()
-        for i in range(0, len(keys), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 65536].view(np.int64)), pa.array(counts[i : i + 65536])], ["word", "n"])
-
-    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long")
-    counted = Scratch(docs.sparkSession, "words").keep(words.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    n = F.col("n").cast("double")
-    level = F.when(n <= 4096, n).otherwise(4096 + F.floor((F.log2(n) - 12) * 64))
-    least, held = None, 0
-    for row in sorted(counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r["level"]):
-        held += row["words"]
-        if held > size:
-            break
-        least = row["least"]
-    top = counted.where(F.col("n") >= F.lit(least)).select("word").toPandas() if least is not None else counted.limit(0).select("word").toPandas()
-    return np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
-
-
-def word_ids(vocab: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the words (len(vocab) if unknown), slots of the bigrams, and the n + 1 first words."""
-    start, end, first = spans(data, offs)
-    h = hashes(data, start, end)
-    unknown = len(vocab)
-    at = np.minimum(np.searchsorted(vocab, h), max(unknown - 1, 0))
-    ids = np.where(vocab[at] == h, at, unknown) if unknown else np.zeros(len(h), np.int64)
-    before = np.full(len(ids), unknown + 1)
-    before[1:] = ids[:-1]
-    begins = first[:-1][np.diff(first) > 0]
-    before[begins] = unknown + 1
-    slot = (mix((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
-    return ids, slot, first
-
-
-def count(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram and bigram counts, [background, target] by slot, of documents (text, target)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    width = len(vocab) + 2
-    total = -(-(width + SLOTS) // _BLOCK) * _BLOCK
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, total), np.int64)
-        vocab = shared.value
-        for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, data, offs in parts(batch.column(0)):
-                ids, slot, first = word_ids(vocab, data, offs)
-                good = np.repeat(target[lo : lo + len(offs) - 1], np.diff(first))
-                for m, mask in enumerate((slice(None), good)):
-                    sums[m, :width] += np.bincount(ids[mask], minlength=width)
-                    sums[m, width : width + SLOTS] += np.bincount(slot[mask], minlength=SLOTS)
-        blocks = sums.reshape(-1, _BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        for i in range(0, len(some), 1024):
-            own = some[i : i + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([b.tobytes() for b in blocks[own]], pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(c.as_buffer(), np.int64)
-                sums[b] = sums[b] + own if b in sums else own
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
-
-    schema = "block long, counts binary"
-    rows = docs.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).toPandas()
-    out = np.zeros((2 * total // _BLOCK, _BLOCK), np.int64)
-    for b, c in zip(rows["block"], rows["counts"]):
-        out[b] = np.frombuffer(c, np.int64)
-    out = out.reshape(2, total)
-    return out[:, :width], out[:, width : width + SLOTS]
-
-
-def losses(unigrams: np.ndarray, bigrams: np.ndarray, before: np.ndarray, ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
+#: Key of a text's start. Keys of words are even and keys of pairs odd; this is the least of all.
+START = np.uint64(0)
+
+
+def grams(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of texts, ascending, each word's place and its pair's among them, which words are first, and the texts' sizes."""
+    held, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        for _, data, offs in parts(chunk):
+            start, end, first = spans(data, offs)
+            held.append(hashes(data, start, end) & ~np.uint64(1))
+            sizes.append(np.diff(first))
+    h, n = np.concatenate(held), np.concatenate(sizes)
+    begins = (np.cumsum(n) - n)[n > 0]
+    before = np.full(len(h), START)
+    before[1:] = h[:-1]
+    before[begins] = START
+    pair = mix(before * np.uint64(0x9FB21C651E98DF25) + h) | np.uint64(1)
+    keys, at = np.unique(np.concatenate([[START], h, pair]), return_inverse=True)
+    return keys, at[1 : len(h) + 1], at[len(h) + 1 :], begins, n
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpack(raw: pa.Scalar, n: int) -> np.ndarray:
+    out = np.frombuffer(raw.as_buffer(), np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw.as_buffer().slice(n).to_pybytes(), np.int64)
+    return out
+
+
+def asked(docs: DataFrame, bits: int) -> DataFrame:
+    """(block, part, keys, n, good): the words and pairs of each block of (block, text, target), by part, with their counts in all and in target documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, word, pair, _, size = grams(table["text"])
+        target = table["target"].to_numpy().astype(bool)
+        good = np.repeat(target, size)
+        n = np.bincount(word, minlength=len(keys)) + np.bincount(pair, minlength=len(keys))
+        t = np.bincount(word[good], minlength=len(keys)) + np.bincount(pair[good], minlength=len(keys))
+        n[0], t[0] = (size > 0).sum(), (target & (size > 0)).sum()
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+        cells = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.table(
+            [pa.array([table["block"][0].as_py()] * len(cells), pa.int64()), pa.array(part[cuts[:-1]]), *[pa.array([f(x[c]) for c in cells], pa.binary()) for f, x in ((np.ndarray.tobytes, keys), (pack, n), (pack, t))]],
+            ["block", "part", "keys", "n", "good"],
+        )
+
+    return docs.select("block", "text", "target").groupBy("block").applyInArrow(run, "block long, part long, keys binary, n binary, good binary")
+
+
+def replies(asks: DataFrame) -> DataFrame:
+    """(block, part, size, n, good): the sums over all blocks of the keys that a block asked for; distinct words, words and target words of a part on one of its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
+        ends = np.cumsum([len(x) for x in held])
+        keys, at = np.unique(np.concatenate(held), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([unpack(x, len(k)) for x, k in zip(table[c], held)]), len(keys)).astype(np.int64) for c in ("n", "good")]
+        word = (keys & np.uint64(1) == 0) & (keys != START)
+        total = [int(word.sum()), *[int(s[word].sum()) for s in sums]]
+        back = [[pack(x) for x in np.split(s[at], ends[:-1])] for s in sums]
+        return pa.table(
+            [table["block"], table["part"], pa.array([len(x) for x in held], pa.int64()), *[pa.array(x, pa.binary()) for x in back], *[pa.array([x] + [0] * (len(held) - 1), pa.int64()) for x in total]],
+            ["block", "part", "size", "n", "good", "distinct_words", "words", "good_words"],
+        )
+
+    return asks.groupBy("part").applyInArrow(run, "block long, part long, size long, n binary, good binary, distinct_words long, words long, good_words long")
+
+
+def losses(counts: np.ndarray, words: int, distinct: int, before: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Nats of each word under one model: bigram counts smoothed by the unigram model, and that by a constant."""
-    n = unigrams.sum()
-    single = (unigrams[ids] + ALPHA) / (n + ALPHA * len(unigrams))
-    return -np.log((bigrams[slot] + MU * single) / (np.maximum(unigrams[before], bigrams[slot]) + MU))
+    single = (counts[word] + ALPHA) / (words + ALPHA * distinct)
+    return -np.log((counts[pair] + MU * single) / (counts[before] + MU))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every document.
 
     The target are the documents whose ``labels.quality`` is 1 on some row. Texts without words (null,
     empty) have 0 tokens and null losses. Documents with null ids are scored, but are never targets.
     Without any target document, the target model is the constant one. Repeated rows count repeatedly.
     """
+    scratch = Scratch(docs.sparkSession, "lmscore")
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, held // BLOCK))))
     marked = sized_join(rows, good.withColumn("_hit", F.lit(True)), F.col("doc_id") == F.col("_good"), "left")
-    vocab = vocabulary(docs, size)
-    unigrams, bigrams = count(marked.select("text", F.coalesce("_hit", F.lit(False)).alias("target")), vocab)
-    model = [(u.astype(np.float64), b.astype(np.float32)) for u, b in zip(unigrams, bigrams)]
-    starts = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count(), marked.where(F.col("_hit") & F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
-    for (u, _), s in zip(model, starts):  # how often a text's start came before a word
-        u[-1] = s
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = shared.value
-        for batch in batches:
-            for lo, data, offs in parts(batch.column(1)):
-                ids, slot, first = word_ids(vocab, data, offs)
-                n = np.diff(first)
-                before = np.full(len(ids), len(vocab) + 1)
-                before[1:] = ids[:-1]
-                before[first[:-1][n > 0]] = len(vocab) + 1
-                got = []
-                for u, b in reversed(model):
-                    sums = np.zeros(len(n))
-                    if len(ids):
-                        sums[n > 0] = np.add.reduceat(losses(u, b, before, ids, slot), first[:-1][n > 0])
-                    got.append(np.where(n > 0, sums / np.maximum(n, 1), np.nan))
-                target, background = got
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), *[pa.array(x, from_pandas=True) for x in (target, background, target - background)]],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    asks = asked(marked.withColumn("target", F.coalesce("_hit", F.lit(False))), max(1, int(held // PART).bit_length()))
+    replied = scratch.keep(replies(asks), "counts")
+    total = replied.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct_words", "words", "good_words")]).first()
+    distinct, models = total["distinct_words"], (("good", total["good_words"]), ("n", total["words"]))
+
+    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
+        _, word, pair, begins, n = grams(table["text"])
+        before = np.zeros(len(word), np.int64)
+        before[1:] = word[:-1]
+        before[begins] = 0
+        counts = counts.sort_by("part")
+        got = []
+        for c, words in models:
+            sums = np.zeros(len(n))
+            if len(word):
+                own = np.concatenate([unpack(x, k) for x, k in zip(counts[c], counts["size"].to_pylist())])
+                sums[n > 0] = np.add.reduceat(losses(own, words, distinct, before, word, pair), begins)
+            got.append(np.where(n > 0, sums / np.maximum(n, 1), np.nan))
+        target, background = got
+        return pa.table(
+            [table["doc_id"], pa.array(n.astype(np.int64)), *[pa.array(x, from_pandas=True) for x in (target, background, target - background)]],
+            ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
+
+    own = replied.select("block", "part", "size", "n", "good")
+    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -220,6 +220,41 @@ def test_lm_scoring_on_held_out_labels(spark):
     assert lmscore.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch):
+    """More words than 2**16 and many pairs, against a direct count, over several blocks and parts."""
+    for name, size in (("BLOCK", 1 << 18), ("PART", 1 << 19)):
+        if hasattr(lmscore, name):
+            monkeypatch.setattr(lmscore, name, size)
+    rng = random.Random(6)
+    texts = {i: " ".join(f"w{int(200_000 * rng.random() ** 2)}" for _ in range(rng.randint(0, 1200))) for i in range(400)}
+    texts |= {400: "", 401: None, 402: "of the of the of", 403: "of the of the of"}
+    good = {i for i in texts if i % 5 == 1 or i == 402}
+    single, pairs, begun = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for i, t in texts.items():
+        w = words(t)
+        for m in range(1 + (i in good)):
+            single[m].update(w)
+            pairs[m].update(zip([None, *w], w))
+            begun[m] += bool(w)
+    assert len(single[0]) > 1 << 16
+
+    def loss(m, w):
+        total, before = sum(single[m].values()), [begun[m], *(single[m][x] for x in w)]
+        p = [(single[m][x] + lmscore.ALPHA) / (total + lmscore.ALPHA * len(single[0])) for x in w]
+        return -np.mean([np.log((pairs[m][a, x] + lmscore.MU * q) / (n + lmscore.MU)) for a, x, q, n in zip([None, *w], w, p, before)])
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = lmscore.score_documents(docs, spark.createDataFrame([(i, int(i in good)) for i in texts], "doc_id long, quality int")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = words(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(w)
+        if w:
+            assert (r["target_loss"], r["background_loss"]) == pytest.approx((loss(1, w), loss(0, w)), rel=1e-9)
+        else:
+            assert r["target_loss"] is r["background_loss"] is r["score"] is None
+
+
 def test_media_round_trip(docs, texts):
     for r in media.media_digests(docs).collect():
         raw = texts[r["doc_id"]].encode()
