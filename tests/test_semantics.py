@@ -1,5 +1,7 @@
 """Formulas restated in plain Python, edge rows, registry, plans and streams."""
 
+import math
+import random
 import re
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators import text as O
+from larkspur.operators import vectors
 from larkspur.plans import order, pipeline, run_graph
 from larkspur.registry import registry
 
@@ -148,3 +151,25 @@ def test_command_line(spark, sf, tmp_path, capsys):
     (tmp_path / "a.txt").write_text("Some words here. " * 20)
     main(["ingest", str(tmp_path / "a.txt")])
     assert "Some words" in capsys.readouterr().out
+
+
+def test_topk_answers_every_query(spark, monkeypatch):
+    """Several queries, over several blocks of both sides; vectors without a similarity come last."""
+    for name, size in (("BLOCK", 64), ("QUERIES", 4)):
+        monkeypatch.setattr(vectors, name, size, raising=False)
+    rng = random.Random(8)
+    own = {i: [rng.gauss(0, 1) for _ in range(8)] for i in range(300)} | {300: [0.0] * 8, 301: None, 302: [1.0]}
+    own[7] = own[3]
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in own.items()], "vec_id long, embedding array<double>, label int")
+    got = vectors.topk(df, df.where("vec_id % 30 = 0").select(df.vec_id.alias("query_id"), df.embedding.alias("q")), 5, df.label == 0).collect()
+
+    def cosine(a, b):
+        if not b or len(a) != len(b) or not any(a) or not any(b):
+            return None
+        return math.floor(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)) * 1e6 + 0.5) / 1e6
+
+    want = set()
+    for i in range(0, 301, 30):
+        all_ = [(cosine(own[i], own[j]), j) for j in own if j % 3 == 0]
+        want |= {(i, j, s) for s, j in sorted(all_, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:5]}
+    assert {(r["query_id"], r["vec_id"], r["similarity"]) for r in got} == want and len(got) == len(want) == 55
