@@ -128,3 +128,9 @@ columns("syllables", "SELECT doc_id, syll AS syllables FROM n", syllables=lambda
 columns("is_text", r"SELECT doc_id, (CASE WHEN strlen(text) = 0 THEN false ELSE len(regexp_extract_all(substr(text, 1, 1024), '[\x20-\x7E\t\n\r]'))::DOUBLE / length(substr(text, 1, 1024)) > 0.8::DOUBLE END) AS is_text FROM d", is_text=lambda: F.when(F.length(T.given(t())) == 0, F.lit(False)).otherwise(F.regexp_count(F.substring(t(), 1, 1024), F.lit(r"[\x20-\x7E\t\n\r]")) / F.length(F.substring(t(), 1, 1024)) > 0.8))
 columns("heading_detect", ", h AS (SELECT doc_id, string_split(text, chr(10))[1] AS h FROM d) SELECT doc_id, h AS line, (length(h) < 100 AND h <> '' AND ((upper(h) = h AND lower(h) <> h) OR ends_with(h, ':')) AND NOT ends_with(h, '.') AND NOT ends_with(h, ',')) AS is_heading FROM h",
         line=lambda: F.split(T.given(t()), "\n")[0], is_heading=lambda: (lambda h: (F.length(h) < 100) & (h != "") & (((F.upper(h) == h) & (F.lower(h) != h)) | h.endswith(":")) & ~h.endswith(".") & ~h.endswith(","))(F.split(T.given(t()), "\n")[0]))
+_HEADING = "(length(p) < 100 AND ((upper(p) = p AND lower(p) <> p) OR ends_with(p, ':')) AND NOT ends_with(p, '.') AND NOT ends_with(p, ','))"
+
+
+@query("heading_paragraphs", BASE + f", p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM d), u AS (SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS pos, unnest(ps) AS p FROM p) SELECT doc_id, pos::BIGINT AS pos, p AS paragraph, {_HEADING} AS is_heading FROM u")
+def heading_paragraphs(load):
+    return O.heading_paragraphs(spread(load("documents")))

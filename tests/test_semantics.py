@@ -173,3 +173,22 @@ def test_topk_answers_every_query(spark, monkeypatch):
         all_ = [(cosine(own[i], own[j]), j) for j in own if j % 3 == 0]
         want |= {(i, j, s) for s, j in sorted(all_, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:5]}
     assert {(r["query_id"], r["vec_id"], r["similarity"]) for r in got} == want and len(got) == len(want) == 55
+
+
+def test_headings_of_all_paragraphs(spark):
+    """Headings after the first line are found; the SQL gives the same rows."""
+    import duckdb
+
+    from larkspur.queries import ORACLE_SQL
+
+    texts = ["FIRST\n\nBody text.\n\n  SECOND PART \n\n\n\nNotes:\n\nEND.", "line\nNOT A\nPARAGRAPH", "", "\n\n \n\n", None, "A" * 100, "A" * 99, "1 2 3", "one\n\n\nTWO"]
+    got = {(r["doc_id"], r["pos"], r["paragraph"], r["is_heading"]) for r in O.heading_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for pos, p in enumerate(x.strip() for x in (t or "").split("\n\n") if x.strip()):
+            want.add((i, pos, p, len(p) < 100 and (p.isupper() or p.endswith(":")) and not p.endswith((".", ","))))
+    assert got == want and {p for _, _, p, h in want if h} == {"FIRST", "SECOND PART", "Notes:", "A" * 99, "TWO"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', 'a')", list(enumerate(texts)))
+    assert set(con.execute(ORACLE_SQL["heading_paragraphs"]).fetchall()) == got
