@@ -182,6 +182,15 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (want[i], n[i]) for i in texts}
 
 
+def test_jaccard_recall_at_every_depth(docs, monkeypatch):
+    """Runs are enough for the recall at the depth that the largest buckets are split to."""
+    runs, inner = [], jaccard.buckets
+    monkeypatch.setattr(jaccard, "buckets", lambda *a: (runs.append(a[3]), inner(*a))[1])
+    jaccard.link_classes(docs.limit(20))
+    for depth in range(jaccard.DEPTH, jaccard.DEEPEST + 1):
+        assert 1 - (1 - jaccard.share_of_runs(jaccard.THRESHOLD, depth)) ** runs[0] >= jaccard.RECALL
+
+
 def test_substring_passages(spark):
     rng = random.Random(4)
     fresh = lambda n: [f"t{rng.randrange(10**7)}" for _ in range(n)]
