@@ -299,18 +299,6 @@ def test_quality_counts_against_python(docs, texts):
         assert r["base_failed"] == failed and (not failed or not r["kept"])
 
 
-def test_kneser_ney_sums_to_one_and_matches_a_direct_count(spark):
-    text = "the cat sat on the mat. " * 5 + "a dog ran"
-    df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
-    counted = {r["gram"]: r["n"] for r in quality.count_grams(df, {"en": 0}).collect()}
-    codes = [0, 0, 0, *[int(quality.CLASSES[ord(c)]) for c in text], 0]
-    want = Counter(sum(c << (5 * (3 - j)) for j, c in enumerate(codes[i : i + 4])) for i in range(len(codes) - 3))
-    assert counted == want
-    model = quality.estimate(np.array(list(want)), np.array(list(want.values())))
-    for context in (0, next(iter(want)) >> 5, 12345):
-        assert np.exp(model.log_prob((np.int64(context) << 5) | np.arange(32))).sum() == pytest.approx(1, abs=1e-3)
-
-
 def test_quality_rejects_noise_keeps_prose(spark):
     rng = random.Random(5)
     vocab = ["".join(rng.choice(["the", "ing", "ha", "er", "on"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
