@@ -1,8 +1,4 @@
-"""Groups of rows handled as a whole in Python, without pandas and without unbounded groups.
-
-Large groups are split into blocks; a cell is one pair of blocks, so that all pairs of a group
-are looked at while each task holds two blocks at most.
-"""
+"""Small groups of rows handled as a whole in Python, without pandas."""
 
 from __future__ import annotations
 
@@ -10,23 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
+from pyspark.sql import DataFrame
 
-def block_pairs(size: Column, key: Column, block: int) -> Column:
-    """array<struct<lo,hi,mine>>: the cells that a row of a group of ``size`` rows goes to.
-
-    A group of up to 8 blocks is cut into 8, as long as they hold an eighth of ``block`` or more each, so
-    that a group of middling size is many tasks too. The row's block is drawn from ``key``. Every pair of rows of the group meets in just one
-    cell: rows of one block in (b, b), rows of blocks a < b in (a, b).
-    """
-    n = F.greatest(F.ceil(size / F.lit(block)), F.least(F.lit(8), F.ceil(size / F.lit(max(1, block // 8))))).cast("int")
-    mine = F.pmod(F.xxhash64(key, F.lit("block")), n.cast("long")).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda j: F.struct(F.least(mine, j).alias("lo"), F.greatest(mine, j).alias("hi"), mine.alias("mine")),
-    )
+from .memory import give_back
 
 
 def by_cell(df: DataFrame, cell: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -68,6 +50,7 @@ def by_cell(df: DataFrame, cell: str, fn: Callable[[pa.RecordBatch], pa.RecordBa
             whole(_one(held))
         if out:
             yield _one(out)
+        give_back()
 
     return df.repartition(cell).sortWithinPartitions(cell).mapInArrow(run, schema)
 
@@ -78,7 +61,3 @@ def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     t = pa.Table.from_batches(batches).combine_chunks()
     return t.to_batches(max_chunksize=max(1, t.num_rows))[0]
 
-
-def merge(pending: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """One record batch of several."""
-    return _one(pending)

@@ -26,7 +26,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from pyspark.sql.window import Window
 
 from ..storage import Scratch
-from .joins import sized_join
+from .joins import quoted, sized_join
 from .memory import give_back
 from .warc import filesystem
 from .words import mix, parts, spans
@@ -397,10 +397,6 @@ def featured(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def bands(features: DataFrame, reach: tuple[float, float] = REACH, width: tuple[float, float] = LEAST_WIDTH) -> DataFrame:
     """(lang, lower, upper): the perplexity bands, in nats, from approximate quartiles of the scores of all documents of enough words."""
     scores = features.where((F.col("n_words") >= MIN_WORDS) & F.col("nats").isNotNull())

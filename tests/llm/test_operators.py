@@ -154,32 +154,62 @@ def classes(ids, links):
     return {i: find(i) for i in ids}
 
 
-def test_jaccard_join(docs, texts):
+def holds(got, ids, links):
+    """Classes are those of brute force; linked documents have links, and no more than there are."""
+    n, want = Counter(x for p in links for x in p), classes(ids, links)
+    assert len(got) == len(ids) and {r["doc_id"]: r["class_id"] for r in got} == want
+    assert all((r["n_links"] > 0) == (n[r["doc_id"]] > 0) and r["n_links"] <= n[r["doc_id"]] for r in got)
+    return want
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_jaccard_join(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     links = brute_links(texts)
-    n = Counter(x for p in links for x in p)
-    want = classes(texts, links)
     got = jaccard.join_documents(docs).collect()
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (want[i], n[i]) for i in texts}
-    kept = [r["doc_id"] for r in jaccard.keep_one(docs).collect()]
-    assert sorted(kept) == sorted(set(want.values()))
+    of = {r["doc_id"]: r["class_id"] for r in got}
+    print(f"{size}: {len(links)} links, recall {sum(of[a] == of[b] for a, b in links) / len(links):.4f}")
+    want = holds(got, texts, links)
+    if size == "sf0.001":
+        assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == sorted(set(want.values()))
 
 
-def test_jaccard_large_group(spark, monkeypatch):
-    """More near copies than a block holds: all pairs are met once, across blocks."""
-    monkeypatch.setattr(jaccard, "BLOCK", 32)
+@pytest.mark.parametrize("edits", [5, 9])
+def test_jaccard_large_group(spark, monkeypatch, edits):
+    """More near copies than a block holds: blocks meet through their roots, over several rounds."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
     texts = {}
-    for i in range(150):
+    for i in range(300):
         w = list(base)
-        for _ in range(rng.randint(0, 5)):
+        for _ in range(rng.randint(0, edits)):
             w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
         texts[i] = " ".join(w)
-    links = brute_links(texts)
-    n = Counter(x for p in links for x in p)
     got = jaccard.join_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    want = classes(texts, links)
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (want[i], n[i]) for i in texts}
+    holds(got, texts, brute_links(texts))
+
+
+def test_forests_are_best():
+    """The first forest has the largest total of all, and every further edge is between sets that no sure edge connects."""
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 7, 40):
+        x = rng.integers(0, 2, (n, jaccard.COORDINATES)).astype(np.uint16)
+        x[n // 2 :] = np.where(rng.random((n - n // 2, 128)) < 0.9, x[0], x[n // 2 :])
+        same = jaccard.agreement(x)
+        assert all(same[i, j] == (x[i] == x[j]).sum() for i in range(n) for j in range(i))
+        need, sure = 70, 115
+        edges, root = jaccard.block_edges(x, need, sure)
+        pairs = sorted(((same[i, j], i, j) for i in range(n) for j in range(i + 1, n) if same[i, j] >= need), reverse=True)
+        of, total = list(range(n)), 0
+        for w, i, j in pairs:  # Kruskal
+            if of[i] != of[j]:
+                total += w
+                of = [of[i] if v == of[j] else v for v in of]
+        first = len(set(range(n))) - len(set(of))
+        assert sum(same[e] for e in edges[:first]) == total and len(edges) == len({tuple(sorted(e)) for e in edges})
+        assert len(set(root.tolist())) == n - first
 
 
 def test_jaccard_recall_at_every_depth(docs, monkeypatch):
