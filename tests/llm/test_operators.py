@@ -245,7 +245,7 @@ def test_substring_passages(spark):
 
 def test_chains_ascend():
     x, y = [0, 5, 9, 12, 30], [100, 105, 3, 112, 6]
-    best = substring.best_chains(x, y, 8)
+    best = substring.best_chains(x, y, [8] * 5)
     assert best[0] == [0, 1, 3] and sorted(i for c in best for i in c) == list(range(5))
 
 
