@@ -44,7 +44,7 @@ LEAST_WIDTH = (0.12, 0.30)
 SHORT = 0.6
 SYMBOLS = "#*$%&|<>"
 #: Symbols read at a time, and distinct grams that a task gathers before it sends them on.
-CHUNK, GATHER = 1 << 20, 1 << 19
+CHUNK, GATHER = 1 << 18, 1 << 19
 #: Entries of a block of a model, about, and bytes of blocks that a worker keeps.
 BLOCK_ENTRIES, CACHE_BYTES = 1 << 20, 32 << 20
 _BLANKS = " \t\x0b\x0c"
@@ -152,7 +152,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             model = batch.column(0).to_numpy()
             for m in np.unique(model).tolist():
-                for _, data, offs in parts(batch.column(1).take(pa.array(np.flatnonzero(model == m)))):
+                for _, data, offs in parts(batch.column(1).take(pa.array(np.flatnonzero(model == m))), CHUNK):
                     z, ends, _ = symbols(data, offs)
                     for _, _, packed, own, bits in chunks(z, ends):
                         if len(packed):
@@ -327,7 +327,7 @@ class Models:
             rows = np.flatnonzero(model == m)
             if self.bits_of(m) is None:
                 continue
-            for lo, data, offs in parts(column.take(pa.array(rows))):
+            for lo, data, offs in parts(column.take(pa.array(rows)), CHUNK):
                 z, ends, start = symbols(data, offs)
                 sums = np.zeros(len(start))
                 for at, here, packed, own, bits in chunks(z, ends):
