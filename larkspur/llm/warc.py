@@ -20,11 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, shared_root
+from ..storage import Scratch
 from .joins import sized_join
+from .memory import give_back
 
 #: Bytes of records that a task gathers for one file, and so its memory; a larger record is a file.
 FILE_BYTES = 8 << 20
+#: Files that a task reads back, where there are more than enough for all cores.
+FILES_PER_TASK = 4
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 #: Equal payloads of at least so many bytes are stored once.
@@ -151,6 +154,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                 size += len(record)
         if held:
             yield flush()
+        give_back()
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "digest", "refers_to")
     return rows.mapInArrow(run, "path string, records long, bytes long")
@@ -214,7 +218,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     One row per page, repeated rows included; null html is an empty payload, and equal payloads under
     100 bytes are all responses. An empty table makes no archive.
     """
-    spark = pages.sparkSession
-    folder = f"{shared_root(spark)}/larkspur/archives-{uuid.uuid4().hex}"
-    files = Scratch(spark, "manifest").keep(write_archives(with_revisits(pages), folder), "files")
-    return read_archives(files.repartition("path"))
+    scratch = Scratch(pages.sparkSession, "archives")
+    files = scratch.keep(write_archives(with_revisits(pages), f"{scratch.path}/files"), "manifest")
+    n, cores = files.count(), pages.sparkSession.sparkContext.defaultParallelism
+    return read_archives(files.repartition(max(1, min(n, max(2 * cores, -(-n // FILES_PER_TASK))))))
