@@ -1,7 +1,9 @@
 """Mixing of sources to target weights, all in DataFrame functions.
 
 A source's rate is its target over its tokens. Each document is taken floor(rate) times, and once
-more if a number drawn from a digest of its id and text falls below the fraction.
+more if a number drawn from a digest of its id and text, turned by its source's seed, falls below the
+fraction. Of 64 seeds, turns of the circle of draws by 1/64 each, a source has the one that brings
+the tokens taken nearest to its target, so that a source of few documents comes near it too.
 """
 
 from __future__ import annotations
@@ -11,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import Scratch
-from .sharding import key_text, unit
+from .joins import quoted, sized_join
+from .sharding import draw, key_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Draws are whole numbers below 2**52; a turn adds a multiple of 2**46.
+_DRAW_BITS, _TURN_BITS = 52, 46
+SEEDS = 1 << (_DRAW_BITS - _TURN_BITS)
 
 
 def n_words(text: Column) -> Column:
@@ -53,29 +59,65 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
-def copies(rate: Column, key: Column, seed: str = "mix") -> Column:
-    """floor(rate), plus one if the key's draw falls below the fraction."""
-    return (F.floor(rate) + (unit(key, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+def copies(rate: Column, drawn: Column, seed: Column) -> Column:
+    """floor(rate), plus one if the draw, turned by the seed, falls below the fraction."""
+    turned = F.pmod(drawn + seed.cast("long") * F.lit(1 << _TURN_BITS), F.lit(1 << _DRAW_BITS))
+    return (F.floor(rate) + ((turned.cast("double") + 0.5) / F.lit(float(1 << _DRAW_BITS)) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def rated(docs: DataFrame) -> DataFrame:
-    """The table of ``targets`` for documents, kept on shared storage: one row per source."""
-    sizes = docs.select("source", n_words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    return Scratch(docs.sparkSession, "mix").keep(targets(sizes), "targets")
+def document_draw() -> Column:
+    """A document's draw, from its id and text."""
+    return draw(key_text(F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))), "mix")
 
 
-def with_rate(docs: DataFrame, rates: DataFrame, columns: list[Column]) -> DataFrame:
-    """Selected columns of documents beside their source's target; a hot source is not shuffled.
+def seeds(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rates`` with each source's seed, of documents (source, size, draw).
 
-    A source is one row of a few bytes; the table is broadcast if a count shows that it is small,
-    and else joined by a shuffle that adaptive execution splits where a source is hot.
+    A draw is bin * 2**46 + rest. With seed s, bin b becomes t = (b + s) mod 64: below the fraction's
+    bin all documents are taken, above it none, and in it those whose rest is below the fraction's. So
+    two sums for each source and bin give the tokens taken under every seed; of equally near seeds the
+    first counts.
     """
-    from .joins import sized_join
-
-    r = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    r = rates.select(F.col("source").alias("_source"), "rate", "target", "source_size")
+    scaled = (F.col("rate") - F.floor("rate")) * F.lit(float(1 << _DRAW_BITS))
+    rows = sized_join(sized, r, F.col("source").eqNullSafe(F.col("_source")))
+    rows = rows.withColumn("_bin", F.shiftright("draw", _TURN_BITS)).withColumn("_rest", F.col("draw").bitwiseAND(F.lit((1 << _TURN_BITS) - 1)))
+    edge = F.floor(scaled / F.lit(float(1 << _TURN_BITS))).cast("long")
+    below = F.col("_rest").cast("double") + 0.5 < scaled - edge * F.lit(float(1 << _TURN_BITS))
+    bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("whole"), F.sum(F.when(below, F.col("size")).otherwise(0)).alias("part"))
+    held = bins.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("_bin", F.struct("whole", "part")))).alias("bins"))
+    own = rates.join(held.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+
+    def taken(s: Column) -> Column:
+        of = lambda b: F.pmod(F.lit(b) - s, F.lit(SEEDS)).cast("long")
+        at = [F.coalesce(F.try_element_at("bins", of(t))["whole"], F.lit(0)) * (F.lit(t) < edge).cast("long") for t in range(SEEDS)]
+        mixed = F.coalesce(F.try_element_at("bins", F.pmod(edge - s, F.lit(SEEDS)).cast("long"))["part"], F.lit(0))
+        return F.col("source_size") * F.floor("rate").cast("long") + sum(at, mixed)
+
+    tried = own.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
+    tried = tried.withColumn("_off", F.abs(taken(F.col("_s")).cast("double") - F.col("target")))
+    best = tried.groupBy("source").agg(F.min_by("_s", F.struct("_off", "_s")).alias("seed"))
+    return rates.join(best.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+
+
+def rated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table of ``targets`` and seeds, one row per source, and (doc_id, source, size, draw) of all documents; both on shared storage, so the texts are read once."""
+    scratch = Scratch(docs.sparkSession, "mix")
     if "source" not in docs.columns:
         raise ValueError("documents need a column source")
-    return sized_join(docs, r, F.col("source").eqNullSafe(F.col("_source"))).select(*columns)
+    sized = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_draw().alias("draw")), "sizes")
+    rates = scratch.keep(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    return scratch.keep(seeds(sized, rates), "seeds"), sized
+
+
+def with_rate(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """Documents beside their source's _size, _target, _rate and _seed; a hot source is not shuffled.
+
+    A source is one row of a few bytes; the table is broadcast if a count shows that it is small,
+    and else joined by a shuffle that adaptive execution splits where a source is hot.
+    """
+    r = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
+    return sized_join(docs, r, F.col("source").eqNullSafe(F.col("_source")))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -83,18 +125,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     Null texts have size 0; null sources are a source. Rows with equal id and text share their draw.
     """
-    key = key_text(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    size = n_words(F.col("text"))
-    return with_rate(
-        docs.select("doc_id", "source", size.alias("size"), key.alias("_key")),
-        rated(docs),
-        [F.col("doc_id"), F.col("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * copies(F.col("_rate"), F.col("_key"))).alias("taken")],
-    )
+    rates, sized = rated(docs)
+    taken = F.col("size") * copies(F.col("_rate"), F.col("draw"), F.col("_seed"))
+    return with_rate(sized, rates).select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    key = key_text(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     columns = docs.columns
-    out = with_rate(docs, rated(docs), [*[F.col(f"`{c}`") for c in columns], copies(F.col("_rate"), key).alias("_copies")])
-    return out.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[f"`{c}`" for c in columns])
+    named = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("source"), document_draw().alias("draw"))
+    out = with_rate(named, rated(docs)[0]).withColumn("_copies", copies(F.col("_rate"), F.col("draw"), F.col("_seed"))).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

@@ -29,7 +29,10 @@ QUERIES: dict[str, Query] = {
     "op10_warc": _on("pages", warc.archive_pages),
 }
 
-_UNIT = "((('0x' || substr(md5({key} || '#{salt}'), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+#: A document's draw, and the times that it is taken under seed s.
+_DRAW = "('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, ''))) || '#mix'), 1, 13))::BIGINT"
+_TAKEN = """(size * (floor(rate)::BIGINT + CASE WHEN (((draw + s * 70368744177664) % 4503599627370496)::DOUBLE + 0.5::DOUBLE)
+          / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT"""
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_filters": r"""
@@ -69,12 +72,20 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, level * w) END AS target FROM l
 ), r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t
+), u AS (
+  SELECT d.*, r.source_size, r.target, r.rate, """
+    + _DRAW
+    + """ AS draw FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), a AS (
+  SELECT source, target, s, sum("""
+    + _TAKEN
+    + """) AS taken FROM u, range(64) AS t(s) GROUP BY source, target, s
+), best AS (
+  SELECT source, s FROM a QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(taken::DOUBLE - target), s) = 1
 )
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate)::BIGINT + CASE WHEN """
-    + _UNIT.format(key="concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))", salt="mix")
-    + r""" < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+SELECT doc_id, size, source_size, target, """
+    + _TAKEN
+    + """ AS taken FROM u JOIN best ON u.source IS NOT DISTINCT FROM best.source
 """,
     "op10_warc": r"""
 WITH p AS (
