@@ -114,7 +114,7 @@ def _sweep(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweep = Sweep(shared.value)
         for batch in batches:
-            names, verdicts = [], []
+            names, verdicts, reach = [], [], []
             was, rule = None, None
             for key, path in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
                 if (key, path) != was:
@@ -123,9 +123,10 @@ def _sweep(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                     rule = sweep.rule(path)
                 names.append(rule and rule.text)
                 verdicts.append(rule and rule.verdict)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+                reach.append(rule and len(rule.host))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.string()), pa.array(verdicts, pa.string()), pa.array(reach, pa.int32())], ["page_id", "host", "path", "rule", "verdict", "reach"])
 
-    return urls.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return urls.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, reach int")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow", per_sweep: int = RULES_PER_SWEEP) -> DataFrame:
@@ -149,8 +150,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str =
     ids = sorted_rows.select(F.struct("page_id", "row").alias("page_id"), "host", "path", "key")
     out = None
     for i in range(0, len(rules), per_sweep):
-        part = _sweep(ids, rules[i : i + per_sweep])
+        part = _sweep(ids, rules[i : i + per_sweep]).withColumn("block", F.lit(-i))
         out = part if out is None else out.unionByName(part)
-    longest = F.max_by(F.struct("rule", "verdict"), F.coalesce(F.length("rule"), F.lit(-1)))
+    longest = F.max_by(F.struct("rule", "verdict"), F.struct(F.coalesce(F.length("rule"), F.lit(-1)), F.coalesce("reach", F.lit(-1)), F.col("block")))
     out = out.groupBy("page_id", "host", "path").agg(longest.alias("best"))
     return out.select("page_id.page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
