@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import Scratch
+
 #: 52 bits of the digest make a double in (0, 1) without rounding.
 _BITS = 4503599627370496.0
 #: Rows that one task numbers; a group of more rows is numbered in several tasks.
@@ -89,7 +91,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of all documents.
 
     Null texts have size 1 and the checksum of no bytes; null ids share one key. Rows with equal ids
-    go to one shard. ``slot`` numbers a shard's rows from 0 without gaps, in the order of a digest.
+    go to one shard. ``slot`` numbers a shard's rows from 0 without gaps, in the order of a digest of
+    id and text, so that rows without ids are many ranges too. The texts are read once.
     Only the four named columns are read, so further ones can't clash.
     """
     key = key_text(F.col("doc_id"))
@@ -101,7 +104,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         shard.alias("shard"),
         F.when(score(key, str(shards), 1.0) > best, F.lit(shards)).otherwise(shard).cast("int").alias("grown_shard"),
-        draw(key, "slot").alias("_key"),
+        draw(key_text(F.col("doc_id"), F.crc32(F.encode(body, "UTF-8"))), "slot").alias("_key"),
     )
+    rows = Scratch(docs.sparkSession, "shard").keep(rows, "rows")
     placed = number(rows, ["shard"], "_key", ["doc_id", "size", "text_crc32", "grown_shard"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
