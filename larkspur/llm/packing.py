@@ -8,32 +8,25 @@ the token budget when padded to the bucket's boundary.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from .mixing import n_words
 from .sharding import draw, key_text, number
 
 BUCKETS = 12
 BUDGET = 65_536
-#: Lengths up to 2**_EXACT have a histogram cell each; above, a power of two has 2**(_EXACT - 1) cells.
-_EXACT = 9
 
 
-def cell(length: Column) -> Column:
-    """A length's histogram cell: exact up to 512, then within 0.4 %, so 2**31 has about 6,000 cells."""
-    top = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - (_EXACT - 1), F.lit(0)).cast("int")
-    # log2 may round up to a whole power; one step down then makes the cell finer, never wider
-    return (top.cast("long") * F.lit(1 << _EXACT) + F.floor(length.cast("double") / F.pow(F.lit(2.0), top))).cast("long")
-
-
-def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+def boundaries(lengths: list[int] | np.ndarray, counts: list[int] | np.ndarray, buckets: int) -> list[int]:
     """The at most ``buckets`` upper bounds, out of ``lengths``, with the least padding in total.
 
     ``lengths`` ascend; documents of length l are padded to the first bound that is not below l. The
-    table of costs is quadratic in the number of distinct lengths, which ``cell`` bounds.
+    cost of a bucket satisfies the quadrangle inequality, so the best last cut grows with the length:
+    each layer is solved by halving, a level of midpoints at a time, in O(m log m) for m lengths.
     """
-    x, n = np.asarray(lengths, np.float64), np.asarray(counts, np.float64)
+    x, n = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     m = len(x)
     if not m:
         return []
@@ -42,11 +35,24 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     choice: list[np.ndarray] = []
     for _ in range(min(buckets, m) - 1):
         nxt, came = best.copy(), np.full(m, -1)
-        for j in range(1, m):
-            cost = best[:j] + x[j] * (upto[j + 1] - upto[1 : j + 1]) - (words[j + 1] - words[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < nxt[j]:
-                nxt[j], came[j] = cost[i], i
+        lo, hi, low, high = (np.array([v]) for v in (1, m - 1, 0, m - 2))  # lengths lo..hi, whose last cuts are in low..high
+        while len(lo):
+            mid = (lo + hi) // 2
+            last = np.minimum(high, mid - 1)
+            size = last - low + 1
+            first = np.cumsum(size) - size
+            i = np.arange(int(size.sum())) - np.repeat(first - low, size)
+            j = np.repeat(mid, size)
+            cost = best[i] + x[j] * (upto[j + 1] - upto[i + 1]) - (words[j + 1] - words[i + 1])
+            least = np.minimum.reduceat(cost, first)
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            of = np.searchsorted(first, at, "right") - 1
+            pick = i[at[np.concatenate([[True], of[1:] != of[:-1]])]]
+            better = least < nxt[mid]
+            nxt[mid], came[mid] = np.where(better, least, nxt[mid]), np.where(better, pick, came[mid])
+            lo, hi, low, high = np.concatenate([lo, mid + 1]), np.concatenate([mid - 1, hi]), np.concatenate([low, pick]), np.concatenate([pick, high])
+            some = lo <= hi
+            lo, hi, low, high = lo[some], hi[some], low[some], high[some]
         choice.append(came)
         best = nxt
     cuts, j = [m - 1], m - 1
@@ -54,14 +60,13 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
         if came[j] >= 0:
             j = int(came[j])
             cuts.append(j)
-    return [int(lengths[i]) for i in sorted(set(cuts))]
+    return [int(x[i]) for i in sorted(set(cuts))]
 
 
-def histogram(lengths: DataFrame, column: str = "n_tokens") -> tuple[list[int], list[int]]:
-    """Largest length and count of each histogram cell; a few thousand rows however many documents."""
-    rows = lengths.groupBy(cell(F.col(column)).alias("_cell")).agg(F.max(column).alias("top"), F.count(F.lit(1)).alias("n")).collect()
-    rows.sort(key=lambda r: r["top"])
-    return [int(r["top"]) for r in rows], [int(r["n"]) for r in rows]
+def histogram(lengths: DataFrame, column: str = "n_tokens") -> tuple[np.ndarray, np.ndarray]:
+    """The lengths that occur and how often; as many rows as there are different lengths, however many documents."""
+    rows = lengths.groupBy(F.col(column).alias("length")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")
+    return rows["length"].to_numpy(), rows["n"].to_numpy()
 
 
 def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -70,9 +75,10 @@ def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET
     Tokens are words. ``bucket_tokens`` is the padded length and ``batch`` a number in the bucket;
     a batch holds at most budget / bucket_tokens documents, or one document that is longer than the
     budget. Documents without words, null texts among them, count as length 0 and are packed too.
-    A bucket may hold any share of all rows: ``number`` splits it. Repeated rows keep a place each.
+    A bucket may hold any share of all rows: ``number`` splits it. Repeated rows keep a place each. The
+    texts are read once; their ids and lengths are kept.
     """
-    rows = docs.select(F.col("doc_id"), n_words(F.col("text")).alias("n_tokens"))
+    rows = Scratch(docs.sparkSession, "pack").keep(docs.select(F.col("doc_id"), n_words(F.col("text")).alias("n_tokens")), "lengths")
     bounds = boundaries(*histogram(rows), buckets)
     upper = F.lit(bounds[-1] if bounds else 0)
     index = F.lit(max(0, len(bounds) - 1))
