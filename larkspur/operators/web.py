@@ -23,7 +23,9 @@ def validate_url(urls: DataFrame) -> DataFrame:
     parts = F.split(F.split(rest, ":", 2)[0], r"\.", -1)
     last = F.element_at(parts, -1)
     syntax, https, odd = url.rlike(r"(?i)^https?://\S+\z"), F.lower(url).startswith("https://"), url.rlike("[<>]")
+    # fixed values: the messages
     domain = F.when(rest == "", "Missing domain").when(F.size(parts) < 2, "Missing top-level domain (TLD)").when((F.length(last) < 2) | ~last.rlike(r"^\p{L}+\z"), F.concat(F.lit("Invalid TLD: "), last))
+    # fixed values: the messages
     issues = F.when(~syntax, "Invalid URL syntax (should start with http:// or https://)").otherwise(
         F.concat_ws(" | ", domain, F.when(~https, "Consider using HTTPS for secure connections"), F.when(odd, "URL contains suspicious characters (< or >)")))
     return urls.select("url", (syntax & domain.isNull() & ~odd).alias("valid"), (syntax & https).alias("uses_https"), issues.alias("issues"))
@@ -31,7 +33,12 @@ def validate_url(urls: DataFrame) -> DataFrame:
 
 @operator(category="web")
 def page_scores(parsed: DataFrame) -> DataFrame:
-    """Quick score, the four category scores, overall score and grade of each page."""
+    """Quick score, the four category scores, overall score and grade of each page.
+
+    A page's HTTP status counts for its technical score if the table has a column ``status``; without
+    one, pages count as fetched. Thresholds and weights are fixed values.
+    """
+    fetched = F.col("status") == 200 if "status" in parsed.columns else F.lit(True)
     flat = F.regexp_replace("text", "\n", " ")
     p = parsed.select("*", F.size(tokens(flat)).alias("n"), F.size(F.split(flat, "[.!?]+")).alias("pieces"), F.aggregate(F.transform(tokens(flat), F.length), F.lit(0), lambda a, x: a + x).alias("chars"),
                       F.coalesce(F.length("title"), F.lit(0)).alias("tl"), F.length("description").alias("dl"), F.coalesce(F.try_element_at("headings", F.lit("h1")), F.lit(0)).alias("h1"))
@@ -41,7 +48,7 @@ def page_scores(parsed: DataFrame) -> DataFrame:
     content = rnd((F.when(F.col("n") > 300, 2).when(F.col("n") > 100, 1).otherwise(0) + F.when(asl.between(15, 25), 2).otherwise(0) + F.when(awl.between(4, 6), 1).otherwise(0) + heads) / 7, 2)
     alt = (F.col("images") > 0) & (per(F.col("images_with_alt"), F.col("images")) > 0.8)
     seo = rnd(_sum(F.col("tl").between(30, 60), F.col("dl").between(120, 160), alt) / F.lit(4.0), 2)
-    technical = rnd(_sum(F.col("viewport"), F.col("charset"), F.coalesce("lang", F.lit("")) != "", F.lit(True)) / F.lit(4.0), 2)
+    technical = rnd(_sum(F.col("viewport"), F.col("charset"), F.coalesce("lang", F.lit("")) != "", fetched) / F.lit(4.0), 2)
     ux = rnd(_sum(F.size("links") > 5, F.col("images") > 0, F.col("lists") > 0, F.col("forms") > 0) / F.lit(4.0), 2)
     s = p.select("page_id", quick.alias("quick_score"), content.alias("content_quality"), seo.alias("seo"), technical.alias("technical"), ux.alias("user_experience"))
     overall = F.col("content_quality") * 0.4 + F.col("seo") * 0.3 + F.col("technical") * 0.2 + F.col("user_experience") * 0.1

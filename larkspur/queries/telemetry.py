@@ -25,7 +25,16 @@ def events(name: str, sql: str):
 query("tumbling_monitor", f"SELECT epoch(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'))::BIGINT AS window_start, event_type AS series, count(*) AS n, {R6('avg(value)')} AS avg_value, max(value) AS max_value, min(value) AS min_value FROM events GROUP BY 1, 2")(lambda load: S.tumbling_monitor(samples(load)))
 query("sliding_window", f"WITH s AS (SELECT ts, event_type AS series, value, unnest([0, 1]) AS k FROM events) SELECT epoch(time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(12 * k))::BIGINT AS window_start, series, count(*) AS n, {R6('avg(value)')} AS avg_value, max(value) AS max_value, min(value) AS min_value FROM s GROUP BY 1, 2")(lambda load: S.tumbling_monitor(samples(load), "24 hours", "12 hours"))
 query("session_window", "WITH g AS (SELECT event_type AS series, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), h AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT floor(epoch(min(ts)))::BIGINT AS session_start, series, count(*) AS n FROM h GROUP BY series, k")(lambda load: S.session_monitor(samples(load), "30 minutes"))
-query("rate_limit")(lambda load: S.rate_limit(load("events").select(F.col("user_id").alias("identifier"), F.col("ts").alias("t"))))
+#: One step of the recursion is one request; log holds the times of the allowed ones in the window.
+_LIMIT = """WITH RECURSIVE e AS (
+  SELECT user_id AS identifier, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+), r AS (
+  SELECT identifier, t, i, true AS allowed, [t] AS log FROM e WHERE i = 1
+  UNION ALL
+  SELECT identifier, t, i, len(kept) < 3 AS allowed, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END AS log
+  FROM (SELECT e.identifier, e.t, e.i, list_filter(r.log, lambda x: e.t - x < 86400000000) AS kept FROM r JOIN e ON e.identifier = r.identifier AND e.i = r.i + 1)
+) SELECT identifier, t, allowed FROM r"""
+query("rate_limit", _LIMIT)(lambda load: S.rate_limit(load("events").select(F.col("user_id").alias("identifier"), F.col("ts").alias("t"))))
 events("monitor_summary", f"SELECT event_type AS series, {R6('avg(value)')} AS avg_value, max(value) AS max_value, min(value) AS min_value FROM events GROUP BY 1")(lambda e: e.groupBy(F.col("event_type").alias("series")).agg(rnd(F.avg("value"), 6).alias("avg_value"), F.max("value").alias("max_value"), F.min("value").alias("min_value")))
 events("timer_stats", f"SELECT event_type AS timer, count(*) AS n, {R6('avg(value)')} AS avg_s, min(value) AS min_s, max(value) AS max_s, arg_max(value, (ts, event_id)) AS last_s FROM events GROUP BY 1")(lambda e: e.groupBy(F.col("event_type").alias("timer")).agg(one().alias("n"), rnd(F.avg("value"), 6).alias("avg_s"), F.min("value").alias("min_s"), F.max("value").alias("max_s"), F.max_by("value", F.struct("ts", "event_id")).alias("last_s")))
 _OK = "value < 50"

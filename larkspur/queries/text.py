@@ -88,7 +88,6 @@ SELECT y.doc_id, y.pos::BIGINT AS pos, coalesce(total, 0) AS total, len(w)::BIGI
 _FIXED = f""", t AS (SELECT doc_id, {STRIP("text")} AS t FROM d), u AS (SELECT doc_id, t, length(t) AS n, greatest(ceil(length(t) / 800.0)::INT - 1, 0) AS last FROM t), v AS (SELECT *, unnest(range(0, last + 1)) AS i FROM u),
 x AS (SELECT doc_id, i, {STRIP("substr(t, (greatest(i * 800 - 100, 0) + 1)::BIGINT, (CASE WHEN i = last THEN n - greatest(i * 800 - 100, 0) ELSE (i + 1) * 800 - greatest(i * 800 - 100, 0) END)::BIGINT)")} AS c FROM v) """
 doc_query("chunk_fixed", O.chunk_fixed, _FIXED + r"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk, c AS text, len(regexp_extract_all(c, '[^\s\p{Z}\x0b\x1c-\x1f\x85]+'))::BIGINT AS word_count FROM x WHERE length(c) >= 50""")
-query("chunk_smart")(lambda load: O.chunk_smart(spread(load("documents"))))
 
 
 def columns(name_: str, sql: str, base: str = BASE, **cols):
@@ -102,6 +101,25 @@ _STEPS = "text"
 for _p, _by in ((r"\r\n?", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"[^\x00-\x7F]+", " "), (r"[^A-Za-z0-9_\s.,!?;:()\-/\n]", "")):
     _STEPS = f"regexp_replace({_STEPS}, '{_p}', '{_by}', 'g')"
 columns("ingest_clean", f"SELECT doc_id, {_ASCII_STRIP(_STEPS)} AS cleaned FROM d", cleaned=lambda: T.ingest_clean(t()))
+_LAST = lambda mark: f"(CASE WHEN strpos(reverse(win), {mark}) > 0 THEN length(win) - strpos(reverse(win), {mark}) - length({mark}) + 1 ELSE -1 END)"
+_ENDS = " ".join(
+    f"WHEN {_LAST(mark)} > 800 * {share}::DOUBLE THEN b + {_LAST(mark)} + {f'length({mark})' if stays else '0'}"
+    for mark, stays, share in (("chr(10) || chr(10)" if m.strip() == "" and len(m) == 2 else f"'{m}'", stays, share) for m, stays, share in O.CHUNK_ENDS)
+)
+#: One step of the recursion is one chunk: done is where the last one ended, b where this one begins, win its window.
+_SMART = f"""WITH RECURSIVE d AS (SELECT doc_id, {_ASCII_STRIP(_STEPS)} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+r AS (
+  SELECT doc_id, t, 0::BIGINT AS done, 0::BIGINT AS b, 0::BIGINT AS e FROM d WHERE length(t) > 800
+  UNION ALL
+  SELECT doc_id, t, CASE WHEN x > done THEN x ELSE done + 800 END AS done, b, CASE WHEN x > done THEN x ELSE done + 800 END AS e
+  FROM (SELECT *, CASE WHEN done + 800 >= length(t) THEN length(t) {_ENDS} ELSE done + 800 END AS x
+        FROM (SELECT doc_id, t, e AS done, greatest(e - 100, 0) AS b, substr(t, greatest(e - 100, 0) + 1, e + 800 - greatest(e - 100, 0)) AS win FROM r WHERE e < length(t)))
+), c AS (
+  SELECT doc_id, b, {_ASCII_STRIP("substr(t, b + 1, e - b)")} AS text FROM r WHERE e > 0
+  UNION ALL SELECT doc_id, 0, t FROM d WHERE length(t) <= 800
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::BIGINT AS chunk, text, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM c WHERE length(text) >= 50"""
+query("chunk_smart", _SMART)(lambda load: O.chunk_smart(spread(load("documents"))))
 columns("clean_metrics", _CLEAN + "SELECT doc_id, length(sq)::BIGINT AS squeezed, length(st)::BIGINT AS stripped, (length(sq) <> length(st)) AS mended FROM q",
         squeezed=lambda: F.length(T.strip(F.regexp_replace(t(), f"{WS}+", " "))).cast("long"), stripped=lambda: F.length(T.strip(t())).cast("long"),
         mended=lambda: F.length(T.strip(F.regexp_replace(t(), f"{WS}+", " "))) != F.length(T.strip(t())))
@@ -126,11 +144,20 @@ columns("content_hash", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256
 columns("preview", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '... (truncated)' ELSE text END AS preview FROM d", preview=lambda: F.when(F.length(t()) > 100, F.concat(F.substring(t(), 1, 100), F.lit("... (truncated)"))).otherwise(T.given(t())))
 columns("syllables", "SELECT doc_id, syll AS syllables FROM n", syllables=lambda: T.syllables(T.words(t())))
 columns("is_text", r"SELECT doc_id, (CASE WHEN strlen(text) = 0 THEN false ELSE len(regexp_extract_all(substr(text, 1, 1024), '[\x20-\x7E\t\n\r]'))::DOUBLE / length(substr(text, 1, 1024)) > 0.8::DOUBLE END) AS is_text FROM d", is_text=lambda: F.when(F.length(T.given(t())) == 0, F.lit(False)).otherwise(F.regexp_count(F.substring(t(), 1, 1024), F.lit(r"[\x20-\x7E\t\n\r]")) / F.length(F.substring(t(), 1, 1024)) > 0.8))
-columns("heading_detect", ", h AS (SELECT doc_id, string_split(text, chr(10))[1] AS h FROM d) SELECT doc_id, h AS line, (length(h) < 100 AND h <> '' AND ((upper(h) = h AND lower(h) <> h) OR ends_with(h, ':')) AND NOT ends_with(h, '.') AND NOT ends_with(h, ',')) AS is_heading FROM h",
-        line=lambda: F.split(T.given(t()), "\n")[0], is_heading=lambda: (lambda h: (F.length(h) < 100) & (h != "") & (((F.upper(h) == h) & (F.lower(h) != h)) | h.endswith(":")) & ~h.endswith(".") & ~h.endswith(","))(F.split(T.given(t()), "\n")[0]))
 _HEADING = "(length(p) < 100 AND ((upper(p) = p AND lower(p) <> p) OR ends_with(p, ':')) AND NOT ends_with(p, '.') AND NOT ends_with(p, ','))"
 
 
 @query("heading_paragraphs", BASE + f", p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM d), u AS (SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS pos, unnest(ps) AS p FROM p) SELECT doc_id, pos::BIGINT AS pos, p AS paragraph, {_HEADING} AS is_heading FROM u")
 def heading_paragraphs(load):
     return O.heading_paragraphs(spread(load("documents")))
+
+
+_FIRST = r"""CASE WHEN length(text) <= 200 THEN text WHEN length(regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1)) > 1
+  THEN regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1) ELSE substr(text, 1, 200) END"""
+_PIPE = f""", e AS (SELECT doc_id, cleaned AS text FROM q), i AS (SELECT doc_id, text, {", ".join(f"{v} AS k_{k}" for k, v in _IND.items())} FROM e)
+SELECT doc_id, {_FIRST} AS summary, CASE greatest(k_en, k_es, k_fr, k_de) WHEN k_en THEN 'en' WHEN k_es THEN 'es' WHEN k_fr THEN 'fr' ELSE 'de' END AS language FROM i"""
+
+
+@query("text_pipeline", BASE + _CLEAN + _PIPE)
+def text_pipeline(load):
+    return O.text_pipeline(spread(load("documents")))

@@ -10,23 +10,36 @@ from .base import query
 
 R6 = lambda x: f"(floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE)"
 SIM = R6("list_cosine_similarity(embedding::DOUBLE[], q)")
-Q = "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) "
 
 
 def _q(load):
-    return load("embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    """Every vector whose id is divisible by 100 is a query."""
+    return load("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def _all(load):
-    return load("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+_EACH = lambda k, where="": f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0)
+SELECT query_id, vec_id, label, {SIM} AS similarity FROM embeddings, q {where}
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) <= {k}"""
+
+
+@query("cosine_sim", f"SELECT e.vec_id, query_id, {SIM.replace('embedding', 'e.embedding')} AS similarity FROM embeddings e JOIN (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings) ON query_id = e.vec_id - e.vec_id % 100")
+def cosine_sim(load):
+    """Each vector with the last query vector at or before it."""
+    q = load("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = load("embeddings").join(q, F.col("query_id") == F.col("vec_id") - F.col("vec_id") % 100)
+    return rows.select("vec_id", "query_id", T.rnd(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+
+
+@query("vector_topk", _EACH(10))
+def vector_topk(load):
+    return V.topk(load("embeddings"), _q(load)).select("query_id", "vec_id", "label", "similarity")
+
+
+@query("vector_topk_filtered", _EACH(5, "WHERE label = 3"))
+def vector_topk_filtered(load):
+    return V.topk(load("embeddings"), _q(load), 5, F.col("label") == 3).select("query_id", "vec_id", "label", "similarity")
 
 
-query("cosine_sim", Q + f"SELECT vec_id, {SIM} AS similarity FROM embeddings, q")(lambda load: load("embeddings").join(F.broadcast(_q(load).limit(1)), how="cross").select("vec_id", T.rnd(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")))
-query("vector_topk", Q + f"SELECT vec_id, label, {SIM} AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 10")(lambda load: V.topk(load("embeddings"), _q(load)).orderBy(F.desc("similarity"), "vec_id").select("vec_id", "label", "similarity"))
-query("vector_topk_filtered", Q + f"SELECT vec_id, label, {SIM} AS similarity FROM embeddings, q WHERE label = 3 ORDER BY similarity DESC, vec_id LIMIT 5")(lambda load: V.topk(load("embeddings"), _q(load), 5, F.col("label") == 3).orderBy(F.desc("similarity"), "vec_id").select("vec_id", "label", "similarity"))
-_EACH = lambda k, where="": f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, label, {SIM} AS similarity FROM embeddings, q {where} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) <= {k}"
-query("vector_topk_all", _EACH(10))(lambda load: V.topk(load("embeddings"), _all(load)).select("query_id", "vec_id", "label", "similarity"))
-query("vector_topk_filtered_all", _EACH(5, "WHERE label = 3"))(lambda load: V.topk(load("embeddings"), _all(load), 5, F.col("label") == 3).select("query_id", "vec_id", "label", "similarity"))
 query("l2_normalize", f"SELECT vec_id, {R6('sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))')} AS norm, {R6('embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))')} AS first FROM embeddings")(
     lambda load: V.l2_normalize(load("embeddings")).select("vec_id", T.rnd(F.col("norm"), 6).alias("norm"), T.rnd(F.col("embedding")[0], 6).alias("first")))
 query("upsert_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")(lambda load: V.upsert_latest(load("events").select("user_id", "event_id", "event_type"), "user_id", "event_id"))

@@ -9,23 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
+    """The folder in ``spark.checkpoint.dir``; on a local master a temporary one where that is unset.
+
+    A cluster without the setting is an error: its machines have no folder in common.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/larkspur-shared"
     return root.rstrip("/")
 
 
+def run_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_root(spark)}/larkspur/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that are not written yet read them."""
+    remove(spark, run_root(spark))
+
+
 class Scratch:
     """A fresh folder below the shared root for the tables of one run.
 
     ``keep`` writes a table there and returns a reader of it, which cuts lineage in a way that
-    outlives lost executors; ``drop`` deletes tables that nothing reads any more.
+    outlives lost executors; ``drop`` deletes tables that nothing reads any more. What is left at the
+    end of an application, ``clean`` removes.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+        self.path = f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -38,9 +59,4 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self.remove(t.scratch_path)
-
-    def remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(self.spark, t.scratch_path)

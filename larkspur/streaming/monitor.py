@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.text import rnd
 from ..functions.times import epoch
@@ -45,21 +47,24 @@ def rate_limit(requests: DataFrame, most: int = 3, window_s: float = 86400.0) ->
     """identifier, t and whether each request is allowed by a sliding log of the allowed ones (batch).
 
     A request counts if fewer than ``most`` were allowed in the window before it. State is at most
-    ``most`` times per identifier; an identifier's requests stream through one task in time order.
+    ``most`` times per identifier. Whether a request is allowed depends on all before it, so an
+    identifier's requests stream through one task in time order, however many they are. Requests
+    without an identifier share one log; those without a time come first and are not limited.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, kept = None, []
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, kept = (), []
+        for batch in batches:
             allowed = []
-            for i, t in zip(b["identifier"], b["t"].astype("int64") / 1e6):
-                if i != who:
-                    who, kept = i, []
-                allowed += _allow([t], kept, most, window_s)
-            yield b.assign(allowed=allowed)
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (i,) != who:
+                    who, kept = (i,), []
+                allowed += [True] if t is None else _allow([t / 1e6], kept, most, window_s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], ["identifier", "t", "allowed"])
 
     rows = requests.select("identifier", epoch(F.col("t"), "MICROSECOND").alias("t"))
-    return rows.repartition("identifier").sortWithinPartitions("identifier", "t").mapInPandas(run, "identifier long, t long, allowed boolean")
+    schema = StructType([*rows.schema.fields, StructField("allowed", BooleanType())])
+    return rows.repartition("identifier").sortWithinPartitions("identifier", "t").mapInArrow(run, schema)
 
 
 def rate_limit_stream(requests: DataFrame, most: int = 3, window_s: float = 86400.0) -> DataFrame:

@@ -192,3 +192,55 @@ def test_headings_of_all_paragraphs(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, 'en', 'a')", list(enumerate(texts)))
     assert set(con.execute(ORACLE_SQL["heading_paragraphs"]).fetchall()) == got
+
+
+SAME_ID = [(1, "Alpha beta alpha. Gamma delta."), (1, "omega omega psi. Chi chi chi sigma."), (None, "first words here. More first words."), (None, "other text. Other other."), (2, None)]
+
+
+@pytest.mark.parametrize("name", ["top_words", "top_chars", "key_sentences", "sentence_scores", "chunk_smart", "chunk_fixed", "token_counts", "heading_paragraphs"])
+def test_rows_that_share_an_id_stay_apart(spark, name):
+    """What comes of all rows at once is what comes of each row by itself."""
+    df = spark.createDataFrame(SAME_ID, "doc_id long, text string").coalesce(1)
+    got = sorted(map(repr, registry.run(name, df).collect()))
+    alone = [repr(r) for row in SAME_ID for r in registry.run(name, spark.createDataFrame([row], df.schema)).collect()]
+    assert got == sorted(alone)
+
+
+def test_requests_without_identifier_share_a_limit(spark):
+    from larkspur.streaming.monitor import rate_limit
+
+    rows = spark.sql("SELECT CAST(NULL AS BIGINT) AS identifier, timestamp_micros(id * 1000000) AS t FROM range(10) UNION ALL SELECT 5, timestamp_micros(id * 1000000) FROM range(2) UNION ALL SELECT 6, NULL")
+    got = rate_limit(rows).collect()
+    count = lambda i: [r["allowed"] for r in got if r["identifier"] == i]
+    assert sum(count(None)) == 3 and len(count(None)) == 10 and count(5) == [True, True] and count(6) == [True]
+    words = spark.sql("SELECT 'a' AS identifier, timestamp_micros(id) AS t FROM range(5)")
+    assert rate_limit(words).where("allowed").count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from larkspur import storage
+
+    class Context:
+        master, applicationId = "spark://host:7077", "a"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_root(Session())
+    kept = storage.Scratch(spark, "test").keep(spark.range(3))
+    assert kept.count() == 3 and storage.run_root(spark) in kept.scratch_path
+    storage.remove(spark, kept.scratch_path)
+
+
+def test_page_scores_use_the_status(spark):
+    from larkspur.operators.web import page_scores
+    from larkspur.sources.html import parse_pages
+
+    pages = spark.createDataFrame([(1, "http://a.com", "<html lang='en'><title>t</title></html>")], "page_id long, url string, html string")
+    got = [page_scores(p).first()["technical"] for p in (parse_pages(pages), parse_pages(pages).withColumn("status", F.lit(200)), parse_pages(pages).withColumn("status", F.lit(404)))]
+    assert got[0] == got[1] == got[2] + 0.25
