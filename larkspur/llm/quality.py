@@ -108,7 +108,7 @@ def chunks(z: np.ndarray, ends: np.ndarray, most: int = CHUNK) -> Iterator[tuple
             for at, here, packed, syms, bits in chunks(z[lo - pad : hi], ends[lo - pad : hi], 1 << 14):
                 yield at + lo - pad, here, packed, syms, bits
             continue
-        number = np.zeros(0x110000, np.uint32)
+        number = np.zeros(int(own[-1]) + 1, np.uint32)
         number[own] = np.arange(len(own), dtype=np.uint32)
         x = number[z[lo - pad : hi]].astype(np.uint64)
         bits = max(1, (len(own) - 1).bit_length())
@@ -119,6 +119,33 @@ def chunks(z: np.ndarray, ends: np.ndarray, most: int = CHUNK) -> Iterator[tuple
         yield lo, here, packed[here], own, bits
 
 
+def ranked(packed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct packed grams, ascending, and the number of each gram among them.
+
+    A gram is two pairs of symbols. Where a run's distinct pairs are few, as in alphabets, tables give
+    the numbers; else a search among the sorted grams does.
+    """
+    if 2 * bits <= 16:
+        half = np.uint64((1 << (2 * bits)) - 1)
+        high, low = (packed >> np.uint64(2 * bits)).astype(np.int64), (packed & half).astype(np.int64)
+        seen = np.zeros(1 << (2 * bits), bool)
+        seen[high] = seen[low] = True
+        pairs = np.flatnonzero(seen)
+        if len(pairs) <= 2048:
+            number = np.zeros(len(seen), np.int32)
+            number[pairs] = np.arange(len(pairs), dtype=np.int32)
+            cell = number[high] * len(pairs) + number[low]
+            used = np.zeros(len(pairs) ** 2, bool)
+            used[cell] = True
+            cells = np.flatnonzero(used)
+            place = np.zeros(len(used), np.int32)
+            place[cells] = np.arange(len(cells), dtype=np.int32)
+            grams = (pairs[cells // len(pairs)].astype(np.uint64) << np.uint64(2 * bits)) | pairs[cells % len(pairs)].astype(np.uint64)
+            return grams, place[cell]
+    grams = np.unique(packed)
+    return grams, np.searchsorted(grams, packed)
+
+
 def opened(packed: np.ndarray, own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, last symbol) of packed grams; a context is three code points in a long."""
     mask = np.uint64((1 << bits) - 1)
@@ -156,7 +183,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     z, ends, _ = symbols(data, offs)
                     for _, _, packed, own, bits in chunks(z, ends):
                         if len(packed):
-                            u, n = np.unique(packed, return_counts=True)
+                            u, at = ranked(packed, bits)
+                            n = np.bincount(at, minlength=len(u))
                             held.setdefault(m, []).append((*opened(u, own, bits), n))
             if sum(len(x[0]) for v in held.values() for x in v) > GATHER:
                 for m in list(held):
@@ -333,9 +361,9 @@ class Models:
                 for at, here, packed, own, bits in chunks(z, ends):
                     if not len(packed):
                         continue
-                    u = np.unique(packed)
+                    u, number = ranked(packed, bits)
                     value = np.zeros(len(here))
-                    value[here] = self.log_prob(m, *opened(u, own, bits))[np.searchsorted(u, packed)]
+                    value[here] = self.log_prob(m, *opened(u, own, bits))[number]
                     upto = np.concatenate([[0], np.cumsum(value)])
                     edge = np.clip(np.append(start, len(z)) - at, 0, len(here))
                     sums += np.diff(upto[edge])
@@ -422,18 +450,15 @@ def fit(docs: DataFrame) -> Rules:
     return Rules(f"{scratch.path}/models")
 
 
-def learn(docs: DataFrame) -> Rules:
-    """Models and bands of a corpus."""
-    rules = fit(docs)
+def learn(docs: DataFrame, rules: Rules | None = None) -> Rules:
+    """Models and bands of a corpus; with ``rules``, bands under their models."""
+    rules = rules or fit(docs)
     scratch = Scratch(docs.sparkSession, "quality")
     return Rules(rules.path, scratch.keep(bands(featured(docs, rules.path, [])), "bands"))
 
 
-def _judged(docs: DataFrame, rules: Rules | None, columns: list[str]) -> DataFrame:
-    """c0, c1, ..., features, band and verdict of all documents, which are scored once and written."""
-    rules = rules or fit(docs)
-    rows = Scratch(docs.sparkSession, "quality").keep(featured(docs, rules.path, columns), "features")
-    limits = rules.bands or bands(rows)
+def _verdict(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows of ``featured`` with their band and ``kept``."""
     rows = sized_join(rows, limits.select(F.col("lang").alias("_of"), "lower", "upper"), F.col("_lang").eqNullSafe(F.col("_of")), "left").drop("_of", "_lang")
     give = F.lit(SHORT) / F.sqrt(F.greatest("n_words", F.lit(1)))
     rows = rows.withColumns({"lower": F.col("lower") - give, "upper": F.col("upper") + give})
@@ -447,14 +472,19 @@ def judge_documents(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     Null texts have no words and fail. A null language is a language. A document whose language has no
     model or no band is kept if it passes the base rules. Rows are judged one by one, so repeated rows agree.
     """
-    rows = _judged(docs.withColumn("doc_id", F.col("doc_id").cast("long")), rules, ["doc_id"])
-    return rows.select(
+    rules = rules or fit(docs)
+    rows = Scratch(docs.sparkSession, "quality").keep(featured(docs.withColumn("doc_id", F.col("doc_id").cast("long")), rules.path, ["doc_id"]), "features")
+    return _verdict(rows, rules.bands or bands(rows)).select(
         F.col("c0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.exp("nats").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"),
     )
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The documents that ``judge_documents`` keeps, with all their columns."""
+    """The documents that ``judge_documents`` keeps, with all their columns.
+
+    Texts are scored for the bands, and again with them: a copy of all texts would take more than that.
+    """
     columns = docs.columns
-    return _judged(docs, rules, columns).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    rules = rules if rules and rules.bands else learn(docs, rules)
+    return _verdict(featured(docs, rules.path, columns), rules.bands).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
