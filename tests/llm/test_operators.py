@@ -251,30 +251,42 @@ def test_forests_are_best():
     """The first forest has the largest total of all, and every further edge is between sets that no sure edge connects."""
     rng = np.random.default_rng(5)
     for n in (2, 3, 7, 40):
-        x = rng.integers(0, 2, (n, jaccard.COORDINATES)).astype(np.uint16)
+        x = rng.integers(0, 2, (n, jaccard.COORDINATES)).astype(np.uint8)
         x[n // 2 :] = np.where(rng.random((n - n // 2, 128)) < 0.9, x[0], x[n // 2 :])
         same = jaccard.agreement(x)
         assert all(same[i, j] == (x[i] == x[j]).sum() for i in range(n) for j in range(i))
         need, sure = 70, 115
-        edges, root = jaccard.block_edges(x, need, sure)
+        edges, n_first, root = jaccard.block_edges(x, need, sure)
         pairs = sorted(((same[i, j], i, j) for i in range(n) for j in range(i + 1, n) if same[i, j] >= need), reverse=True)
         of, total = list(range(n)), 0
         for w, i, j in pairs:  # Kruskal
             if of[i] != of[j]:
                 total += w
                 of = [of[i] if v == of[j] else v for v in of]
-        first = len(set(range(n))) - len(set(of))
+        first = n - len(set(of))
+        assert n_first == first
         assert sum(same[e] for e in edges[:first]) == total and len(edges) == len({tuple(sorted(e)) for e in edges})
         assert len(set(root.tolist())) == n - first
 
 
-def test_jaccard_recall_at_every_depth(docs, monkeypatch):
-    """Runs are enough for the recall at the depth that the largest buckets are split to."""
-    runs, inner = [], jaccard.buckets
-    monkeypatch.setattr(jaccard, "buckets", lambda *a: (runs.append(a[3]), inner(*a))[1])
-    jaccard.link_classes(docs.limit(20))
-    for depth in range(jaccard.DEPTH, jaccard.DEEPEST + 1):
-        assert 1 - (1 - jaccard.share_of_runs(jaccard.THRESHOLD, depth)) ** runs[0] >= jaccard.RECALL
+def test_jaccard_recall_at_every_size():
+    """The runs are enough whether buckets are small or split again: simulated for pairs at the threshold."""
+    runs = jaccard.runs_for(jaccard.THRESHOLD, jaccard.RECALL)
+    assert jaccard.share_met(jaccard.THRESHOLD, runs) >= jaccard.RECALL
+    assert 1 - (1 - jaccard.share_of_runs(jaccard.THRESHOLD, jaccard.DEPTH)) ** runs >= jaccard.RECALL
+    rng, n, hit, deep = np.random.default_rng(7), 1500, 0, 0
+    for _ in range(n):
+        a = rng.integers(0, 256, jaccard.COORDINATES).astype(np.uint8)
+        b = np.where(rng.random(jaccard.COORDINATES) < jaccard.THRESHOLD, a, rng.integers(0, 256, jaccard.COORDINATES)).astype(np.uint8)
+        x = np.stack([a, b])
+        roots = rng.integers(0, 2**63, runs).astype(np.uint64)
+        row, node = jaccard.grow(x, np.tile([0, 1], runs), np.repeat(roots, 2), jaccard.DEPTH, jaccard.THRESHOLD)
+        both = np.intersect1d(node[row == 0], node[row == 1])
+        hit += len(both) > 0
+        again = np.concatenate([jaccard.mix(both + np.uint64(i)) for i in range(jaccard.SUBTREES)])
+        row, node = jaccard.grow(x, np.tile([0, 1], len(again)), np.repeat(again, 2), jaccard.DEPTH, jaccard.THRESHOLD)
+        deep += len(np.intersect1d(node[row == 0], node[row == 1])) > 0
+    assert hit / n >= jaccard.RECALL - 0.005 and deep / n >= jaccard.RECALL - 0.005
 
 
 def test_substring_passages(spark):
