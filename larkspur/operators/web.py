@@ -80,3 +80,46 @@ def status_class(rows: DataFrame) -> DataFrame:
     s = F.col("status")
     names = ((200, "Success"), (300, "Redirection"), (400, "Client Error"), (500, "Server Error"))
     return rows.withColumn("status_class", reduce(lambda rest, n: F.when(s.between(n[0], n[0] + 99), n[1]).otherwise(rest), names, F.lit("Unknown")))
+
+
+@operator(category="web")
+def url_batch(urls: DataFrame) -> DataFrame:
+    """How many URLs there are and how many are valid, and the rate as text."""
+    out = validate_url(urls).agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("n_valid"))
+    return out.withColumn("rate", F.format_string("%.1f%%", rnd(per(F.lit(100.0) * F.col("n_valid"), F.col("total")), 1)))
+
+
+#: Fields of parsed pages by the name of what is extracted.
+EXTRACTS = {"title": ["title"], "meta": ["meta"], "headers": ["heading_texts"], "links": ["links"], "text": ["text"], "images": ["image_list"]}
+
+
+@operator(category="web")
+def extract(parsed: DataFrame, parts: list[str]) -> DataFrame:
+    """page_id, url and the named parts of parsed pages: title, meta, headers, links, text, images; unknown names are left out."""
+    return parsed.select("page_id", "url", *[c for part in dict.fromkeys(parts) for c in EXTRACTS.get(part, [])])
+
+
+@operator(category="web")
+def seo_issues(parsed: DataFrame) -> DataFrame:
+    """page_id and the ordered issues of title, description and images without alternative texts. The messages are fixed values."""
+    title, description = F.length(F.coalesce("title", F.lit(""))), F.length("description")
+    share = F.col("images_with_alt") / F.col("images")
+    notes = F.array(
+        F.when(title == 0, "Missing title").when(~title.between(30, 60), F.format_string("Title length %d not ideal", title)),
+        F.when(description == 0, "Missing meta description").when(~description.between(120, 160), F.format_string("Meta description length %d not ideal", description)),
+        F.when((F.col("images") > 0) & (share <= 0.8), F.format_string("Only %d%% of images have alt", F.floor(share * 100).cast("int"))),
+    )
+    return parsed.select("page_id", F.filter(notes, F.isnotnull).alias("issues"))
+
+
+@operator(category="web")
+def ip_literals(hosts: DataFrame) -> DataFrame:
+    """host and its kind: ipv4, ipv6 or name."""
+    byte = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4 = rf"{byte}(?:\.{byte}){{3}}"
+    h = F.col("host")
+    # at most seven groups beside "::", eight without; a dotted tail counts as two
+    groups = F.size(F.filter(F.split(F.regexp_replace(h, rf"{v4}$", "0:0"), ":"), lambda g: g != ""))
+    shape = h.rlike(rf"^[0-9A-Fa-f:]*(?:{v4})?$") & h.contains(":") & ~h.rlike(":::|::.*::|[0-9A-Fa-f]{5}") & ~h.rlike("^:[^:]|[^:]:$") & ~h.rlike(rf"[0-9A-Fa-f]\.[^.]*:")
+    v6 = shape & F.when(h.contains("::"), groups <= 7).otherwise(groups == 8)
+    return hosts.select("host", F.when(h.rlike(f"^{v4}$"), "ipv4").when(v6, "ipv6").otherwise("name").alias("kind"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import files as K
 from ..functions import text as T
 from ..functions.times import epoch
+from ..operators import batches as B
 from ..operators import records as O
 from ..operators import web
 from ..session import spread
@@ -23,10 +24,8 @@ files("find_files", r"SELECT '*1.*' AS pattern, path FROM c WHERE regexp_matches
 _TOOLS = ", ".join(f"('{a}', '{b}', '{t}')" for a, b, t in K.TOOLS)
 files("conversion_tool", f", t(e, target, tool) AS (VALUES {_TOOLS}) SELECT path, target, tool FROM c LEFT JOIN t ON lower(extension) = e")(O.conversion_tool)
 _SCHEMES = {"scanned": (K.SCANNED, "other"), "recorded": (K.RECORDED, "unknown"), "detected": (K.DETECTED, "other")}
-files("category_schemes", "SELECT path, " + ", ".join(f"{case('lower(extension)', K.by_extension(s), repr(d))} AS {n}" for n, (s, d) in _SCHEMES.items()) + " FROM c")(
-    lambda c: c.select("path", *[K.category(F.col("extension"), s, d).alias(n) for n, (s, d) in _SCHEMES.items()]))
-files("code_language", f"SELECT path, {case('lower(extension)', K.LANGUAGES, repr('text'))} AS language FROM c")(
-    lambda c: c.select("path", K.lookup(F.lower("extension"), K.LANGUAGES, "text").alias("language")))
+files("category_schemes", "SELECT path, " + ", ".join(f"{case('lower(extension)', K.by_extension(s), repr(d))} AS {n}" for n, (s, d) in _SCHEMES.items()) + " FROM c")(B.category_schemes)
+files("code_language", f"SELECT path, {case('lower(extension)', K.LANGUAGES, repr('text'))} AS language FROM c")(B.code_language)
 files("dir_children", "SELECT dir, count(*) AS item_count, sum(size)::BIGINT AS total_size, count(*) = 0 AS is_empty FROM c GROUP BY dir")(O.dir_children)
 files("output_tree", "SELECT DISTINCT '' AS parent, dir AS name, false AS is_file FROM c UNION ALL SELECT dir AS parent, name, true AS is_file FROM c")(O.output_tree)
 files("file_record", rf"SELECT path, doc_id::VARCHAR AS stem, lower(extension) AS suffix, {R('size / 1048576.0::DOUBLE', 2)} AS size_mb, strftime(mtime, '%Y-%m-%dT%H:%M:%S') AS modified FROM c")(O.file_record)
@@ -40,10 +39,10 @@ files("conversion_batch", f", r AS (SELECT dir, size, size - doc_id % 100 AS new
       f"SELECT *, CASE WHEN successful + failed > 0 THEN {R('successful::DOUBLE / (successful + failed)', 4)} ELSE 0.0::DOUBLE END AS success_rate, CASE WHEN size_before > 0 THEN {R('100.0::DOUBLE * (size_after - size_before) / size_before', 2)} ELSE 0.0::DOUBLE END AS change_percent FROM g")(
     lambda c: O.conversion_batch(c.select("dir", "size", (F.col("size") - F.col("doc_id") % 100).alias("new_size"), F.expr(_STATUS).alias("status"))))
 _WHY = "CASE WHEN size IS NULL THEN 'missing' WHEN extension NOT IN ('.txt', '.csv', '.pdf') THEN 'invalid: extension not allowed' ELSE 'valid' END"
-files("file_list_check", f"SELECT {_WHY} AS outcome, count(*) AS n, min(path) AS first_path FROM c GROUP BY 1")(lambda c: c.groupBy(F.expr(_WHY).alias("outcome")).agg(O.one().alias("n"), F.min("path").alias("first_path")))
+files("file_list_check", f"SELECT {_WHY} AS outcome, count(*) AS n, min(path) AS first_path FROM c GROUP BY 1")(lambda c: B.file_list_check(c, [".txt", ".csv", ".pdf"]))
 _TYPE = "CASE WHEN doc_id % 11 = 0 THEN 'application/x-executable' ELSE 'text/plain' END"
 files("security_report", f"SELECT path, (doc_id >> 7) & 1 = 1 AS writable, {_TYPE} LIKE '%executable%' AND extension NOT IN ('.exe', '.bin') AS suspicious FROM c")(
-    lambda c: c.select("path", F.expr("shiftright(doc_id, 7) & 1 = 1").alias("writable"), (F.expr(_TYPE).contains("executable") & ~F.col("extension").isin(".exe", ".bin")).alias("suspicious")))
+    lambda c: B.security_report(c.select("path", "extension", F.col("doc_id").alias("mode"), F.expr(_TYPE).alias("mime")), [".exe", ".bin"]))
 
 
 def docs(name: str, sql: str):
@@ -64,7 +63,7 @@ query("page_headings")(lambda load: parse_pages(load("pages")).select("page_id",
 query("page_images")(lambda load: parse_pages(load("pages")).select("page_id", F.size("image_list").alias("n_images"), F.to_json("image_list").alias("images")))
 _GOOD = r"regexp_matches(url, '(?i)^https?://\S+$') AND NOT regexp_matches(url, '[<>]') AND regexp_matches(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1), '^[^:]*\.\p{L}{2,}(:.*)?$')"
 query("url_batch", _URLS + f"SELECT count(*) AS total, count(*) FILTER (WHERE {_GOOD}) AS n_valid, printf('%.1f%%', {R(f'100.0::DOUBLE * count(*) FILTER (WHERE {_GOOD}) / count(*)', 1)}) AS rate FROM u")(
-    lambda load: web.validate_url(urls(load("pages"))).agg(O.one().alias("total"), F.count_if("valid").alias("n_valid")).withColumn("rate", F.format_string("%.1f%%", T.rnd(F.lit(100.0) * F.col("n_valid") / F.col("total"), 1))))
+    lambda load: web.url_batch(urls(load("pages"))))
 query("url_domain", _URLS + r", h AS (SELECT url, string_split(regexp_extract(url, '(?i)^[a-z]+:(?:https?:)?//([^/?#]*)', 1), ':')[1] AS domain FROM u) SELECT url, domain, CASE WHEN domain = '' THEN 0 ELSE len(string_split(domain, '.')) END::BIGINT AS labels FROM h")(
     lambda load: urls(load("pages")).select("url", F.split(F.regexp_extract("url", r"(?i)^[a-z]+:(?:https?:)?//([^/?#]*)", 1), ":")[0].alias("domain")).withColumn("labels", F.when(F.col("domain") == "", 0).otherwise(F.size(F.split("domain", r"\."))).cast("long")))
 
@@ -76,7 +75,7 @@ def events(name: str, sql: str):
 events("health_summary", "SELECT event_type AS series, count(*) AS total, count(*) FILTER (WHERE value < 40) AS n_passed, count(*) - count(*) FILTER (WHERE value < 40) AS n_failed, count(*) = count(*) FILTER (WHERE value < 40) AS all_passed FROM events GROUP BY 1")(
     lambda e: O.health_summary(e.withColumn("passed", F.col("value") < 40)))
 events("latest_execution", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, max(epoch(ts)::BIGINT) AS last_s FROM (SELECT user_id, event_type, event_id, date_trunc('second', ts) AS ts FROM events) GROUP BY 1")(
-    lambda e: e.withColumn("t", epoch(F.date_trunc("second", "ts"))).groupBy("user_id").agg(F.max_by("event_type", F.struct("t", "event_id")).alias("last_type"), F.max("t").alias("last_s")))
+    lambda e: B.latest_execution(e.withColumn("t", epoch(F.date_trunc("second", "ts"))), "user_id", "event_type", "t", "event_id"))
 events("eta", f"SELECT event_id, CASE WHEN event_id % 101 > 0 THEN {R('value / ((event_id % 101) / 100.0::DOUBLE)', 3)} END AS eta_s FROM events")(
     lambda e: O.eta(e.select("event_id", F.col("value").alias("elapsed_s"), (F.col("event_id") % 101).alias("percent"))).select("event_id", "eta_s"))
 events("diagnostics", "SELECT event_type AS series, count(i) AS n_issues, CASE WHEN coalesce(bool_or(contains(lower(i), 'critical')), false) THEN 'critical' WHEN count(i) > 0 THEN 'warning' ELSE 'healthy' END AS overall FROM (SELECT event_type, CASE WHEN event_type = 'error' AND value > 90 THEN 'Disk usage: CRITICAL' WHEN event_type <> 'view' AND value > 95 THEN 'Slow' END AS i FROM events) GROUP BY 1")(
@@ -84,10 +83,10 @@ events("diagnostics", "SELECT event_type AS series, count(i) AS n_issues, CASE W
 events("connectivity", "SELECT event_id AS host, CASE WHEN issues = '' THEN 'healthy' ELSE 'degraded' END AS overall, issues FROM (SELECT event_id, concat_ws('; ', CASE WHEN event_id % 7 = 0 THEN 'DNS resolution failed' END, CASE WHEN event_id % 5 = 0 THEN 'Host is not reachable via ping' END, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'HTTP/HTTPS services are not accessible' END) AS issues FROM events)")(
     lambda e: O.connectivity(e.select(F.col("event_id").alias("host"), *[(F.col("event_id") % n != 0).alias(c) for c, n in (("resolvable", 7), ("reachable", 5), ("http", 2), ("https", 3))])))
 events("port_states", "SELECT user_id, count(*) FILTER (WHERE value < 10) AS n_open, count(*) FILTER (WHERE value >= 10 AND value < 30) AS n_closed, count(*) FILTER (WHERE value >= 30) AS n_filtered FROM events GROUP BY 1")(
-    lambda e: e.groupBy("user_id").agg(F.count_if(F.col("value") < 10).alias("n_open"), F.count_if(F.col("value").between(10, 30) & (F.col("value") < 30)).alias("n_closed"), F.count_if(F.col("value") >= 30).alias("n_filtered")))
+    lambda e: B.port_states(e, "user_id"))
 events("iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, epoch(date_trunc('second', ts))::BIGINT - 1704067200 AS since_s FROM events")(
-    lambda e: e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), (epoch(F.date_trunc("second", "ts")) - 1704067200).alias("since_s")))
-events("unique_users", "SELECT event_type AS series, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")(lambda e: e.groupBy("series").agg(F.countDistinct("user_id").alias("n_users")))
+    lambda e: B.iso_times(e, "ts", "event_id"))
+events("unique_users", "SELECT event_type AS series, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")(lambda e: B.distinct_values(e, "series", "user_id", "n_users"))
 _RAW = "CASE WHEN event_id % 10 = 0 THEN substr(props, 2) ELSE props END"
 events("json_check", f"SELECT event_id, json_valid({_RAW}) AS valid, strlen({_RAW}) AS n_bytes FROM events")(
     lambda e: e.select("event_id", T.is_json(F.expr(_RAW)).alias("valid"), F.expr(f"octet_length({_RAW})").cast("long").alias("n_bytes")))
@@ -98,8 +97,8 @@ events("parameter_sets", f"SELECT event_id AS call, array_to_string(list_sort(li
     lambda e: O.parameter_sets(e.select(F.col("event_id").alias("call"), F.array("series", F.get(F.array(F.lit("path"), F.lit("content"), F.lit("mode")), (F.col("event_id") % 3).cast("int"))).alias("given")), ["path", "content", "mode"]))
 
 query("process_filter", "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%CUSTOMER%1%' ORDER BY c_custkey LIMIT 50")(
-    lambda load: load("customer").where(F.col("c_name").ilike("%CUSTOMER%1%")).select("c_custkey", "c_name").orderBy("c_custkey").limit(50))
-query("partitions_by_usage", "SELECT s_name AS device, s_acctbal AS used FROM supplier ORDER BY used DESC, device")(lambda load: load("supplier").select(F.col("s_name").alias("device"), F.col("s_acctbal").alias("used")).orderBy(F.desc("used"), "device"))
+    lambda load: B.process_filter(load("customer").select("c_custkey", "c_name"), "CUSTOMER%1", 50, "c_name", "c_custkey"))
+query("partitions_by_usage", "SELECT s_name AS device, s_acctbal AS used FROM supplier ORDER BY used DESC, device")(lambda load: B.by_usage(load("supplier").select(F.col("s_name").alias("device"), F.col("s_acctbal").alias("used"))))
 query("image_basics", f"WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey % 4000 + 1 AS width, l_suppkey % 3000 + 1 AS height FROM lineitem) SELECT *, {R('width * height / 1000000.0::DOUBLE', 2)} AS megapixels, (width // gcd(width, height)) || ':' || (height // gcd(width, height)) AS aspect FROM i")(
     lambda load: O.image_basics(load("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 4000 + 1).alias("width"), (F.col("l_suppkey") % 3000 + 1).alias("height"))))
 query("ocr_words", f"WITH w AS (SELECT l_orderkey AS image, CASE WHEN l_linenumber % 5 = 0 THEN '  ' ELSE l_shipdate::DATE::VARCHAR END AS word, (l_quantity * 2 - 4)::BIGINT AS conf FROM lineitem), g AS (SELECT image, count(*) AS word_count, sum(length(trim(word)))::BIGINT AS character_count, avg(conf) AS c, min(conf) AS min_confidence, max(conf) AS max_confidence FROM w WHERE conf > 0 AND trim(word) <> '' GROUP BY image) "

@@ -147,7 +147,7 @@ columns("is_text", r"SELECT doc_id, (CASE WHEN strlen(text) = 0 THEN false ELSE
 _HEADING = "(length(p) < 100 AND ((upper(p) = p AND lower(p) <> p) OR ends_with(p, ':')) AND NOT ends_with(p, '.') AND NOT ends_with(p, ','))"
 
 
-@query("heading_paragraphs", BASE + f", p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM d), u AS (SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS pos, unnest(ps) AS p FROM p) SELECT doc_id, pos::BIGINT AS pos, p AS paragraph, {_HEADING} AS is_heading FROM u")
+@query("heading_detect", BASE + f", p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM d), u AS (SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS pos, unnest(ps) AS p FROM p) SELECT doc_id, pos::BIGINT AS pos, p AS paragraph, {_HEADING} AS is_heading FROM u")
 def heading_paragraphs(load):
     return O.heading_paragraphs(spread(load("documents")))
 

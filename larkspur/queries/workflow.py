@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.files import lookup
+from ..operators.images import quality_band
 from ..operators.workflow import step_levels
 from .base import query
 
@@ -21,5 +22,4 @@ query("dag_levels", "SELECT o_orderkey AS step, CASE WHEN o_orderkey = 0 THEN 0
 
 _M = "SELECT l_orderkey, l_linenumber, l_quantity / 20.0::DOUBLE AS bpp, l_extendedprice / 5000.0::DOUBLE AS mp, l_discount * 100 AS sharp, l_tax * 100 AS noise FROM lineitem"
 query("image_quality_band", f"WITH s AS (SELECT *, (CASE WHEN bpp > 2 THEN 2 WHEN bpp > 1 THEN 1 ELSE 0 END + CASE WHEN mp > 8 THEN 2 WHEN mp > 2 THEN 1 ELSE 0 END + CASE WHEN sharp > 10 THEN 2 WHEN sharp > 5 THEN 1 ELSE 0 END + CASE WHEN noise < 5 THEN 2 WHEN noise < 10 THEN 1 ELSE 0 END) AS score FROM ({_M})) SELECT l_orderkey, l_linenumber, score::BIGINT AS score, CASE WHEN score >= 6 THEN 'excellent' WHEN score >= 4 THEN 'good' WHEN score >= 2 THEN 'fair' ELSE 'poor' END AS band FROM s")(
-    lambda load: load("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 20.0).alias("bpp"), (F.col("l_extendedprice") / 5000.0).alias("mp"), (F.col("l_discount") * 100).alias("sharp"), (F.col("l_tax") * 100).alias("noise")).select("l_orderkey", "l_linenumber", (
-        F.when(F.col("bpp") > 2, 2).when(F.col("bpp") > 1, 1).otherwise(0) + F.when(F.col("mp") > 8, 2).when(F.col("mp") > 2, 1).otherwise(0) + F.when(F.col("sharp") > 10, 2).when(F.col("sharp") > 5, 1).otherwise(0) + F.when(F.col("noise") < 5, 2).when(F.col("noise") < 10, 1).otherwise(0)).cast("long").alias("score")).withColumn("band", F.when(F.col("score") >= 6, "excellent").when(F.col("score") >= 4, "good").when(F.col("score") >= 2, "fair").otherwise("poor")))
+    lambda load: quality_band(load("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 20.0).alias("bpp"), (F.col("l_extendedprice") / 5000.0).alias("mp"), (F.col("l_discount") * 100).alias("sharp"), (F.col("l_tax") * 100).alias("noise"))).select("l_orderkey", "l_linenumber", "score", "band"))

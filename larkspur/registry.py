@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import inspect
 import re
+import threading
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import get_type_hints
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +30,7 @@ class Registry:
 
     def __init__(self) -> None:
         self._ops: dict[str, Operator] = {}
+        self._runs: dict[str, list[tuple[bool, float]]] = {}
 
     def operator(self, name: str | None = None, category: str = "general"):
         def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -58,6 +63,50 @@ class Registry:
             raise ValueError("; ".join(wrong))
         return self._ops[name].fn(df, **params)
 
+    def execute(self, name: str, df: DataFrame, timeout_s: float | None = None, **params) -> dict:
+        """Run an operator to its end: success, rows, seconds and error; a job beyond ``timeout_s`` is cancelled.
+
+        Outcomes are counted; ``stats`` gives them.
+        """
+        spark, group = df.sparkSession, f"{name}-{uuid.uuid4().hex}"
+        begun, out = time.monotonic(), {"operator": name, "success": False, "rows": None, "error": None}
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            spark.sparkContext.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout_s, stop) if timeout_s else None
+        spark.sparkContext.setJobGroup(group, name, interruptOnCancel=True)
+        try:
+            result = self.run(name, df, **params)
+            if timer:
+                timer.start()
+            out |= {"rows": result.count(), "success": True}
+        except Exception as e:  # whatever the operator or its job raises is the record's error
+            out["error"] = f"timed out after {timeout_s} s" if late.is_set() else f"{type(e).__name__}: {e}"
+        finally:
+            if timer:
+                timer.cancel()
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        out["seconds"] = time.monotonic() - begun
+        self._runs.setdefault(name, []).append((out["success"], out["seconds"]))
+        return out
+
+    def stats(self, name: str) -> dict:
+        """Executions, successes, errors, their rate in percent and the mean of seconds of ``execute``."""
+        runs = self._runs.get(name, [])
+        good = sum(ok for ok, _ in runs)
+        return {"executions": len(runs), "successes": good, "errors": len(runs) - good, "success_rate": round(100 * good / len(runs), 2) if runs else 0.0, "mean_s": sum(s for _, s in runs) / len(runs) if runs else 0.0}
+
+    def export(self, name: str) -> dict:
+        """An operator's name, description, category, parameters with their kinds and defaults, what it returns, and its statistics."""
+        o = self._ops[name]
+        hints = get_type_hints(o.fn)
+        kind = lambda h: getattr(h, "__name__", str(h)) if h is not None else "any"
+        params = {p: {"type": kind(hints.get(p)), "required": v.default is inspect.Parameter.empty} | ({} if v.default is inspect.Parameter.empty else {"default": repr(v.default)}) for p, v in o.params.items()}
+        return {"name": o.name, "description": o.doc, "category": o.category, "parameters": params, "returns": {"type": kind(hints.get("return"))}, "stats": self.stats(name)}
+
     def describe(self, spark: SparkSession) -> DataFrame:
         rows = [(o.name, o.category, o.doc.split("\n")[0], sorted(o.params)) for o in self._ops.values()]
         return spark.createDataFrame(rows, "name string, category string, doc string, params array<string>")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ingest_clean
 from ..operators.text import chunk_smart
 from .html import parse
+from .office import pdf_text
 
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -70,7 +71,7 @@ def web(data: bytes) -> str:
     return parse(None, "", plain(data))["text"]
 
 
-READERS: dict[str, Callable[[bytes], str]] = {".csv": delimited(","), ".tsv": delimited("\t"), ".json": json_lines, ".html": web, ".htm": web, ".docx": docx}
+READERS: dict[str, Callable[[bytes], str]] = {".csv": delimited(","), ".tsv": delimited("\t"), ".json": json_lines, ".html": web, ".htm": web, ".docx": docx, ".pdf": pdf_text}
 
 
 def register_reader(extension: str, reader: Callable[[bytes], str]) -> None:

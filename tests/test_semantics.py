@@ -191,7 +191,7 @@ def test_headings_of_all_paragraphs(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, 'en', 'a')", list(enumerate(texts)))
-    assert set(con.execute(ORACLE_SQL["heading_paragraphs"]).fetchall()) == got
+    assert set(con.execute(ORACLE_SQL["heading_detect"]).fetchall()) == got
 
 
 SAME_ID = [(1, "Alpha beta alpha. Gamma delta."), (1, "omega omega psi. Chi chi chi sigma."), (None, "first words here. More first words."), (None, "other text. Other other."), (2, None)]
