@@ -175,6 +175,8 @@ def decode(data: bytes) -> np.ndarray:
                 body = body[17 + n :]
         elif marker in (0xC0, 0xC1, 0xC3):
             kind, height, width = marker, int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            if not height or not width or not body[5]:
+                raise ValueError("a frame without samples")
             parts = [[body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]] for i in range(body[5])]
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("only baseline and lossless Huffman frames are read")
@@ -194,6 +196,8 @@ def decode(data: bytes) -> np.ndarray:
             last = i + 2
         i = scan.find(b"\xff", i + 2)
     pieces = [p.replace(b"\xff\x00", b"\xff") for p in [*pieces, scan[last:]]]
+    if kind is None:
+        raise ValueError("a scan before its frame")
     if kind == 0xC3:
         return _lossless(pieces, huff[tables[parts[0][0]] >> 4], height, width, first, restart)
     return _baseline(pieces, parts, tables, quant, huff, height, width, restart)
@@ -201,6 +205,8 @@ def decode(data: bytes) -> np.ndarray:
 
 def _lossless(pieces: list[bytes], table: dict, height: int, width: int, predictor: int, restart: int) -> np.ndarray:
     out = np.zeros((height, width), np.int64)
+    if restart % width:
+        raise ValueError("restarts within a row")
     rows = restart // width if restart else height
     for y in range(height):
         if y % rows == 0:

@@ -153,7 +153,7 @@ def clips(media: DataFrame) -> DataFrame:
                 try:
                     frames, fps = read_avi(batch.column(1)[i].as_py() or b"")
                     rows = [(k, a, b - a, a / fps, b / fps, None) for k, (a, b) in enumerate(shots(decode_all(frames)))]
-                except (ValueError, IndexError, KeyError, struct.error) as e:
+                except (ValueError, IndexError, KeyError, ZeroDivisionError, OverflowError, struct.error) as e:
                     rows = [(None, None, None, None, None, str(e))]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())

@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op3_substring_dedup": _on("documents", substring.repeated_passages),
     "op4_lm_scoring": lambda spark, sf_dir: lmscore.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_media_columns": _on("documents", media.media_digests),
+    "media_clips": lambda spark, sf_dir: media.clips(media.text_media(table(spark, sf_dir, "documents"))),
     "op6_jaccard_join": _on("documents", jaccard.join_documents),
     "op7_quality_rules": _on("documents", quality.judge_documents),
     "op8_url_filters": _on("pages", urlfilter.filter_urls),
