@@ -1,21 +1,27 @@
 """URL filters by a sort-merge range join.
 
 A host is written in reverse (``com.example.``), so a host and its subdomains are one interval of
-the sorted keys. URLs are range-partitioned and sorted by key; a sweep over them and the sorted rule
-hosts keeps a stack of the rule hosts whose intervals are open, each nested in the one below.
+the sorted keys. URLs are dealt into ranges of keys; each rule goes to the ranges that its interval
+meets, which for most is one. In a range, a sweep over the sorted URLs and rule hosts keeps a stack of the
+rule hosts whose intervals are open, each nested in the one below; it begins with those that are
+open at the range's first key.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-#: Rules that are sent to all tasks at once; more rules take one sweep for each block of so many.
-RULES_PER_SWEEP = 100_000
+from ..storage import Scratch
+
+#: URLs of a range, about; small tables have some ranges for each core.
+ROWS_PER_RANGE = 1_000_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -107,51 +113,77 @@ class Sweep:
         return best
 
 
-def _sweep(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    shared = urls.sparkSession.sparkContext.broadcast(list(rules))
-    kind = urls.schema["page_id"].dataType.simpleString()
+def rule_table(urls: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """host, path, verdict and turn of rules; a table of rules may say their ``turn`` itself."""
+    if isinstance(rules, DataFrame):
+        turn = F.col("turn").cast("long") if "turn" in rules.columns else F.lit(0).cast("long")
+        return rules.where("host is not null and path is not null").select("host", "path", "verdict", turn.alias("turn"))
+    rows = [(r.host, r.path, r.verdict, i) for i, r in enumerate(rules)]
+    return urls.sparkSession.createDataFrame(rows, "host string, path string, verdict string, turn long")
+
+
+def dealt(rules: DataFrame, bounds: list[tuple[int, str, str]]) -> DataFrame:
+    """The rules, with their key, in each range (number, least key, largest key) that their interval meets."""
+    numbers, least, largest = ([b[i] for b in bounds] for i in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = Sweep(shared.value)
         for batch in batches:
-            names, verdicts, reach = [], [], []
-            was, rule = None, None
-            for key, path in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
-                if (key, path) != was:
-                    was = (key, path)
-                    sweep.move(key)
-                    rule = sweep.rule(path)
-                names.append(rule and rule.text)
-                verdicts.append(rule and rule.verdict)
-                reach.append(rule and len(rule.host))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.string()), pa.array(verdicts, pa.string()), pa.array(reach, pa.int32())], ["page_id", "host", "path", "rule", "verdict", "reach"])
+            hosts = batch.column(0).to_pylist()
+            keys = [_key(h) for h in hosts]
+            # the interval of a key ends before the key with its last character raised; the empty key's has no end
+            spans = [range(bisect_left(largest, k), bisect_left(least, k[:-1] + chr(ord(k[-1]) + 1)) if k else len(least)) for k in keys]
+            at = [i for i, span in enumerate(spans) for _ in span]
+            to = [numbers[j] for span in spans for j in span]
+            if at:
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([keys[i] for i in at]), *part.columns], ["range", "key", "host", "path", "verdict", "turn"])
 
-    return urls.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, reach int")
+    return rules.mapInArrow(run, "range int, key string, host string, path string, verdict string, turn long")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow", per_sweep: int = RULES_PER_SWEEP) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of every page's url, one row each.
 
-    Without a fitting rule, rule is null and the verdict ``default``. Null and malformed urls have an
-    empty host and path, which only a rule with an empty host fits. Of rules with equal host and path
-    the first counts. A hot host is cut by path and id into several ranges, and each task begins its
-    sweep at its own first key. More than ``per_sweep`` rules are swept in blocks, all URLs at each.
+    Of the rules that fit a url the longest counts, of equally long ones that of the longer host; of rules
+    with equal host and path that with the least ``turn`` (a sequence's order), then the least verdict. Without
+    a fitting rule, rule is null and the verdict ``default``. A rule with an empty host fits all urls; null
+    and malformed ones, whose host and path are empty, are fit by no other. A hot host is cut by path and id into several ranges.
+    Rules are never collected or broadcast; a task holds those of its range.
     """
+    spark = pages.sparkSession
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path")).withColumn("key", reversed_host(F.col("host")))
-    rows = rows.repartitionByRange("key", "path", "page_id").sortWithinPartitions("key", "path")
-    verdict = F.coalesce("verdict", F.lit(default)).alias("verdict")
-    if len(rules) <= per_sweep:
-        return _sweep(rows, rules).select("page_id", "host", "path", "rule", verdict)
-    from ..storage import Scratch
-
-    rows = Scratch(pages.sparkSession, "urls").keep(rows.withColumn("row", F.monotonically_increasing_id()), "keys")
-    sorted_rows = rows.repartitionByRange("key", "path", "page_id").sortWithinPartitions("key", "path")
-    ids = sorted_rows.select(F.struct("page_id", "row").alias("page_id"), "host", "path", "key")
-    out = None
-    for i in range(0, len(rules), per_sweep):
-        part = _sweep(ids, rules[i : i + per_sweep]).withColumn("block", F.lit(-i))
-        out = part if out is None else out.unionByName(part)
-    longest = F.max_by(F.struct("rule", "verdict"), F.struct(F.coalesce(F.length("rule"), F.lit(-1)), F.coalesce("reach", F.lit(-1)), F.col("block")))
-    out = out.groupBy("page_id", "host", "path").agg(longest.alias("best"))
-    return out.select("page_id.page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    scratch, n = Scratch(spark, "urls"), pages.count()
+    ranges = max(-(-n // ROWS_PER_RANGE), min(4 * spark.sparkContext.defaultParallelism, -(-n // 1000)), 1)
+    urls = scratch.keep(rows.repartitionByRange(ranges, "key", "path", "page_id").withColumn("range", F.spark_partition_id()), "keys")
+    found = urls.groupBy("range").agg(F.min("key").alias("least"), F.max("key").alias("largest")).collect()  # a row a range
+    bounds = sorted((tuple(r) for r in found), key=lambda b: (b[1], b[2]))
+    kind = urls.schema["page_id"].dataType
+    own = dealt(rule_table(pages, rules), bounds).select("range", F.lit(False).alias("url"), F.lit(None).cast(kind).alias("page_id"), "host", "path", "key", "verdict", "turn")
+    both = own.unionByName(urls.select("range", F.lit(True).alias("url"), "page_id", "host", "path", "key", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("long").alias("turn")))
+    schema = StructType([StructField("page_id", kind), *[StructField(c, StringType()) for c in ("host", "path", "rule", "verdict")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, sweep = None, [], None
+        for batch in batches:
+            names, verdicts, keep = [], [], []
+            was, rule = None, None
+            for i, (number, url, h, p, key, verdict) in enumerate(zip(*[batch.column(j).to_pylist() for j in (0, 1, 3, 4, 5, 6)])):
+                if number != now:
+                    now, held, sweep, was = number, [], None, None
+                if not url:
+                    held.append(Rule(h, p, verdict))
+                    continue
+                if sweep is None:
+                    sweep = Sweep(held)
+                if (key, p) != was:
+                    was = (key, p)
+                    sweep.move(key)
+                    rule = sweep.rule(p)
+                keep.append(i)
+                names.append(rule and rule.text)
+                verdicts.append(rule.verdict if rule else default)
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(names, pa.string()), pa.array(verdicts, pa.string())], schema.names)
+
+    return both.repartition("range").sortWithinPartitions("range", "url", "key", "path", "turn", "verdict").mapInArrow(run, schema)

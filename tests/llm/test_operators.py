@@ -425,14 +425,40 @@ def test_url_filters_against_all_rules(spark):
     rules = [urlfilter.Rule("com", "bc/x", "block"), urlfilter.Rule("a.com", "bc", "allow")]
     rules += [urlfilter.Rule(h, p, v) for h in ("com", "example.com", "a.example.com", "b", "b.b") for p, v in (("", "block"), ("/en/", "allow"), ("/en/7", "block"))]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("key", F.lit(1))
-    for per_sweep in (100, 4):
-        got = {r["page_id"]: r for r in urlfilter.filter_urls(pages, rules, per_sweep=per_sweep).collect()}
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    for given in (rules, table):
+        got = {r["page_id"]: r for r in urlfilter.filter_urls(pages, given).collect()}
         assert len(got) == len(urls)
         for i, u in enumerate(urls):
             host, path, rule = fitting(u, rules)
             assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule and rule.text, rule.verdict if rule else "allow"), u
 
 
+def test_many_url_rules_over_many_ranges(spark, monkeypatch):
+    """Nested rules that span several ranges, tied ones among them; most rules go to one range."""
+    monkeypatch.setattr(urlfilter, "ROWS_PER_RANGE", 60)
+    rng = random.Random(2)
+    label = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 2)))
+    hosts = [".".join(label() for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    urls = [f"http://{rng.choice(hosts)}/{label()}/{label()}" for _ in range(1500)] + ["http://hot.a/x/y"] * 500
+    rules = [urlfilter.Rule(h, p, rng.choice(["block", "allow"])) for h in ["a", "b.a", "", *rng.sample(hosts, 300)] for p in rng.sample(["/", "/a", "/b/", "/ab/c"], 2)]
+    rules += [urlfilter.Rule(r.host, r.path, "later") for r in rules[:50]]  # equal host and path: the first counts
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.filter_urls(pages, rules).collect()}
+    first = list({(r.host, r.path): r for r in reversed(rules)}.values())
+    for i, u in enumerate(urls):
+        host, path, _ = fitting(u, [])
+        fit = [r for r in first if (host == r.host or r.host == "" or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fit, key=lambda r: (len(r.text), len(r.host)), default=None)
+        assert (got[i]["rule"], got[i]["verdict"]) == (rule and rule.text, rule.verdict if rule else "allow"), u
+    spread = urlfilter.dealt(urlfilter.rule_table(pages, rules), [(0, "a.", "a.b."), (1, "a.b.", "a.c."), (2, "a.c.a.", "b."), (3, "b.a.", "c.")])
+    of = defaultdict(set)
+    for r in spread.collect():
+        of[r["key"]].add(r["range"])
+    assert of["a."] == {0, 1, 2} and of["a.b."] >= {0, 1} and all(len(v) <= 2 for k, v in of.items() if k.count(".") > 2)
+    assert urlfilter.filter_urls(pages.limit(0), rules).count() == 0 and urlfilter.filter_urls(pages, []).where("rule is not null").count() == 0
+
+
 def test_warc(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     more = spark.createDataFrame([(1000, None, None), (None, "u\r\nX: y", "q" * 200), (1001, "u", "q" * 200), (1002, "u", "q" * 200), (1002, "u", "q" * 200), (1003, "", "ab"), (1004, "v", "ab")], "page_id long, url string, html string")
