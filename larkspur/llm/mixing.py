@@ -19,6 +19,8 @@ from .sharding import draw, key_text
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Sources that one task puts in order.
+SOURCES_PER_RANGE = 100_000
 #: Draws are whole numbers below 2**52; a turn adds a multiple of 2**46.
 _DRAW_BITS, _TURN_BITS = 52, 46
 SEEDS = 1 << (_DRAW_BITS - _TURN_BITS)
@@ -29,34 +31,44 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def in_turn(sizes: DataFrame, weights: tuple[int, ...], scratch: Scratch) -> DataFrame:
+    """``sizes`` with _w, the weights in turn over the sources in code-point order, null last.
+
+    Sources are dealt into ranges; a range is numbered by itself, from the number of sources before it.
+    """
+    n = sizes.count()
+    first, last = F.col("source").isNull(), F.col("source")
+    ranges = scratch.keep(sizes.repartitionByRange(max(1, -(-n // SOURCES_PER_RANGE)), first, last).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted(map(tuple, ranges.groupBy("_range").count().collect()))
+    before = F.create_map(*[F.lit(int(v)) for i, (number, _) in enumerate(counts) for v in (number, sum(c for _, c in counts[:i]))]) if counts else F.create_map(F.lit(0), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(first, last)) - 1 + before[F.col("_range")]
+    pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    return ranges.withColumn("_w", pick.cast("long")).drop("_range")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target and rate from one row (source, source_size) per source.
 
     Sources in code-point order, null last, have the weights in turn and share all tokens. A target
     stops at ``most`` times its source's size, and the excess is shared by weight among the others.
-    That is min(cap, level * weight) with one level for all: with sources by cap / weight, the level
-    is the first (tokens - caps before) / (weights from here on) that its source's cap doesn't stop.
-    The window sees a row per source, never documents. A source without tokens has target and rate 0.
+    That is min(cap, level * weight) with one level for all. The level rises from tokens / weights by the
+    excess of the sources that it has stopped, until it stops no more; each step is an aggregate.
+    No task sees all sources. A source without tokens has target and rate 0.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    pick = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.select("source", F.col("source_size").cast("long"), pick.cast("long").alias("_w"))
-    rows = rows.withColumn("_cap", F.col("source_size") * most)
-    by_fill = Window.orderBy((F.col("_cap").cast("double") / F.col("_w")), F.col("source").asc_nulls_last())
-    full = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select(
-        "*",
-        F.sum("source_size").over(full).alias("_all"),
-        F.coalesce(F.sum("_cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_w").over(by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_left"),
-    )
-    level = (F.col("_all") - F.col("_before")).cast("double") / F.col("_left")
-    rows = rows.withColumn("_level", F.when(level * F.col("_w") <= F.col("_cap"), level)).withColumn("_level", F.max("_level").over(full))
-    target = F.when(F.col("_level").isNull(), F.col("_cap").cast("double")).otherwise(
-        F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_w"))
-    )
-    rows = rows.select("source", "source_size", target.alias("target"))
-    return rows.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    scratch = Scratch(sizes.sparkSession, "targets")
+    rows = in_turn(sizes.select("source", F.col("source_size").cast("long").alias("source_size")), weights, scratch)
+    rows = scratch.keep(rows.withColumn("_cap", F.col("source_size") * most), "caps")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, stopped = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("_cap") < F.lit(level) * F.col("_w")
+        n, full, open_ = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0))).first()
+        if n == stopped or not open_:
+            break
+        level, stopped = float(total - full) / open_, n
+    cap = F.col("_cap").cast("double")
+    out = rows.select("source", "source_size", (F.least(cap, F.lit(level) * F.col("_w")) if level is not None and open_ else cap).alias("target"))
+    return out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
 def copies(rate: Column, drawn: Column, seed: Column) -> Column:

@@ -97,7 +97,9 @@ def fill(sizes, weights, most=3):
     return target
 
 
-def test_mixing_targets(spark):
+@pytest.mark.parametrize("per_range", [100_000, 2])
+def test_mixing_targets(spark, monkeypatch, per_range):
+    monkeypatch.setattr(mixing, "SOURCES_PER_RANGE", per_range)
     rng = random.Random(1)
     for _ in range(5):
         sizes = {f"s{i}": rng.choice([0, 1, 10, 300, 5000]) for i in range(9)}
