@@ -237,6 +237,7 @@ def test_jaccard_join(spark, size):
 def test_jaccard_large_group(spark, monkeypatch, edits):
     """More near copies than a block holds: blocks meet through their roots, over several rounds."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "PARTNERS", 7)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
     texts = {}
