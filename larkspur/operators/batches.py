@@ -147,3 +147,16 @@ def distinct_values(rows: DataFrame, group: str, value: str, name: str = "n") ->
 def iso_times(rows: DataFrame, at: str, key: str, since: int = 1704067200) -> DataFrame:
     """A time as ISO text, and whole seconds since an epoch second (the start of 2024)."""
     return rows.select(key, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), (epoch(F.date_trunc("second", at)) - since).alias("since_s"))
+
+
+@operator(category="files")
+def docx_check(files: DataFrame, most_bytes: int = 100 << 20) -> DataFrame:
+    """path, valid and the first error of files (path, size, present) that are to be converted from DOCX. The messages are fixed values."""
+    error = (
+        F.when(~F.coalesce("present", F.lit(False)), F.concat(F.lit("Input file not found: "), "path"))
+        .when(~F.lower("path").endswith(".docx"), "Input file must be a .docx file")
+        .when(F.col("size").isNull(), "Cannot access input file")
+        .when(F.col("size") == 0, "Input file is empty")
+        .when(F.col("size") > most_bytes, f"Input file too large (max {most_bytes >> 20}MB)")
+    )
+    return files.select("path", error.isNull().alias("valid"), error.alias("error"))

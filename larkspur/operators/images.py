@@ -276,6 +276,31 @@ def upscale(images: DataFrame, factors: list[int] | None = None, methods: list[s
     return each_image(images, one, "origin string, output string, method string, factor int, height int, width int, channels int, data binary, pixel_growth double")
 
 
+@operator(category="images")
+def image_steps(images: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
+    """Steps one after the other on each image: origin, index, step, status, error, and the size and samples that it leaves.
+
+    A step is an operation of ``ENHANCE`` (intensity) or ``upscale`` (factor, method). One that fails leaves
+    the image as it was, and the next goes on from there.
+    """
+
+    def one(origin: str, x: np.ndarray) -> Iterator[tuple]:
+        for i, (step, params) in enumerate(steps):
+            status, error = "success", None
+            try:
+                if step == "upscale":
+                    x = resize(x, int(params.get("factor", 2)), params.get("method", "lanczos"))
+                else:
+                    x = ENHANCE[step](x, float(params.get("intensity", 1.2)))
+            except KeyError as e:
+                status, error = "failed", f"Tool not found: {e.args[0]}"
+            except (TypeError, ValueError) as e:
+                status, error = "failed", str(e)
+            yield (origin, i, step, status, error, *_stored(x))
+
+    return each_image(images, one, "origin string, index int, step string, status string, error string, height int, width int, channels int, data binary")
+
+
 #: What a quality band counts in a batch's mean.
 QUALITY_SCORES = {"excellent": 4, "good": 3, "fair": 2, "poor": 1}
 

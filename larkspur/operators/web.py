@@ -123,3 +123,11 @@ def ip_literals(hosts: DataFrame) -> DataFrame:
     shape = h.rlike(rf"^[0-9A-Fa-f:]*(?:{v4})?$") & h.contains(":") & ~h.rlike(":::|::.*::|[0-9A-Fa-f]{5}") & ~h.rlike("^:[^:]|[^:]:$") & ~h.rlike(rf"[0-9A-Fa-f]\.[^.]*:")
     v6 = shape & F.when(h.contains("::"), groups <= 7).otherwise(groups == 8)
     return hosts.select("host", F.when(h.rlike(f"^{v4}$"), "ipv4").when(v6, "ipv6").otherwise("name").alias("kind"))
+
+
+@operator(category="web")
+def redirect_summary(captures: DataFrame) -> DataFrame:
+    """Of (url, history, final_url, status, seconds), as a fetch leaves them: the chain, how many redirects, whether it ends on https, the status class and the time."""
+    chain = F.concat(F.coalesce("history", F.array().cast("array<string>")), F.array("final_url"))
+    rows = status_class(captures).withColumn("chain", chain)
+    return rows.select("url", "chain", (F.size("chain") - 1).cast("long").alias("redirect_count"), F.lower("final_url").startswith("https://").alias("is_https"), "status", "status_class", rnd(F.col("seconds"), 2).alias("response_time_seconds"))

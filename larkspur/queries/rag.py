@@ -92,3 +92,39 @@ _HOSTS = "SELECT CASE page_id % 4 WHEN 0 THEN '10.0.' || page_id || '.7' WHEN 1
 @query("ip_literals", f"SELECT host, CASE WHEN regexp_matches(host, '^{_BYTE}\\.{_BYTE}\\.{_BYTE}\\.{_BYTE}$') THEN 'ipv4' WHEN regexp_matches(host, '^(fe80::[0-9]|(.:){{7}}[0-9])$') THEN 'ipv6' ELSE 'name' END AS kind FROM ({_HOSTS})")
 def ip_literals(load):
     return W.ip_literals(load("pages").selectExpr("CASE page_id % 4 WHEN 0 THEN '10.0.' || page_id || '.7' WHEN 1 THEN 'fe80::' || page_id % 10 WHEN 2 THEN '1:2:3:4:5:6:7:' || page_id % 10 ELSE url END AS host"))
+
+
+_FETCHED = """SELECT url, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN [url] ELSE [url, url || '/'] END AS history,
+  CASE WHEN page_id % 2 = 0 THEN replace(url, 'http://', 'https://') ELSE url END AS final_url, 100 + page_id % 6 * 100 AS status, (page_id % 997)::DOUBLE / 64.0::DOUBLE AS seconds FROM pages"""
+
+
+@query("redirect_summary", f"""SELECT url, array_to_string(list_append(coalesce(history, []), final_url), ' > ') AS chain, len(coalesce(history, []))::BIGINT AS redirect_count, starts_with(lower(final_url), 'https://') AS is_https, status,
+  CASE status // 100 WHEN 2 THEN 'Success' WHEN 3 THEN 'Redirection' WHEN 4 THEN 'Client Error' WHEN 5 THEN 'Server Error' ELSE 'Unknown' END AS status_class, {R("seconds", 2)} AS response_time_seconds FROM ({_FETCHED})""")
+def redirect_summary(load):
+    """The chain is joined to one text."""
+    rows = load("pages").selectExpr(
+        "url",
+        "CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN array(url) ELSE array(url, url || '/') END AS history",
+        "CASE WHEN page_id % 2 = 0 THEN replace(url, 'http://', 'https://') ELSE url END AS final_url",
+        "100 + page_id % 6 * 100 AS status",
+        "CAST(page_id % 997 AS DOUBLE) / 64.0D AS seconds",
+    )
+    return W.redirect_summary(rows).withColumn("chain", F.array_join("chain", " > "))
+
+
+@query("docx_check", CATALOG + """SELECT path || CASE WHEN doc_id % 2 = 0 THEN '.DOCX' ELSE '' END AS path, doc_id % 2 = 0 AND doc_id % 5 <> 0 AND size BETWEEN 1 AND 5242880 AS valid,
+  CASE WHEN doc_id % 5 = 0 THEN 'Input file not found: ' || path || CASE WHEN doc_id % 2 = 0 THEN '.DOCX' ELSE '' END WHEN doc_id % 2 = 1 THEN 'Input file must be a .docx file' WHEN size IS NULL THEN 'Cannot access input file' WHEN size = 0 THEN 'Input file is empty' WHEN size > 5242880 THEN 'Input file too large (max 5MB)' END AS error FROM c""")
+def docx_check(load):
+    c = C.catalog(load("documents"))
+    return B.docx_check(c.select(F.concat("path", F.when(F.col("doc_id") % 2 == 0, ".DOCX").otherwise("")).alias("path"), "size", (F.col("doc_id") % 5 != 0).alias("present")), 5 << 20)
+
+
+_SUMMARY = "Say in a few sentences what matters in this text from "
+
+
+@query("prompts", f"SELECT doc_id, '{_SUMMARY}' || source || '.' || chr(10) || chr(10) || coalesce(text, '') AS prompt FROM documents")
+def prompts(load):
+    from ..operators.prompts import prompts as fill
+
+    rows = load("documents").select("doc_id", F.col("source").alias("file_path"), F.col("text").alias("content"))
+    return fill(rows, "text_summarization").select("doc_id", "prompt")
