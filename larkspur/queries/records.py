@@ -15,7 +15,7 @@ from ..sources.html import parse_pages
 from .base import ORACLE_SQL, query
 from .files import case, files
 from .text import BASE, STRIP, WS, R
-from .web import _URLS, urls
+from .web import _ATTR, _JSON, _PLAIN, _TEXT, _TRIM, _URLS, PARSED, urls
 
 _CAN = ", ".join(f"'.{e}'" for e in K.CONVERSIONS)
 files("convertible_scan", f"SELECT dir, count(*) FILTER (WHERE lower(extension) IN ({_CAN})) AS convertible, count(*) FILTER (WHERE lower(extension) NOT IN ({_CAN})) AS other, count(*) AS total FROM c GROUP BY dir")(O.convertible_scan)
@@ -58,9 +58,11 @@ docs("min_sentences", BASE + "SELECT doc_id, array_to_string(list_slice(s, 1, 3)
 docs("enhance_stub", r"SELECT doc_id, '# Enhanced' || chr(10) || regexp_replace(coalesce(text, ''), '(?m)^(def |function )', '\"\"\"Documented.\"\"\"' || chr(10) || '\1', 'g') AS content FROM documents".replace('\\"', '"'))(
     lambda d: d.select("doc_id", F.concat(F.lit("# Enhanced\n"), F.regexp_replace(T.given(F.col("text")), r"(?m)^(def |function )", '"""Documented."""\n$1')).alias("content")))
 
-query("page_meta")(lambda load: parse_pages(load("pages")).select("page_id", F.size("meta").alias("n_meta"), F.to_json("meta").alias("meta")))
-query("page_headings")(lambda load: parse_pages(load("pages")).select("page_id", F.posexplode("heading_texts").alias("pos", "h")).select("page_id", "pos", "h.*"))
-query("page_images")(lambda load: parse_pages(load("pages")).select("page_id", F.size("image_list").alias("n_images"), F.to_json("image_list").alias("images")))
+query("page_meta", PARSED + "SELECT page_id, len(meta)::INT AS n_meta, '{' || coalesce((SELECT string_agg(to_json(m[1]) || ':' || to_json(m[2]), ',') FROM (SELECT unnest(meta) AS m)), '') || '}' AS meta FROM p")(lambda load: parse_pages(load("pages")).select("page_id", F.size("meta").alias("n_meta"), F.to_json("meta").alias("meta")))
+query("page_headings", PARSED + f"SELECT page_id, pos - 1 AS pos, lower(regexp_extract(h, '(?i)^<(h[1-6])', 1)) AS level, {_TRIM(_PLAIN('h'))} AS text FROM (SELECT page_id, unnest(list_filter(heads_, lambda h: {_TRIM(_PLAIN('h'))} <> '')) AS h, generate_subscripts(list_filter(heads_, lambda h: {_TRIM(_PLAIN('h'))} <> ''), 1) AS pos FROM p)")(lambda load: parse_pages(load("pages")).select("page_id", F.posexplode("heading_texts").alias("pos", "h")).select("page_id", "pos", "h.*"))
+_SRC = f"CASE WHEN starts_with({_ATTR('x', 'src')}, '/') THEN home ELSE '' END || {_TEXT(_ATTR('x', 'src'))}"
+query("page_images", PARSED + f"""SELECT page_id, len(list_filter(images_, lambda x: {_ATTR('x', 'src')} <> ''))::INT AS n_images, '[' || array_to_string(list_transform(list_filter(images_, lambda x: {_ATTR('x', 'src')} <> ''),
+  lambda x: {_JSON(("src", _SRC), *[(k, _TEXT(_ATTR('x', k))) for k in ("alt", "title", "width", "height")])}), ',') || ']' AS images FROM p""")(lambda load: parse_pages(load("pages")).select("page_id", F.size("image_list").alias("n_images"), F.to_json("image_list").alias("images")))
 _GOOD = r"regexp_matches(url, '(?i)^https?://\S+$') AND NOT regexp_matches(url, '[<>]') AND regexp_matches(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1), '^[^:]*\.\p{L}{2,}(:.*)?$')"
 query("url_batch", _URLS + f"SELECT count(*) AS total, count(*) FILTER (WHERE {_GOOD}) AS n_valid, printf('%.1f%%', {R(f'100.0::DOUBLE * count(*) FILTER (WHERE {_GOOD}) / count(*)', 1)}) AS rate FROM u")(
     lambda load: web.url_batch(urls(load("pages"))))
