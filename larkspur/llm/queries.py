@@ -35,7 +35,29 @@ _DRAW = "('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), m
 _TAKEN = """(size * (floor(rate)::BIGINT + CASE WHEN (((draw + s * 70368744177664) % 4503599627370496)::DOUBLE + 0.5::DOUBLE)
           / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT"""
 
+_SHARD = "1.0::DOUBLE / -ln((('0x' || substr(md5(k || '#shard-{i}'), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": """
+WITH t(v) AS (  -- the checksum's table, from its polynomial
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))
+), b AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, x: xor(c // 256, v[(xor(c, x) % 256 + 1)::BIGINT])), 4294967295)::BIGINT AS text_crc32
+  FROM documents, t
+), s AS (
+  SELECT *, ["""
+    + ", ".join(_SHARD.format(i=i) for i in range(8))
+    + """] AS w, """
+    + _SHARD.format(i=8)
+    + """ AS more, ('0x' || substr(md5(k || '|' || text_crc32::VARCHAR || '#slot'), 1, 13))::BIGINT AS key FROM b
+), p AS (
+  SELECT *, (list_position(w, list_max(w)) - 1)::INT AS shard, CASE WHEN more > list_max(w) THEN 8 ELSE list_position(w, list_max(w)) - 1 END::INT AS grown_shard FROM s
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST, size, text_crc32, grown_shard) - 1 AS slot, grown_shard FROM p
+""",
     "op8_url_filters": r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
