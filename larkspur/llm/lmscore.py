@@ -71,10 +71,9 @@ def asked(docs: DataFrame, bits: int) -> DataFrame:
         part = (keys >> np.uint64(64 - bits)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
         cells = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table(
-            [pa.array([table["block"][0].as_py()] * len(cells), pa.int64()), pa.array(part[cuts[:-1]]), *[pa.array([f(x[c]) for c in cells], pa.binary()) for f, x in ((np.ndarray.tobytes, keys), (pack, n), (pack, t))]],
-            ["block", "part", "keys", "n", "good"],
-        )
+        return pa.table([pa.array([table["block"][0].as_py()] * len(cells), pa.int64()), pa.array(part[cuts[:-1]]),
+                *[pa.array([f(x[c]) for c in cells], pa.binary()) for f, x in ((np.ndarray.tobytes, keys), (pack, n), (pack, t))]], [
+                "block", "part", "keys", "n", "good"],)
 
     return docs.select("block", "text", "target").groupBy("block").applyInArrow(run, "block long, part long, keys binary, n binary, good binary")
 
@@ -91,10 +90,9 @@ def replies(asks: DataFrame) -> DataFrame:
         word = (keys & np.uint64(1) == 0) & (keys != START)
         total = [int(word.sum()), *[int(s[word].sum()) for s in sums]]
         back = [[pack(x) for x in np.split(s[at], ends[:-1])] for s in sums]
-        return pa.table(
-            [table["block"], table["part"], pa.array([len(x) for x in held], pa.int64()), *[pa.array(x, pa.binary()) for x in back], *[pa.array([x] + [0] * (len(held) - 1), pa.int64()) for x in total]],
-            ["block", "part", "size", "n", "good", "distinct_words", "words", "good_words"],
-        )
+        return pa.table([table["block"], table["part"], pa.array([len(x) for x in held], pa.int64()), *[pa.array(x,
+                        pa.binary()) for x in back], *[pa.array([x] + [0] * (len(held) - 1), pa.int64()) for x in total]], ["block", "part",
+                "size", "n", "good", "distinct_words", "words", "good_words"],)
 
     return asks.groupBy("part").applyInArrow(run, "block long, part long, size long, n binary, good binary, distinct_words long, words long, good_words long")
 
@@ -143,4 +141,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         )
 
     own = replied.select("block", "part", "size", "n", "good")
-    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run,
+        "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -136,7 +136,8 @@ def text_media(docs: DataFrame) -> DataFrame:
             data, offs = utf8(batch.column(1))
             for i in range(batch.num_rows):
                 raw = data[offs[i] : offs[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([pack_bytes(raw)], pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([pack_bytes(raw)],
+                            pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -158,7 +159,8 @@ def clips(media: DataFrame) -> DataFrame:
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
                     key = pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64())
-                    yield pa.RecordBatch.from_arrays([key, *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s", "error"])
+                    yield pa.RecordBatch.from_arrays([key, *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "clip",
+                            "first_frame", "n_frames", "start_s", "end_s", "error"])
 
     schema = "doc_id long, clip long, first_frame long, n_frames long, start_s double, end_s double, error string"
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)

@@ -40,7 +40,8 @@ def in_turn(sizes: DataFrame, weights: tuple[int, ...], scratch: Scratch) -> Dat
     first, last = F.col("source").isNull(), F.col("source")
     ranges = scratch.keep(sizes.repartitionByRange(max(1, -(-n // SOURCES_PER_RANGE)), first, last).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = sorted(map(tuple, ranges.groupBy("_range").count().collect()))
-    before = F.create_map(*[F.lit(int(v)) for i, (number, _) in enumerate(counts) for v in (number, sum(c for _, c in counts[:i]))]) if counts else F.create_map(F.lit(0), F.lit(0))
+    before = F.create_map(*[F.lit(int(v)) for i, (number, _) in enumerate(counts) for v in (number, sum(c for _,
+                    c in counts[:i]))]) if counts else F.create_map(F.lit(0), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(first, last)) - 1 + before[F.col("_range")]
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
     return ranges.withColumn("_w", pick.cast("long")).drop("_range")
@@ -62,7 +63,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     level, stopped = None, -1
     while True:
         over = F.lit(False) if level is None else F.col("_cap") < F.lit(level) * F.col("_w")
-        n, full, open_ = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0))).first()
+        n, full, open_ = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over,
+                        F.col("_w"))), F.lit(0))).first()
         if n == stopped or not open_:
             break
         level, stopped = float(total - full) / open_, n
@@ -128,7 +130,8 @@ def with_rate(docs: DataFrame, rates: DataFrame) -> DataFrame:
     A source is one row of a few bytes; the table is broadcast if a count shows that it is small,
     and else joined by a shuffle that adaptive execution splits where a source is hot.
     """
-    r = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
+    r = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate")
+        .alias("_rate"), F.col("seed").alias("_seed"))
     return sized_join(docs, r, F.col("source").eqNullSafe(F.col("_source")))
 
 
@@ -147,4 +150,5 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     named = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("source"), document_draw().alias("draw"))
     out = with_rate(named, rated(docs)[0]).withColumn("_copies", copies(F.col("_rate"), F.col("draw"), F.col("_seed"))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"c{i}").alias(c) for i,
+            c in enumerate(columns)])

@@ -85,7 +85,8 @@ def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET
     for i in range(len(bounds) - 2, -1, -1):
         upper = F.when(F.col("n_tokens") <= bounds[i], F.lit(bounds[i])).otherwise(upper)
         index = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(index)
-    rows = rows.withColumns({"bucket": index.cast("int"), "bucket_tokens": upper.cast("long"), "_key": draw(key_text(F.col("doc_id"), F.col("n_tokens")), "pack")})
+    rows = rows.withColumns({"bucket": index.cast("int"), "bucket_tokens": upper.cast("long"), "_key": draw(key_text(F.col("doc_id"), F.col(
+                    "n_tokens")), "pack")})
     placed = number(rows, ["bucket"], "_key", ["doc_id", "n_tokens", "bucket_tokens"], "_slot")
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1)))).cast("long")
     return placed.select(

@@ -174,7 +174,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
         def sent(m: int, part) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(part[0]), 65536):
                 c, s, n = (x[i : i + 65536] for x in part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), m)), pa.array(c), pa.array(s.astype(np.int32)), pa.array(n)], ["model", "context", "symbol", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), m)), pa.array(c), pa.array(s.astype(np.int32)), pa.array(n)], [
+                        "model", "context", "symbol", "n"])
 
         for batch in batches:
             model = batch.column(0).to_numpy()
@@ -228,7 +229,8 @@ def estimates(counted: DataFrame, scratch: Scratch) -> DataFrame:
     for order in range(ORDER - 1, 0, -1):
         above = levels[order + 1]
         mask = (1 << (BITS * (order - 1))) - 1  # the context without its first symbol
-        levels[order] = scratch.keep(above.groupBy("model", F.col("context").bitwiseAND(F.lit(mask)).alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n")), f"order{order}")
+        levels[order] = scratch.keep(above.groupBy("model", F.col("context").bitwiseAND(F.lit(mask)).alias("context"), "symbol")
+            .agg(F.count(F.lit(1)).alias("n")), f"order{order}")
     out = below = None
     for order in range(1, ORDER + 1):
         of = Window.partitionBy("model", "context")
@@ -237,17 +239,20 @@ def estimates(counted: DataFrame, scratch: Scratch) -> DataFrame:
         if order == 1:
             rows = rows.withColumn("p", (F.col("n") - F.col("d")) / F.col("total") + weight / (F.col("kinds") + 1))
             unknown = rows.groupBy("model").agg(F.max(weight / (F.col("kinds") + 1)).alias("p"))
-            out = unknown.select("model", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("context"), F.lit(0).alias("symbol"), F.log("p").cast("float").alias("value"))
+            out = unknown.select("model", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("context"), F.lit(0).alias("symbol"), F.log(
+                    "p").cast("float").alias("value"))
         else:
             tail = F.col("context").bitwiseAND(F.lit((1 << (BITS * (order - 2))) - 1))
-            rows = rows.withColumn("_tail", tail).join(below, (F.col("model") == F.col("_m")) & (F.col("_tail") == F.col("_c")) & (F.col("symbol") == F.col("_s"))).drop("_m", "_c", "_s", "_tail")
+            rows = rows.withColumn("_tail", tail).join(below, (F.col("model") == F.col("_m")) & (F.col("_tail") == F.col("_c")) & (F.col(
+                        "symbol") == F.col("_s"))).drop("_m", "_c", "_s", "_tail")
             rows = rows.withColumn("p", (F.col("n") - F.col("d")) / F.col("total") + weight * F.col("_p"))
         rows = scratch.keep(rows.select("model", "context", "symbol", "p", weight.alias("weight")), f"p{order}")
         below = rows.select(F.col("model").alias("_m"), F.col("context").alias("_c"), F.col("symbol").alias("_s"), F.col("p").alias("_p"))
         out = out.unionByName(rows.select("model", F.lit(order).alias("kind"), "context", "symbol", F.log("p").cast("float").alias("value")))
         if order > 1:
             backed = rows.groupBy("model", "context").agg(F.max("weight").alias("weight"))
-            out = out.unionByName(backed.select("model", F.lit(order + 7).alias("kind"), "context", F.lit(0).alias("symbol"), F.log(F.greatest("weight", F.lit(1e-12))).cast("float").alias("value")))
+            out = out.unionByName(backed.select("model", F.lit(order + 7).alias("kind"), "context", F.lit(0).alias("symbol"),
+                    F.log(F.greatest("weight", F.lit(1e-12))).cast("float").alias("value")))
     return out
 
 
@@ -272,12 +277,14 @@ def store(entries: DataFrame, path: str) -> None:
             model, kind, context, symbol, value, bits = (c.to_numpy() for c in batch.columns)
             h = entry_hash(kind, context, symbol)
             block = np.where(bits > 0, h >> (np.uint64(64) - np.maximum(bits, 1).astype(np.uint64)), np.uint64(0)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(block), pa.array(h.view(np.int64)), batch.column(4)], ["model", "bits", "block", "key", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(block), pa.array(h.view(np.int64)),
+                    batch.column(4)], ["model", "bits", "block", "key", "value"])
 
     def array(table: pa.Table) -> pa.Table:
         key, value = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy().astype(np.float32)
         order = np.argsort(key)
-        return table.slice(0, 1).select(["model", "bits", "block"]).append_column("keys", pa.array([key[order].tobytes()], pa.binary())).append_column("values", pa.array([value[order].tobytes()], pa.binary()))
+        return table.slice(0, 1).select(["model", "bits", "block"]).append_column("keys", pa.array([key[order].tobytes()],
+                pa.binary())).append_column("values", pa.array([value[order].tobytes()], pa.binary()))
 
     rows = rows.select("model", "kind", "context", "symbol", "value", "bits").mapInArrow(hashed, "model long, bits int, block long, key long, value float")
     blocks = rows.groupBy("model", "bits", "block").applyInArrow(array, "model long, bits int, block long, keys binary, values binary")
@@ -404,7 +411,8 @@ FEATURES = [*[StructField(c, LongType()) for c in _COUNTS], StructField("base_fa
 def featured(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
     """The columns as c0, c1, ..., the language as _lang, and the features of each document, its nats a symbol under the stored model."""
     given = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("lang").cast("string").alias("_lang"))
-    rows = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("lang").cast("string").alias("_lang"), model_of().alias("_model"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("lang").cast("string").alias("_lang"), model_of()
+        .alias("_model"), F.col("text").cast("string").alias("_text"))
     n = len(given.columns)
     schema = StructType([*given.schema.fields, *FEATURES])
 

@@ -136,7 +136,8 @@ def dealt(rules: DataFrame, bounds: list[tuple[int, str, str]]) -> DataFrame:
             to = [numbers[j] for span in spans for j in span]
             if at:
                 part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([keys[i] for i in at]), *part.columns], ["range", "key", "host", "path", "verdict", "turn"])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([keys[i] for i in at]), *part.columns], ["range",
+                        "key", "host", "path", "verdict", "turn"])
 
     return rules.mapInArrow(run, "range int, key string, host string, path string, verdict string, turn long")
 
@@ -159,8 +160,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, def
     found = urls.groupBy("range").agg(F.min("key").alias("least"), F.max("key").alias("largest")).collect()  # a row a range
     bounds = sorted((tuple(r) for r in found), key=lambda b: (b[1], b[2]))
     kind = urls.schema["page_id"].dataType
-    own = dealt(rule_table(pages, rules), bounds).select("range", F.lit(False).alias("url"), F.lit(None).cast(kind).alias("page_id"), "host", "path", "key", "verdict", "turn")
-    both = own.unionByName(urls.select("range", F.lit(True).alias("url"), "page_id", "host", "path", "key", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("long").alias("turn")))
+    own = dealt(rule_table(pages, rules), bounds).select("range", F.lit(False).alias("url"), F.lit(None).cast(kind).alias("page_id"),
+        "host", "path", "key", "verdict", "turn")
+    both = own.unionByName(urls.select("range", F.lit(True).alias("url"), "page_id", "host", "path", "key", F.lit(None).cast("string")
+            .alias("verdict"), F.lit(None).cast("long").alias("turn")))
     schema = StructType([StructField("page_id", kind), *[StructField(c, StringType()) for c in ("host", "path", "rule", "verdict")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +187,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, def
                 names.append(rule and rule.text)
                 verdicts.append(rule.verdict if rule else default)
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(names, pa.string()), pa.array(verdicts, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(names, pa.string()),
+                    pa.array(verdicts, pa.string())], schema.names)
 
     return both.repartition("range").sortWithinPartitions("range", "url", "key", "path", "turn", "verdict").mapInArrow(run, schema)

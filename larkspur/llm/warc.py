@@ -139,7 +139,8 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
             data = make_archive(held)
             with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(data)
-            row = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], ["path", "records", "bytes"])
+            row = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(held)], pa.int64()), pa.array([len(data)],
+                        pa.int64())], ["path", "records", "bytes"])
             held, size, n = [], 0, n + 1
             return row
 
@@ -180,7 +181,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                     for fields, block in read_archive(stream):
                         said = fields["WARC-Payload-Digest"].partition(":")[2]
                         if fields["WARC-Type"] == "revisit":
-                            rows.append((number(fields["WARC-Record-ID"]), int(fields["WARC-Payload-Length"]), said, "revisit", number(fields["WARC-Refers-To"])))
+                            rows.append((number(fields["WARC-Record-ID"]), int(fields["WARC-Payload-Length"]), said, "revisit",
+                                    number(fields["WARC-Refers-To"])))
                             continue
                         body = block.partition(b"\r\n\r\n")[2]
                         if (digest := hashlib.sha256(body).hexdigest()) != said:
@@ -188,7 +190,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                         rows.append((number(fields["WARC-Record-ID"]), len(body), digest, "response", None))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes",
+                            "payload_digest", "record_type", "refers_to"])
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return files.select("path").mapInArrow(run, schema)
