@@ -47,7 +47,8 @@ def batch_map(rows: DataFrame, fn: Callable, column: str, result: str = "string"
 def batch_counts(results: DataFrame) -> DataFrame:
     """processed, successful, failed and the errors' messages in order, of ``batch_map``'s rows."""
     failed = F.col("status") == "failed"
-    return results.agg(F.count(F.lit(1)).alias("processed"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"), F.array_sort(F.collect_list(F.when(failed, F.col("error")))).alias("errors"))
+    return results.agg(F.count(F.lit(1)).alias("processed"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"),
+        F.array_sort(F.collect_list(F.when(failed, F.col("error")))).alias("errors"))
 
 
 @operator(category="files")
@@ -57,14 +58,16 @@ def conversion_plan(files: DataFrame, root: str, target: str, out: str, existing
     Relative folders are kept below ``out``. The first tool that converts the pair is taken. An output in
     ``existing`` (path) is skipped unless ``overwrite``; without a tool a file is unsupported.
     """
-    inner = F.when(F.col("path").startswith(root.rstrip("/") + "/"), F.substring("path", len(root.rstrip("/")) + 2, 1 << 30)).otherwise(F.element_at(F.split("path", "/"), -1))
+    inner = F.when(F.col("path").startswith(root.rstrip("/") + "/"), F.substring("path", len(root.rstrip("/")) + 2, 1 << 30)).otherwise(
+        F.element_at(F.split("path", "/"), -1))
     extension = F.lower("extension")
     stem = F.expr("substring(_inner, 1, length(_inner) - length(extension))")
     tool = F.lit(None).cast("string")
     for source, to, name in reversed(K.TOOLS):
         if to.lstrip(".") == target.lstrip("."):
             tool = F.when(extension == ("." + source.lstrip(".")), name).otherwise(tool)
-    rows = files.withColumn("_inner", inner).select("path", F.concat(F.lit(out.rstrip("/") + "/"), stem, F.lit("." + target.lstrip("."))).alias("output"), tool.alias("tool"))
+    rows = files.withColumn("_inner", inner).select("path", F.concat(F.lit(out.rstrip("/") + "/"), stem, F.lit("." + target.lstrip(".")))
+        .alias("output"), tool.alias("tool"))
     if existing is not None and not overwrite:
         there = existing.select(F.col("path").alias("output"), F.lit(True).alias("_there")).distinct()
         rows = rows.join(there, "output", "left")
@@ -128,7 +131,8 @@ def by_usage(devices: DataFrame, used: str = "used", name: str = "device") -> Da
 def port_states(probes: DataFrame, key: str = "host", seconds: str = "value", fast: float = 10, slow: float = 30) -> DataFrame:
     """Open, closed and filtered ports of each host, by how soon a probe was answered."""
     t = F.col(seconds)
-    return probes.groupBy(key).agg(F.count_if(t < fast).alias("n_open"), F.count_if((t >= fast) & (t < slow)).alias("n_closed"), F.count_if(t >= slow).alias("n_filtered"))
+    return probes.groupBy(key).agg(F.count_if(t < fast).alias("n_open"), F.count_if((t >= fast) & (t < slow)).alias("n_closed"),
+        F.count_if(t >= slow).alias("n_filtered"))
 
 
 @operator(category="workflow")

@@ -46,7 +46,8 @@ def hsv(x: np.ndarray) -> np.ndarray:
     most, least = c.max(axis=2), c.min(axis=2)
     span = np.where(most > least, most - least, np.float32(1))
     part = (most[:, :, None] - c) / span[:, :, None]
-    turn = np.select([c[:, :, 0] == most, c[:, :, 1] == most], [part[:, :, 2] - part[:, :, 1], 2 + part[:, :, 0] - part[:, :, 2]], 4 + part[:, :, 1] - part[:, :, 0])
+    turn = np.select([c[:, :, 0] == most, c[:, :, 1] == most], [part[:, :, 2] - part[:, :, 1], 2 + part[:, :, 0] - part[:, :, 2]],
+        4 + part[:, :, 1] - part[:, :, 0])
     hue = np.where(most > least, ((turn.astype(np.float64) / 6 + 1) % 1).astype(np.float32).astype(np.float64) * 255, 0)
     saturation = np.where(most > least, ((most - least) / np.where(most > 0, most, np.float32(1))).astype(np.float64) * 255, 0)
     return np.stack([hue, saturation, most], axis=2).astype(np.int64)
@@ -74,9 +75,9 @@ def hex_colour(c: list[int]) -> str:
 
 
 _STATS = (
-    "origin string, width int, height int, megapixels double, aspect string, mean array<double>, std array<double>, least array<long>, most array<long>, brightness double, "
-    "contrast double, colourfulness double, dominant array<string>, histogram array<long>, hsv_mean array<double>, hsv_std array<double>"
-)
+    "origin string, width int, height int, megapixels double, aspect string, mean array<double>, std array<double>, least array<long>, "
+    "most array<long>, brightness double, "
+    "contrast double, colourfulness double, dominant array<string>, histogram array<long>, hsv_mean array<double>, hsv_std array<double>")
 
 
 def each_image(images: DataFrame, fn: Callable[[str, np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
@@ -120,7 +121,8 @@ def convolve(x: np.ndarray, kernel: str) -> np.ndarray:
     k, (h, w) = len(weights) // 2, x.shape[:2]
     out = x.copy()
     if h > 2 * k and w > 2 * k:
-        inner = sum(weights[i][j] * x[i : h - 2 * k + i, j : w - 2 * k + j].astype(np.float64) for i in range(2 * k + 1) for j in range(2 * k + 1) if weights[i][j])
+        inner = sum(weights[i][j] * x[i : h - 2 * k + i,
+                j : w - 2 * k + j].astype(np.float64) for i in range(2 * k + 1) for j in range(2 * k + 1) if weights[i][j])
         out[k : h - k, k : w - k] = np.clip(np.floor(inner / by + add + 0.5), 0, 255).astype(np.uint8)
     return out
 
@@ -132,7 +134,8 @@ def blend(base: np.ndarray | float, x: np.ndarray, by: float) -> np.ndarray:
 
 def _per_channel(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
     """``fn`` makes a table of 256 values of each channel's histogram."""
-    return lambda x: np.stack([np.clip(fn(np.bincount(x[:, :, c].ravel(), minlength=256)), 0, 255).astype(np.uint8)[x[:, :, c]] for c in range(x.shape[2])], axis=2)
+    return lambda x: np.stack([np.clip(fn(np.bincount(x[:, :, c].ravel(), minlength=256)), 0, 255).astype(np.uint8)[x[:, :,
+                    c]] for c in range(x.shape[2])], axis=2)
 
 
 def _stretched(histogram: np.ndarray) -> np.ndarray:
@@ -166,21 +169,13 @@ def _auto(x: np.ndarray, by: float) -> np.ndarray:
 
 
 #: Operations on samples and an intensity.
-ENHANCE: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
-    "contrast": lambda x, by: blend(float(int(grey(x).mean() + 0.5)), x, by),
-    "brightness": lambda x, by: blend(0.0, x, by),
-    "sharpness": _sharpness,
-    "color": lambda x, by: blend(_greyed(x).astype(np.float64), x, by),
-    "auto_contrast": lambda x, by: _per_channel(_stretched)(x),
-    "auto_color": lambda x, by: _greyed(x),
-    "denoise": lambda x, by: _median(x),
-    **{name: (lambda x, by, name=name: convolve(x, name)) for name in KERNELS},
-    "grayscale": lambda x, by: grey(x)[:, :, None],
-    "sepia": lambda x, by: np.clip(np.rint(x @ np.array([[0.393, 0.349, 0.272], [0.769, 0.686, 0.534], [0.189, 0.168, 0.131]])), 0, 255).astype(np.uint8) if x.shape[2] == 3 else x,
-    "invert": lambda x, by: 255 - x,
-    "equalize": lambda x, by: _per_channel(_equalized)(x),
-    "auto_enhance": _auto,
-}
+ENHANCE: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {"contrast": lambda x, by: blend(float(int(grey(x).mean() + 0.5)), x, by),
+    "brightness": lambda x, by: blend(0.0, x, by), "sharpness": _sharpness, "color": lambda x, by: blend(_greyed(x).astype(np.float64), x,
+        by), "auto_contrast": lambda x, by: _per_channel(_stretched)(x), "auto_color": lambda x, by: _greyed(x), "denoise": lambda x,
+    by: _median(x), **{name: (lambda x, by, name=name: convolve(x, name)) for name in KERNELS}, "grayscale": lambda x, by: grey(x)[:, :,
+        None], "sepia": lambda x, by: np.clip(np.rint(x @ np.array([[0.393, 0.349, 0.272], [0.769, 0.686, 0.534], [0.189, 0.168, 0.131]])),
+        0, 255).astype(np.uint8) if x.shape[2] == 3 else x, "invert": lambda x, by: 255 - x, "equalize": lambda x,
+    by: _per_channel(_equalized)(x), "auto_enhance": _auto,}
 
 #: What the number of improved measures is called.
 RATINGS = ("minimal", "moderate", "significant")
@@ -221,7 +216,9 @@ def enhance(images: DataFrame, operations: list[str], intensity: float = 1.2) ->
             out = ENHANCE[o](out, intensity)
         yield (origin, renamed(origin, "_enhanced_" + "_".join(operations[:3])), known, *_stored(out), *improvement(x, out))
 
-    return each_image(images, one, "origin string, output string, applied array<string>, height int, width int, channels int, data binary, contrast_change_percent double, colourfulness_change_percent double, improvement_score int, improvement_rating string")
+    return each_image(images, one,
+        "origin string, output string, applied array<string>, height int, width int, channels int, data binary, contrast_change_percent "
+        "double, colourfulness_change_percent double, improvement_score int, improvement_rating string")
 
 
 def _triangle(t: np.ndarray) -> np.ndarray:
@@ -273,7 +270,8 @@ def upscale(images: DataFrame, factors: list[int] | None = None, methods: list[s
         for m, f in pairs:
             yield (origin, renamed(origin, f"_x{f}", extension), m, f, *_stored(resize(x, f, m)), float(f * f))
 
-    return each_image(images, one, "origin string, output string, method string, factor int, height int, width int, channels int, data binary, pixel_growth double")
+    return each_image(images, one,
+        "origin string, output string, method string, factor int, height int, width int, channels int, data binary, pixel_growth double")
 
 
 @operator(category="images")
@@ -312,10 +310,9 @@ def image_batch(results: DataFrame) -> DataFrame:
     score = F.lit(1)
     for name, value in QUALITY_SCORES.items():
         score = F.when(F.col("quality") == name, value).otherwise(score)
-    return results.agg(
-        F.count(F.lit(1)).alias("total_images"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
-        F.coalesce(F.sum(F.when(ok, F.col("megapixels"))), F.lit(0.0)).alias("total_megapixels"), F.coalesce(F.avg(F.when(ok, score)), F.lit(0.0)).alias("average_quality_score"),
-    )
+    return results.agg(F.count(F.lit(1)).alias("total_images"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
+        F.coalesce(F.sum(F.when(ok, F.col("megapixels"))), F.lit(0.0)).alias("total_megapixels"), F.coalesce(F.avg(F.when(ok, score)),
+            F.lit(0.0)).alias("average_quality_score"),)
 
 
 @operator(category="images")

@@ -137,7 +137,8 @@ class Collections:
         new = scratch.keep(new.withColumn("bucket", bucket))
         old = self.get(name).withColumn("bucket", bucket).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # at most ``buckets`` rows
         merged = scratch.keep(old.join(new.select("id"), "id", "left_anti").unionByName(new))
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name) + "/rows")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket").parquet(self._path(name) + "/rows")
         n = new.count()
         scratch.drop(keyed, new, merged)
         return n
@@ -146,9 +147,11 @@ class Collections:
         """Rows, dimension of the embeddings, and the metadata fields of one row."""
         rows = self.get(name)
         sample = rows.select(F.size("embedding").alias("d"), F.map_keys("metadata").alias("k")).first()
-        return {"collection_name": name, "document_count": rows.count(), "embedding_dimension": sample["d"] if sample else None, "metadata_fields": sorted(sample["k"] or []) if sample else []}
+        return {"collection_name": name, "document_count": rows.count(), "embedding_dimension": sample["d"] if sample else None,
+            "metadata_fields": sorted(sample["k"] or []) if sample else []}
 
-    def query(self, name: str, queries: DataFrame, k: int = 5, where: Column | None = None, contains: str | None = None, embedder: Embedder = hashed_words, include: tuple[str, ...] = ("metadata", "document", "distance")) -> DataFrame:
+    def query(self, name: str, queries: DataFrame, k: int = 5, where: Column | None = None, contains: str | None = None,
+        embedder: Embedder = hashed_words, include: tuple[str, ...] = ("metadata", "document", "distance")) -> DataFrame:
         """The k nearest rows to each query (query_id, text) or (query_id, embedding): query_id, rank, id and what ``include`` names.
 
         ``where`` is a condition on the rows' columns, such as ``metadata['source'] = '3'``; ``contains`` a part of their text.
@@ -160,11 +163,13 @@ class Collections:
         asked = queries if "embedding" in queries.columns else embed(queries.select("query_id", "text"), embedder)
         hits = topk(rows, asked.select("query_id", F.col("embedding").alias("q")), k, test)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-        parts = {"metadata": [F.col("metadata")], "document": [F.col("text").alias("document")], "distance": [(F.lit(1.0) - F.col("similarity")).alias("distance"), F.col("similarity")]}
+        parts = {"metadata": [F.col("metadata")], "document": [F.col("text").alias("document")], "distance": [(F.lit(1.0) - F.col(
+                        "similarity")).alias("distance"), F.col("similarity")]}
         return hits.select("query_id", rank.cast("long").alias("rank"), F.col("vec_id").alias("id"), *[c for name_ in include for c in parts[name_]])
 
 
-def quick_setup(spark: SparkSession, paths: str | list[str], root: str, name: str = "default", embedder: Embedder = hashed_words, size: int = 800, overlap: int = 100) -> Collections:
+def quick_setup(spark: SparkSession, paths: str | list[str], root: str, name: str = "default", embedder: Embedder = hashed_words,
+    size: int = 800, overlap: int = 100) -> Collections:
     """Read, clean, chunk and embed files, and put them into a collection; it is ready for ``query``."""
     from ..sources.ingest import read_documents
 

@@ -18,10 +18,10 @@ TAGS = {
 GPS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 6: "GPSAltitude"}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 #: What the fields are called in the result.
-NAMES = {
-    "Make": "camera_make", "Model": "camera_model", "LensModel": "lens_model", "LensMake": "lens_make", "ExposureTime": "exposure_time", "FNumber": "aperture", "ISOSpeedRatings": "iso",
-    "FocalLength": "focal_length", "Flash": "flash_fired", "DateTime": "capture_date", "DateTimeOriginal": "capture_date_original", "GPSLatitude": "gpslatitude", "GPSLongitude": "gpslongitude", "GPSAltitude": "gpsaltitude",
-}
+NAMES = {"Make": "camera_make", "Model": "camera_model", "LensModel": "lens_model", "LensMake": "lens_make", "ExposureTime":
+    "exposure_time", "FNumber": "aperture", "ISOSpeedRatings": "iso", "FocalLength": "focal_length", "Flash": "flash_fired", "DateTime":
+    "capture_date", "DateTimeOriginal": "capture_date_original", "GPSLatitude": "gpslatitude", "GPSLongitude": "gpslongitude",
+    "GPSAltitude": "gpsaltitude",}
 
 
 def tiff_block(data: bytes) -> bytes:
@@ -88,6 +88,7 @@ def photo_info(files: DataFrame) -> DataFrame:
                     info = {NAMES[k]: v for k, v in found.items() if k in NAMES}
                 except (struct.error, KeyError, ValueError) as e:
                     error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([list(info.items())], pa.map_(pa.string(), pa.string())), pa.array([error], pa.string())], ["path", "info", "error"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([list(info.items())], pa.map_(pa.string(),
+                                pa.string())), pa.array([error], pa.string())], ["path", "info", "error"])
 
     return files.select("path", "content").mapInArrow(run, "path string, info map<string,string>, error string")

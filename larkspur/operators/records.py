@@ -41,7 +41,8 @@ def conversion_tool(files: DataFrame) -> DataFrame:
 @operator(category="files")
 def dir_children(files: DataFrame) -> DataFrame:
     """Items, size and emptiness of each directory; a file of null size counts as empty."""
-    return files.groupBy("dir").agg(one().alias("item_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size")).withColumn("is_empty", F.col("item_count") == 0)
+    return files.groupBy("dir").agg(one().alias("item_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size")).withColumn(
+        "is_empty", F.col("item_count") == 0)
 
 
 @operator(category="files")
@@ -92,21 +93,25 @@ def image_basics(images: DataFrame) -> DataFrame:
 
     The ratio is null where a side is null or both are 0.
     """
-    step = lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), F.pmod(s.a, F.when(s.b == 0, F.lit(1)).otherwise(s.b)).cast("long").alias("b")))
+    step = lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), F.pmod(s.a, F.when(s.b == 0, F.lit(1)).otherwise(s.b)).cast(
+                "long").alias("b")))
     start = F.struct(F.col("width").cast("long").alias("a"), F.col("height").cast("long").alias("b"))
     gcd = F.aggregate(F.sequence(F.lit(1), F.lit(46)), start, step, lambda s: s.a)
     rows = images.withColumn("_g", gcd)
     part = lambda c: F.floor(F.try_divide(F.col(c), F.col("_g"))).cast("string")
-    return rows.withColumns({"megapixels": rnd(F.col("width") * F.col("height") / F.lit(1000000.0), 2), "aspect": F.concat(part("width"), F.lit(":"), part("height"))}).drop("_g")
+    return rows.withColumns({"megapixels": rnd(F.col("width") * F.col("height") / F.lit(1000000.0), 2), "aspect": F.concat(part("width"),
+                F.lit(":"), part("height"))}).drop("_g")
 
 
 @operator(category="images")
 def ocr_words(words: DataFrame, key: str = "image") -> DataFrame:
     """Words and confidence of each image, over words (``word``, ``conf``) that are not blank and have a confidence above 0."""
     good = words.where((F.col("conf") > 0) & (F.trim("word") != ""))
-    rows = good.groupBy(key).agg(one().alias("word_count"), F.sum(F.length(F.trim("word"))).alias("character_count"), F.avg("conf").alias("c"), F.min("conf").alias("min_confidence"), F.max("conf").alias("max_confidence"))
+    rows = good.groupBy(key).agg(one().alias("word_count"), F.sum(F.length(F.trim("word"))).alias("character_count"), F.avg("conf").alias(
+            "c"), F.min("conf").alias("min_confidence"), F.max("conf").alias("max_confidence"))
     band = F.when(F.col("c") > 80, "excellent").when(F.col("c") > 60, "good").when(F.col("c") > 40, "fair").otherwise("poor")
-    return rows.withColumns({"average_confidence": rnd(F.col("c"), 4), "quality": band, "reading_minutes": rnd(F.col("word_count") / F.lit(200.0), 2)}).drop("c")
+    return rows.withColumns({"average_confidence": rnd(F.col("c"), 4), "quality": band, "reading_minutes": rnd(F.col(
+                    "word_count") / F.lit(200.0), 2)}).drop("c")
 
 
 @operator(category="images")
@@ -121,14 +126,17 @@ def health_summary(checks: DataFrame, by: str = "series") -> DataFrame:
     """Checks (``passed``) of each series: total, passed, failed, and whether all passed; null is a failure."""
     ok = F.coalesce("passed", F.lit(False))
     rows = checks.groupBy(by).agg(one().alias("total"), F.count_if(ok).alias("n_passed"))
-    return rows.select(by, "total", "n_passed", (F.col("total") - F.col("n_passed")).alias("n_failed"), (F.col("total") == F.col("n_passed")).alias("all_passed"))
+    return rows.select(by, "total", "n_passed", (F.col("total") - F.col("n_passed")).alias("n_failed"), (F.col("total") == F.col(
+                "n_passed")).alias("all_passed"))
 
 
 @operator(category="telemetry")
 def connectivity(hosts: DataFrame) -> DataFrame:
     """Overall state and issues of hosts by the flags resolvable, reachable, http and https; null flags are false."""
     on = lambda c: F.coalesce(F.col(c), F.lit(False))
-    issues = F.filter(F.array(F.when(~on("resolvable"), "DNS resolution failed"), F.when(~on("reachable"), "Host is not reachable via ping"), F.when(~on("http") & ~on("https"), "HTTP/HTTPS services are not accessible")), F.isnotnull)
+    issues = F.filter(F.array(F.when(~on("resolvable"), "DNS resolution failed"), F.when(~on("reachable"),
+                "Host is not reachable via ping"), F.when(~on("http") & ~on("https"), "HTTP/HTTPS services are not accessible")),
+        F.isnotnull)
     return hosts.select("host", F.when(F.size(issues) > 0, "degraded").otherwise("healthy").alias("overall"), F.concat_ws("; ", issues).alias("issues"))
 
 
@@ -158,7 +166,8 @@ def parameter_sets(calls: DataFrame, required: list[str]) -> DataFrame:
 def image_collection(images: DataFrame) -> DataFrame:
     """Images (format, mode, width, height) by format: counts, sizes, and advice where over half are grey (mode L)."""
     size = [f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))]
-    rows = images.groupBy("format").agg(one().alias("n"), F.count_if(F.col("mode") == "L").alias("n_grey"), *size, rnd(F.avg("width"), 2).alias("avg_width"), rnd(F.avg("height"), 2).alias("avg_height"))
+    rows = images.groupBy("format").agg(one().alias("n"), F.count_if(F.col("mode") == "L").alias("n_grey"), *size, rnd(F.avg("width"), 2)
+        .alias("avg_width"), rnd(F.avg("height"), 2).alias("avg_height"))
     return rows.withColumn("advice", F.when(F.col("n_grey") * 2 > F.col("n"), "store as greyscale"))
 
 

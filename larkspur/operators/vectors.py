@@ -47,7 +47,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | No
     rows = vectors.where(where) if where is not None else vectors
     n, m = (max(1, -(-x.count() // size)) for x, size in ((rows, BLOCK), (queries, QUERIES)))
     rows = rows.withColumns({"_v": F.pmod(F.xxhash64("vec_id"), F.lit(n)), "_q": F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
-    asked = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_v"))
+    asked = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("_q"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_v"))
 
     def run(table: pa.Table, asks: pa.Table) -> pa.Table:
         ids, found, whose, sims = table["vec_id"].to_numpy(), [], [], []
@@ -67,7 +68,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | No
                     found.append(best), whose.append(np.full(len(best), of[i + j])), sims.append(near[j][best])
         cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
         hits = table.drop_columns(["_v", "_q"]).take(pa.array(cat(found, np.int64)))
-        return hits.append_column("query_id", asks["query_id"].take(pa.array(cat(whose, np.int64)))).append_column("similarity", pa.array(cat(sims, np.float64), from_pandas=True))
+        return hits.append_column("query_id", asks["query_id"].take(pa.array(cat(whose, np.int64)))).append_column("similarity",
+            pa.array(cat(sims, np.float64), from_pandas=True))
 
     kind = StructType([*vectors.schema.fields, StructField("query_id", queries.schema["query_id"].dataType), StructField("similarity", DoubleType())])
     near = rows.groupBy("_v", "_q").cogroup(asked.groupBy("_v", "_q")).applyInArrow(run, kind)
@@ -79,7 +81,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | No
 def l2_normalize(vectors: DataFrame) -> DataFrame:
     """Vectors of length 1; zero vectors stay."""
     n = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    return vectors.withColumn("norm", n).withColumn("embedding", F.when(F.col("norm") > 0, F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))).otherwise(F.col("embedding").cast("array<double>")))
+    return vectors.withColumn("norm", n).withColumn("embedding", F.when(F.col("norm") > 0, F.transform("embedding", lambda x: x.cast(
+                    "double") / F.col("norm"))).otherwise(F.col("embedding").cast("array<double>")))
 
 
 @operator(category="vectors")
@@ -97,10 +100,13 @@ def context_budget(hits: DataFrame, budget: int, group: str = "conv_id", rank: s
     h = h.withColumn("upto", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     left = F.lit(budget) - (F.col("upto") - F.col("tokens"))
     h = h.withColumn("left", left).where((F.col("upto") <= budget) | ((F.col("left") > 50) & (F.col("upto") - F.col("tokens") <= budget)))
-    return h.select(group, rank, "tokens", (F.col("upto") > budget).alias("truncated"), F.when(F.col("upto") > budget, F.concat(F.substring(F.col(text), F.lit(1), ((F.col("left") - 20) * 4).cast("int")), F.lit("..."))).otherwise(F.col(text)).alias("piece"))
+    return h.select(group, rank, "tokens", (F.col("upto") > budget).alias("truncated"), F.when(F.col("upto") > budget,
+            F.concat(F.substring(F.col(text), F.lit(1), ((F.col("left") - 20) * 4).cast("int")), F.lit("..."))).otherwise(F.col(text))
+        .alias("piece"))
 
 
 @operator(category="rag")
 def assemble_context(pieces: DataFrame, group: str = "conv_id", rank: str = "turn") -> DataFrame:
     """One context string for each group, pieces in rank order."""
-    return pieces.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "piece"))), lambda x: x["piece"]), "\n\n").alias("context"), F.sum("tokens").alias("tokens"))
+    return pieces.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "piece"))), lambda x: x["piece"]),
+            "\n\n").alias("context"), F.sum("tokens").alias("tokens"))

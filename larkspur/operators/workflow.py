@@ -19,7 +19,8 @@ def step_levels(steps: DataFrame) -> DataFrame:
     """
     scratch = Scratch(steps.sparkSession, "levels")
     known = steps.select(F.col("step").alias("dep"), F.col("step").alias("up"))
-    now = scratch.keep(steps.join(known, "dep", "left").select("step", F.when(F.col("up") != F.col("step"), F.col("up")).alias("up")).withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
+    now = scratch.keep(steps.join(known, "dep", "left").select("step", F.when(F.col("up") != F.col("step"), F.col("up")).alias("up"))
+        .withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
     total = now.count()
     open_, looked = now.where("up is not null").count(), 1
     while open_:

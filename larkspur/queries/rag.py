@@ -30,7 +30,8 @@ def index_build(load):
     chunks = I.build_index(spread(load("documents")), lambda texts: I.hashed_words(texts)).select("id", "text")
     counts = I.embed(chunks, normalize=False)
     pairs = F.filter(F.transform("embedding", lambda v, i: F.struct(i.alias("k"), v.cast("long").alias("n"))), lambda p: p["n"] > 0)
-    return counts.select("id", "text", F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["k"].cast("string"), p["n"].cast("string"))), " ").alias("vector"))
+    return counts.select("id", "text", F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["k"].cast("string"), p["n"].cast(
+                    "string"))), " ").alias("vector"))
 
 
 @query("index_search", f"""WITH {_INDEXED}, l AS (SELECT id, sum(n * n)::DOUBLE AS l FROM b GROUP BY id), q AS (SELECT id FROM x WHERE chunk = 0 AND split_part(id, '-', 1)::BIGINT % 100 = 0),
@@ -89,9 +90,12 @@ _BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _HOSTS = "SELECT CASE page_id % 4 WHEN 0 THEN '10.0.' || page_id || '.7' WHEN 1 THEN 'fe80::' || page_id % 10 WHEN 2 THEN '1:2:3:4:5:6:7:' || page_id % 10 ELSE url END AS host FROM pages"
 
 
-@query("ip_literals", f"SELECT host, CASE WHEN regexp_matches(host, '^{_BYTE}\\.{_BYTE}\\.{_BYTE}\\.{_BYTE}$') THEN 'ipv4' WHEN regexp_matches(host, '^(fe80::[0-9]|(.:){{7}}[0-9])$') THEN 'ipv6' ELSE 'name' END AS kind FROM ({_HOSTS})")
+@query("ip_literals",
+    f"SELECT host, CASE WHEN regexp_matches(host, '^{_BYTE}\\.{_BYTE}\\.{_BYTE}\\.{_BYTE}$') THEN 'ipv4' WHEN regexp_matches(host, '^(fe80::[0-9]|(.:){{7}}[0-9])$') THEN 'ipv6' ELSE 'name' END AS kind FROM ({_HOSTS})")
 def ip_literals(load):
-    return W.ip_literals(load("pages").selectExpr("CASE page_id % 4 WHEN 0 THEN '10.0.' || page_id || '.7' WHEN 1 THEN 'fe80::' || page_id % 10 WHEN 2 THEN '1:2:3:4:5:6:7:' || page_id % 10 ELSE url END AS host"))
+    return W.ip_literals(load("pages").selectExpr(
+            "CASE page_id % 4 WHEN 0 THEN '10.0.' || page_id || '.7' WHEN 1 THEN 'fe80::' || page_id % 10 WHEN 2 THEN '1:2:3:4:5:6:7:' || "
+            "page_id % 10 ELSE url END AS host"))
 
 
 _FETCHED = """SELECT url, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN [url] ELSE [url, url || '/'] END AS history,
@@ -116,7 +120,8 @@ def redirect_summary(load):
   CASE WHEN doc_id % 5 = 0 THEN 'Input file not found: ' || path || CASE WHEN doc_id % 2 = 0 THEN '.DOCX' ELSE '' END WHEN doc_id % 2 = 1 THEN 'Input file must be a .docx file' WHEN size IS NULL THEN 'Cannot access input file' WHEN size = 0 THEN 'Input file is empty' WHEN size > 5242880 THEN 'Input file too large (max 5MB)' END AS error FROM c""")
 def docx_check(load):
     c = C.catalog(load("documents"))
-    return B.docx_check(c.select(F.concat("path", F.when(F.col("doc_id") % 2 == 0, ".DOCX").otherwise("")).alias("path"), "size", (F.col("doc_id") % 5 != 0).alias("present")), 5 << 20)
+    return B.docx_check(c.select(F.concat("path", F.when(F.col("doc_id") % 2 == 0, ".DOCX").otherwise("")).alias("path"), "size", (F.col(
+                    "doc_id") % 5 != 0).alias("present")), 5 << 20)
 
 
 _SUMMARY = "Say in a few sentences what matters in this text from "

@@ -44,22 +44,36 @@ def doc_query(name: str, operator, select: str, base: str = BASE, **params):
     query(name, base + select)(lambda load: operator(spread(load("documents")), **params))
 
 
-@query("corpus_by_lang", BASE + "SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_words, sum(ns)::BIGINT AS n_sentences, max(n)::BIGINT AS longest FROM n GROUP BY lang")
+@query("corpus_by_lang", BASE +
+    "SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_words, sum(ns)::BIGINT AS n_sentences, max(n)::BIGINT AS longest FROM n GROUP "
+    "BY lang")
 def corpus_by_lang(load):
     b = spread(load("documents")).select("lang", F.size(T.words(F.col("text"))).alias("w"), F.size(T.sentences(F.col("text"))).alias("s"))
-    return b.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("w").alias("n_words"), F.sum("s").alias("n_sentences"), F.max("w").cast("long").alias("longest"))
+    return b.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("w").alias("n_words"), F.sum("s").alias("n_sentences"), F.max(
+            "w").cast("long").alias("longest"))
 
 
-doc_query("token_counts", O.token_counts, f"SELECT doc_id, n AS words, len(list_distinct(list_transform(w, lambda x: lower(x))))::BIGINT AS unique_words, ns AS sentences, len(list_filter(regexp_split_to_array(text, '\\n{WS}*\\n'), lambda x: {STRIP('x')} <> ''))::BIGINT AS paragraphs FROM n")
+doc_query("token_counts", O.token_counts,
+    f"SELECT doc_id, n AS words, len(list_distinct(list_transform(w, lambda x: lower(x))))::BIGINT AS unique_words, ns AS sentences, len(list_filter(regexp_split_to_array(text, '\\n{WS}*\\n'), lambda x: {STRIP('x')} <> ''))::BIGINT AS paragraphs FROM n")
 doc_query("text_light", O.text_light, f"""SELECT doc_id, n AS words, length(text)::BIGINT AS characters, length(replace(text, ' ', ''))::BIGINT AS characters_no_spaces, ns AS sentences,
   {R(PER(SUM("lens"), "n"), 1)} AS avg_word_length, {R(PER("n", "ns"), 1)} AS words_per_sentence,
   CASE WHEN {PER("n", "ns")} < 15 AND {PER(SUM("lens"), "n")} < 5 THEN 'Easy' WHEN {PER("n", "ns")} < 25 THEN 'Moderate' ELSE 'Complex' END AS readability FROM n""")
-doc_query("text_basic", O.text_basic, f"SELECT doc_id, length(text)::BIGINT AS characters, length(regexp_replace(text, '{WS}', '', 'g'))::BIGINT AS characters_no_spaces, ({COUNT('text', chr(92) + 'n')} + 1)::BIGINT AS lines FROM d")
+doc_query("text_basic", O.text_basic,
+    f"SELECT doc_id, length(text)::BIGINT AS characters, length(regexp_replace(text, '{WS}', '', 'g'))::BIGINT AS characters_no_spaces, ({COUNT('text', chr(92) + 'n')} + 1)::BIGINT AS lines FROM d")
 _CLASSES = {"letters": r"\p{L}", "digits": r"\p{Nd}", "spaces": WS, "punctuation": r"[!-/:-@\[-`{-~]"}
-doc_query("char_classes", O.char_classes, "SELECT doc_id, letters, digits, spaces, punctuation, k - letters - digits - spaces - punctuation AS other, " + R(PER("letters", "k"), 3) + " AS letter_ratio FROM (SELECT doc_id, length(text)::BIGINT AS k, " + ", ".join(f"{COUNT('text', p)}::BIGINT AS {c}" for c, p in _CLASSES.items()) + " FROM d)")
-doc_query("word_stats", O.word_stats, "SELECT doc_id, n AS total, len(list_distinct(w))::BIGINT AS \"unique\", ld AS lexical_diversity, awl AS average_word_length, list_max(lens)::BIGINT AS max_word_length, list_min(lens)::BIGINT AS min_word_length, syll AS total_syllables, spw AS average_syllables FROM m")
-doc_query("sentence_stats", O.sentence_stats, "SELECT doc_id, ns AS total, asl AS average_sentence_length, list_max(per_s)::BIGINT AS max_sentence_length, list_min(per_s)::BIGINT AS min_sentence_length FROM m")
-doc_query("readability", O.readability, f"SELECT doc_id, {R('flesch', 1)} AS flesch_reading_ease, {R('fk', 1)} AS flesch_kincaid_grade, {R('ari', 1)} AS automated_readability_index, lvl AS reading_level FROM l")
+doc_query("char_classes", O.char_classes,
+    "SELECT doc_id, letters, digits, spaces, punctuation, k - letters - digits - spaces - punctuation AS other, " + R(PER("letters", "k"),
+        3) + " AS letter_ratio FROM (SELECT doc_id, length(text)::BIGINT AS k, " + ", ".join(f"{COUNT('text', p)}::BIGINT AS {c}" for c,
+        p in _CLASSES.items()) + " FROM d)")
+doc_query("word_stats", O.word_stats,
+    "SELECT doc_id, n AS total, len(list_distinct(w))::BIGINT AS \"unique\", ld AS lexical_diversity, awl AS average_word_length, "
+    "list_max(lens)::BIGINT AS max_word_length, list_min(lens)::BIGINT AS min_word_length, syll AS total_syllables, spw AS "
+    "average_syllables FROM m")
+doc_query("sentence_stats", O.sentence_stats,
+    "SELECT doc_id, ns AS total, asl AS average_sentence_length, list_max(per_s)::BIGINT AS max_sentence_length, list_min(per_s)::BIGINT "
+    "AS min_sentence_length FROM m")
+doc_query("readability", O.readability,
+    f"SELECT doc_id, {R('flesch', 1)} AS flesch_reading_ease, {R('fk', 1)} AS flesch_kincaid_grade, {R('ari', 1)} AS automated_readability_index, lvl AS reading_level FROM l")
 doc_query("complexity", O.complexity, f"""SELECT doc_id, {R("raw", 1)} AS score, CASE WHEN raw < 33 THEN 'Simple' WHEN raw < 66 THEN 'Moderate' ELSE 'Complex' END AS level,
   CASE WHEN ld > 0.7::DOUBLE THEN 'High' WHEN ld > 0.5::DOUBLE THEN 'Medium' ELSE 'Low' END AS vocabulary_diversity, CASE WHEN asl > 20 THEN 'Complex' WHEN asl > 15 THEN 'Moderate' ELSE 'Simple' END AS sentence_structure,
   CASE WHEN awl > 6 THEN 'Complex' WHEN awl > 5 THEN 'Moderate' ELSE 'Simple' END AS word_complexity
@@ -68,12 +82,15 @@ doc_query("insights", O.insights, """SELECT doc_id, concat_ws(' | ', CASE WHEN l
   CASE WHEN asl > 25 THEN 'Long sentences may affect readability - consider breaking them up' WHEN asl < 10 THEN 'Short, punchy sentences - good for clarity' END,
   CASE WHEN contains(lvl, 'Difficult') THEN 'Text may be challenging for general audiences' WHEN contains(lvl, 'Easy') THEN 'Accessible writing style suitable for broad audiences' END,
   CASE WHEN awl > 6 THEN 'Uses longer words - consider simpler alternatives' END) AS insights FROM l""")
-doc_query("length_histogram", O.length_histogram, "SELECT word_length::BIGINT AS word_length, count(*) AS n_words FROM (SELECT unnest(lens) AS word_length FROM n) GROUP BY word_length")
+doc_query("length_histogram", O.length_histogram,
+    "SELECT word_length::BIGINT AS word_length, count(*) AS n_words FROM (SELECT unnest(lens) AS word_length FROM n) GROUP BY word_length")
 _TOP = """SELECT doc_id, rank, {out}, n FROM (SELECT doc_id, {x}, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM x GROUP BY doc_id, {x}) WHERE rank <= 10"""
 _STOP = ", ".join(f"'{x}'" for x in T.STOP)
 doc_query("top_words", O.top_words, f""", f AS (SELECT doc_id, w, list_filter(w, lambda x: lower(x) NOT IN ({_STOP}) AND length(x) > 2) AS k FROM b), g AS (SELECT doc_id, CASE WHEN len(k) > 0 THEN k ELSE w END AS k FROM f),
 x AS (SELECT doc_id, unnest(k) AS word, generate_subscripts(k, 1) AS pos FROM g) """ + _TOP.format(out="word", x="word"))
-doc_query("top_chars", O.top_chars, ", g AS (SELECT doc_id, string_split(text, '') AS k FROM d WHERE text <> ''), x AS (SELECT doc_id, unnest(k) AS char, generate_subscripts(k, 1) AS pos FROM g) " + _TOP.format(out="hex(encode(char)) AS char_hex", x="char"))
+doc_query("top_chars", O.top_chars,
+    ", g AS (SELECT doc_id, string_split(text, '') AS k FROM d WHERE text <> ''), x AS (SELECT doc_id, unnest(k) AS char, "
+    "generate_subscripts(k, 1) AS pos FROM g) " + _TOP.format(out="hex(encode(char)) AS char_hex", x="char"))
 _CLEAN = f""", c AS (SELECT doc_id, text, {STRIP("text")} AS st, {STRIP(f"regexp_replace(text, '{WS}+', ' ', 'g')")} AS sq FROM d),
 q AS (SELECT *, CASE WHEN length(sq) = length(st) THEN sq ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(regexp_replace(regexp_replace(sq, ' ([.,!?;:])', '\\1', 'g'), '\\( ', '(', 'g'), ' \\)', ')', 'g'), '\\.+', '.', 'g'), ',+', ',', 'g'), '!+', '!', 'g'), '\\?+', '?', 'g') END AS cleaned FROM c) """
@@ -123,31 +140,61 @@ query("chunk_smart", _SMART)(lambda load: O.chunk_smart(spread(load("documents")
 columns("clean_metrics", _CLEAN + "SELECT doc_id, length(sq)::BIGINT AS squeezed, length(st)::BIGINT AS stripped, (length(sq) <> length(st)) AS mended FROM q",
         squeezed=lambda: F.length(T.strip(F.regexp_replace(t(), f"{WS}+", " "))).cast("long"), stripped=lambda: F.length(T.strip(t())).cast("long"),
         mended=lambda: F.length(T.strip(F.regexp_replace(t(), f"{WS}+", " "))) != F.length(T.strip(t())))
-columns("summary_first_n", r"SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN length(regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1)) > 1 THEN regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1) ELSE substr(text, 1, 200) END AS summary FROM d", summary=lambda: T.first_n(t(), 200))
+columns("summary_first_n",
+    r"SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN length(regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1)) > 1 "
+    r"THEN regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1) ELSE substr(text, 1, 200) END AS summary FROM d",
+    summary=lambda: T.first_n(t(), 200))
 _TOK = r"len(regexp_extract_all(text, '[^\s\p{Z}\x0b\x1c-\x1f\x85]+'))"
-columns("summary_strategy", f"SELECT doc_id, CASE WHEN {_TOK} < 50 THEN 'first_n' WHEN regexp_matches(lower(text), 'study|research|data|analysis') THEN 'extractive' ELSE 'key_sentences' END AS strategy FROM d", strategy=lambda: T.strategy(t()))
-columns("retention_ratio", f", s2 AS (SELECT doc_id, list_distinct(list_transform(w, lambda x: lower(x))) AS o, list_distinct(list_transform(regexp_extract_all(substr(text, 1, 200), '{W}'), lambda x: lower(x))) AS z FROM b) SELECT doc_id, {R(PER('len(list_intersect(o, z))', 'greatest(len(o), 1)'), 3)} AS retention FROM s2", retention=lambda: T.retention(t(), F.substring(T.given(t()), 1, 200)))
+columns("summary_strategy",
+    f"SELECT doc_id, CASE WHEN {_TOK} < 50 THEN 'first_n' WHEN regexp_matches(lower(text), 'study|research|data|analysis') THEN 'extractive' ELSE 'key_sentences' END AS strategy FROM d",
+    strategy=lambda: T.strategy(t()))
+columns("retention_ratio",
+    f", s2 AS (SELECT doc_id, list_distinct(list_transform(w, lambda x: lower(x))) AS o, list_distinct(list_transform(regexp_extract_all(substr(text, 1, 200), '{W}'), lambda x: lower(x))) AS z FROM b) SELECT doc_id, {R(PER('len(list_intersect(o, z))', 'greatest(len(o), 1)'), 3)} AS retention FROM s2",
+    retention=lambda: T.retention(t(), F.substring(T.given(t()), 1, 200)))
 _IND = {lang: " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) for lang, ws in T.INDICATORS.items()}
-columns("detect_language", ", i AS (SELECT doc_id, " + ", ".join(f"{v} AS k_{k}" for k, v in _IND.items()) + " FROM d), j AS (SELECT *, greatest(k_en, k_es, k_fr, k_de) AS best FROM i) SELECT doc_id, CASE WHEN k_en = best THEN 'en' WHEN k_es = best THEN 'es' WHEN k_fr = best THEN 'fr' ELSE 'de' END AS detected_language, least(best::DOUBLE / 5.0::DOUBLE, 1.0::DOUBLE) AS confidence FROM j",
-        detected_language=lambda: T.detected_language(t())[0], confidence=lambda: T.detected_language(t())[1])
-columns("translate_mock", f", v AS (SELECT doc_id, text, lower({STRIP('text')}) AS low FROM d) SELECT doc_id, CASE WHEN contains(low, 'hello') THEN 'hallo' WHEN contains(low, 'goodbye') THEN 'auf wiedersehen' WHEN contains(low, 'thank you') THEN 'danke' ELSE '[DE: ' || text || ']' END AS translated FROM v", translated=lambda: T.translate_mock(t(), "de"))
-columns("token_estimate", "SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS truncated FROM d", tokens=lambda: F.floor(F.length(T.given(t())) / 4).cast("long"), truncated=lambda: F.when(F.length(t()) > 400, F.concat(F.substring(t(), 1, 400), F.lit("..."))).otherwise(T.given(t())))
-columns("text_file_info", f"SELECT doc_id, ({COUNT('text', chr(92) + 'n')} + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END)::BIGINT AS lines, {_TOK}::BIGINT AS words, length(text)::BIGINT AS characters FROM d", lines=lambda: (F.regexp_count(T.given(t()), F.lit("\n")) + F.when((T.given(t()) == "") | t().endswith("\n"), 0).otherwise(1)).cast("long"), words=lambda: F.size(T.tokens(t())).cast("long"), characters=lambda: F.length(T.given(t())).cast("long"))
+columns("detect_language", ", i AS (SELECT doc_id, " + ", ".join(f"{v} AS k_{k}" for k, v in _IND.items()) +
+    " FROM d), j AS (SELECT *, greatest(k_en, k_es, k_fr, k_de) AS best FROM i) SELECT doc_id, CASE WHEN k_en = best THEN 'en' WHEN k_es "
+    "= best THEN 'es' WHEN k_fr = best THEN 'fr' ELSE 'de' END AS detected_language, least(best::DOUBLE / 5.0::DOUBLE, 1.0::DOUBLE) AS "
+    "confidence FROM j", detected_language=lambda: T.detected_language(t())[0], confidence=lambda: T.detected_language(t())[1])
+columns("translate_mock",
+    f", v AS (SELECT doc_id, text, lower({STRIP('text')}) AS low FROM d) SELECT doc_id, CASE WHEN contains(low, 'hello') THEN 'hallo' WHEN contains(low, 'goodbye') THEN 'auf wiedersehen' WHEN contains(low, 'thank you') THEN 'danke' ELSE '[DE: ' || text || ']' END AS translated FROM v",
+    translated=lambda: T.translate_mock(t(), "de"))
+columns("token_estimate",
+    "SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END "
+    "AS truncated FROM d", tokens=lambda: F.floor(F.length(T.given(t())) / 4).cast("long"), truncated=lambda: F.when(F.length(t()) > 400,
+        F.concat(F.substring(t(), 1, 400), F.lit("..."))).otherwise(T.given(t())))
+columns("text_file_info",
+    f"SELECT doc_id, ({COUNT('text', chr(92) + 'n')} + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END)::BIGINT AS lines, {_TOK}::BIGINT AS words, length(text)::BIGINT AS characters FROM d",
+    lines=lambda: (F.regexp_count(T.given(t()), F.lit("\n")) + F.when((T.given(t()) == "") | t().endswith("\n"), 0).otherwise(1)).cast(
+        "long"), words=lambda: F.size(T.tokens(t())).cast("long"), characters=lambda: F.length(T.given(t())).cast("long"))
 _CODE = {"functions": "def |function |func ", "classes": "class |struct |interface ", "imports": "import |require|#include"}
-columns("code_info", "SELECT doc_id, " + ", ".join(f"({' + '.join(f'{COUNT(chr(116) + chr(101) + chr(120) + chr(116), x)}' for x in p.split('|'))})::BIGINT AS {n}" for n, p in _CODE.items()) + " FROM d",
-        **{n: (lambda p=p: sum((F.regexp_count(T.given(t()), F.lit(x)) for x in p.split("|")), F.lit(0)).cast("long")) for n, p in _CODE.items()})
-columns("diff_summary", _CLEAN + f"SELECT doc_id, ({COUNT('cleaned', chr(92) + 'n')} - {COUNT('text', chr(92) + 'n')})::BIGINT AS lines, (length(cleaned) - length(text))::BIGINT AS characters, ({COUNT('cleaned', W)} - {COUNT('text', W)})::BIGINT AS words FROM q",
-        lines=lambda: (F.regexp_count(T.clean(t()), F.lit("\n")) - F.regexp_count(t(), F.lit("\n"))).cast("long"), characters=lambda: (F.length(T.clean(t())) - F.length(t())).cast("long"), words=lambda: (F.size(T.words(T.clean(t()))) - F.size(T.words(t()))).cast("long"))
+columns("code_info", "SELECT doc_id, " + ", ".join(
+        f"({' + '.join(f'{COUNT(chr(116) + chr(101) + chr(120) + chr(116), x)}' for x in p.split('|'))})::BIGINT AS {n}" for n,
+        p in _CODE.items()) + " FROM d", **{n: (lambda p=p: sum((F.regexp_count(T.given(t()), F.lit(x)) for x in p.split("|")),
+                F.lit(0)).cast("long")) for n, p in _CODE.items()})
+columns("diff_summary", _CLEAN +
+    f"SELECT doc_id, ({COUNT('cleaned', chr(92) + 'n')} - {COUNT('text', chr(92) + 'n')})::BIGINT AS lines, (length(cleaned) - length(text))::BIGINT AS characters, ({COUNT('cleaned', W)} - {COUNT('text', W)})::BIGINT AS words FROM q",
+    lines=lambda: (F.regexp_count(T.clean(t()), F.lit("\n")) - F.regexp_count(t(), F.lit("\n"))).cast("long"),
+    characters=lambda: (F.length(T.clean(t())) - F.length(t())).cast("long"),
+    words=lambda: (F.size(T.words(T.clean(t()))) - F.size(T.words(t()))).cast("long"))
 columns("sanitize", "SELECT doc_id, " + STRIP("translate(text, '<>&\"' || chr(39), '')") + " AS sanitized FROM d", sanitized=lambda: T.sanitize(T.given(t())))
 columns("clean_filename", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 40), '[<>:"/\\|?*]', '_', 'g'), '^ +| +$', '', 'g'), '^\.+|\.+$', '', 'g') AS name FROM d""", name=lambda: T.clean_filename(F.substring(T.given(t()), 1, 40)))
-columns("content_hash", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM d", md5=lambda: F.md5(T.given(t())), sha256=lambda: F.sha2(T.given(t()), 256))
-columns("preview", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '... (truncated)' ELSE text END AS preview FROM d", preview=lambda: F.when(F.length(t()) > 100, F.concat(F.substring(t(), 1, 100), F.lit("... (truncated)"))).otherwise(T.given(t())))
+columns("content_hash", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM d", md5=lambda: F.md5(T.given(t())),
+    sha256=lambda: F.sha2(T.given(t()), 256))
+columns("preview",
+    "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '... (truncated)' ELSE text END AS preview FROM d",
+    preview=lambda: F.when(F.length(t()) > 100, F.concat(F.substring(t(), 1, 100), F.lit("... (truncated)"))).otherwise(T.given(t())))
 columns("syllables", "SELECT doc_id, syll AS syllables FROM n", syllables=lambda: T.syllables(T.words(t())))
-columns("is_text", r"SELECT doc_id, (CASE WHEN strlen(text) = 0 THEN false ELSE len(regexp_extract_all(substr(text, 1, 1024), '[\x20-\x7E\t\n\r]'))::DOUBLE / length(substr(text, 1, 1024)) > 0.8::DOUBLE END) AS is_text FROM d", is_text=lambda: F.when(F.length(T.given(t())) == 0, F.lit(False)).otherwise(F.regexp_count(F.substring(t(), 1, 1024), F.lit(r"[\x20-\x7E\t\n\r]")) / F.length(F.substring(t(), 1, 1024)) > 0.8))
+columns("is_text",
+    r"SELECT doc_id, (CASE WHEN strlen(text) = 0 THEN false ELSE len(regexp_extract_all(substr(text, 1, 1024), "
+    r"'[\x20-\x7E\t\n\r]'))::DOUBLE / length(substr(text, 1, 1024)) > 0.8::DOUBLE END) AS is_text FROM d", is_text=lambda: F
+    .when(F.length(T.given(t())) == 0, F.lit(False)).otherwise(F.regexp_count(F.substring(t(), 1, 1024), F.lit(
+                r"[\x20-\x7E\t\n\r]")) / F.length(F.substring(t(), 1, 1024)) > 0.8))
 _HEADING = "(length(p) < 100 AND ((upper(p) = p AND lower(p) <> p) OR ends_with(p, ':')) AND NOT ends_with(p, '.') AND NOT ends_with(p, ','))"
 
 
-@query("heading_detect", BASE + f", p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM d), u AS (SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS pos, unnest(ps) AS p FROM p) SELECT doc_id, pos::BIGINT AS pos, p AS paragraph, {_HEADING} AS is_heading FROM u")
+@query("heading_detect", BASE +
+    f", p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM d), u AS (SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS pos, unnest(ps) AS p FROM p) SELECT doc_id, pos::BIGINT AS pos, p AS paragraph, {_HEADING} AS is_heading FROM u")
 def heading_paragraphs(load):
     return O.heading_paragraphs(spread(load("documents")))
 

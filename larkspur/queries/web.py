@@ -13,7 +13,8 @@ _URLS = """WITH u AS (SELECT url FROM pages UNION ALL SELECT 'ftp:' || url FROM
 
 
 def urls(pages):
-    more = ["concat('ftp:', url)", "replace(url, 'example.', 'example<')", "concat('http://localhost:', page_id)", "concat('http://10.0.0.', page_id)", "concat(url, ' ')"]
+    more = ["concat('ftp:', url)", "replace(url, 'example.', 'example<')", "concat('http://localhost:', page_id)",
+        "concat('http://10.0.0.', page_id)", "concat(url, ' ')"]
     return pages.select(F.explode(F.array("url", *[F.expr(e) for e in more])).alias("url"))
 
 
@@ -22,13 +23,24 @@ q AS (SELECT *, string_split(string_split(host, ':')[1], '.') AS parts FROM p),
 SELECT url, (syn AND dom IS NULL AND NOT odd) AS valid, (syn AND https) AS uses_https, CASE WHEN NOT syn THEN 'Invalid URL syntax (should start with http:// or https://)' ELSE concat_ws(' | ', dom, CASE WHEN NOT https THEN 'Consider using HTTPS for secure connections' END, CASE WHEN odd THEN 'URL contains suspicious characters (< or >)' END) END AS issues FROM r""")(lambda load: O.validate_url(urls(load("pages"))))
 _BARE = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|(?i:<script\b.*?</script>|<style\b.*?</style>)', '', 'g')"
 _N = lambda tag: rf"len(regexp_extract_all(b, '(?i)<{tag}[\s>/]'))::BIGINT"
-query("page_flags", f"SELECT page_id, {_N('form')} AS forms, {_N('table')} AS tables, {_N('ul')} + {_N('ol')} AS lists, {_N('img')} AS images, " + ", ".join(f"{_N(f'h{i}')} AS h{i}" for i in range(1, 7)) + f" FROM (SELECT page_id, {_BARE} AS b FROM pages)")(lambda load: O.page_flags(load("pages")))
-query("heading_counts", f"SELECT page_id, {_N('h1')} AS h1, (({_N('h1')} > 0)::INT + ({_N('h1')} = 1)::INT) / 2.0::DOUBLE AS score FROM (SELECT page_id, {_BARE} AS b FROM pages)")(
-    lambda load: O.page_flags(load("pages")).select("page_id", "h1", (((F.col("h1") > 0).cast("int") + (F.col("h1") == 1).cast("int")) / F.lit(2.0)).alias("score")))
-query("ux_score", rf"SELECT page_id, (({_N('a')} > 5)::INT + ({_N('img')} > 0)::INT + ({_N('ul')} + {_N('ol')} > 0)::INT + ({_N('form')} > 0)::INT) / 4.0::DOUBLE AS score FROM (SELECT page_id, {_BARE} AS b FROM pages)")(
-    lambda load: O.page_flags(load("pages")).join(load("pages").select(F.col("page_id").alias("p"), F.regexp_count(O.bare(F.col("html")), F.lit(r"(?i)<a[\s>/]")).alias("links")), F.col("page_id") == F.col("p")).select("page_id", (O._sum(F.col("links") > 5, F.col("images") > 0, F.col("lists") > 0, F.col("forms") > 0) / F.lit(4.0)).alias("score")))
-query("status_class", "SELECT page_id, status, CASE WHEN status BETWEEN 200 AND 299 THEN 'Success' WHEN status BETWEEN 300 AND 399 THEN 'Redirection' WHEN status BETWEEN 400 AND 499 THEN 'Client Error' WHEN status BETWEEN 500 AND 599 THEN 'Server Error' ELSE 'Unknown' END AS status_class FROM (SELECT page_id, 100 + page_id % 7 * 100 AS status FROM pages)")(
-    lambda load: O.status_class(load("pages").select("page_id", (F.lit(100) + F.col("page_id") % 7 * 100).alias("status"))))
+query("page_flags",
+    f"SELECT page_id, {_N('form')} AS forms, {_N('table')} AS tables, {_N('ul')} + {_N('ol')} AS lists, {_N('img')} AS images, " + ", "
+    .join(f"{_N(f'h{i}')} AS h{i}" for i in range(1, 7)) +
+    f" FROM (SELECT page_id, {_BARE} AS b FROM pages)")(lambda load: O.page_flags(load("pages")))
+query("heading_counts",
+    f"SELECT page_id, {_N('h1')} AS h1, (({_N('h1')} > 0)::INT + ({_N('h1')} = 1)::INT) / 2.0::DOUBLE AS score FROM (SELECT page_id, {_BARE} AS b FROM pages)")(
+    lambda load: O.page_flags(load("pages")).select("page_id", "h1", (((F.col("h1") > 0).cast("int") + (F.col("h1") == 1).cast(
+                "int")) / F.lit(2.0)).alias("score")))
+query("ux_score",
+    rf"SELECT page_id, (({_N('a')} > 5)::INT + ({_N('img')} > 0)::INT + ({_N('ul')} + {_N('ol')} > 0)::INT + ({_N('form')} > 0)::INT) / 4.0::DOUBLE AS score FROM (SELECT page_id, {_BARE} AS b FROM pages)")(
+    lambda load: O.page_flags(load("pages")).join(load("pages").select(F.col("page_id").alias("p"), F.regexp_count(O.bare(F.col("html")),
+                F.lit(r"(?i)<a[\s>/]")).alias("links")), F.col("page_id") == F.col("p")).select("page_id", (O._sum(F.col("links") > 5,
+                F.col("images") > 0, F.col("lists") > 0, F.col("forms") > 0) / F.lit(4.0)).alias("score")))
+query("status_class",
+    "SELECT page_id, status, CASE WHEN status BETWEEN 200 AND 299 THEN 'Success' WHEN status BETWEEN 300 AND 399 THEN 'Redirection' WHEN "
+    "status BETWEEN 400 AND 499 THEN 'Client Error' WHEN status BETWEEN 500 AND 599 THEN 'Server Error' ELSE 'Unknown' END AS "
+    "status_class FROM (SELECT page_id, 100 + page_id % 7 * 100 AS status FROM pages)")(lambda load: O.status_class(load("pages").select(
+            "page_id", (F.lit(100) + F.col("page_id") % 7 * 100).alias("status"))))
 #: What the parser gives, by patterns that hold for the pages of the test tables: attributes in double quotes, no unclosed quotes, seven entities.
 _TEXT = lambda x: f"replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 _PLAIN = lambda x: _TEXT(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
@@ -69,10 +81,17 @@ SCORED = PARSED + rf""", w AS (
 _LINK = f"""SELECT page_id, CASE WHEN starts_with(href, '/') THEN home || href ELSE href END AS href, {_TRIM(_PLAIN("x"))} AS text, starts_with(href, '/') AS relative, starts_with(href, '/') OR regexp_extract(href, '^[a-z]+://[^/?#]*') = home AS internal
 FROM (SELECT page_id, home, x, {_TEXT(_ATTR("x", "href"))} AS href FROM (SELECT page_id, home, unnest(links_) AS x FROM p)) WHERE href <> '' AND NOT regexp_matches(href, '^(javascript:|mailto:|tel:)')"""
 _JSON = lambda *pairs: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || to_json({v})" for k, v in pairs) + " || '}'"
-query("page_title", PARSED + "SELECT page_id, title, length(title) AS length FROM p")(lambda load: parse_pages(load("pages")).select("page_id", "title", F.length("title").alias("length")))
+query("page_title", PARSED + "SELECT page_id, title, length(title) AS length FROM p")(lambda load: parse_pages(load("pages")).select(
+        "page_id", "title", F.length("title").alias("length")))
 query("page_links", PARSED + _LINK)(lambda load: parse_pages(load("pages")).select("page_id", F.explode("links").alias("l")).select("page_id", "l.*"))
-query("page_text", PARSED + rf"SELECT page_id, length(text)::BIGINT AS characters, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS words, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS lines FROM p")(lambda load: O.page_text(parse_pages(load("pages"))))
-query("page_quick_score", SCORED + "SELECT page_id, quick_score FROM graded")(lambda load: O.page_scores(parse_pages(load("pages"))).select("page_id", "quick_score"))
+query("page_text", PARSED +
+    rf"SELECT page_id, length(text)::BIGINT AS characters, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS words, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS lines FROM p")(
+    lambda load: O.page_text(parse_pages(load("pages"))))
+query("page_quick_score", SCORED + "SELECT page_id, quick_score FROM graded")(lambda load: O.page_scores(parse_pages(load("pages"))).select(
+        "page_id", "quick_score"))
 query("page_grade", SCORED + "SELECT * EXCLUDE (url) FROM graded")(lambda load: O.page_scores(parse_pages(load("pages"))))
 _VALID = r"regexp_matches(url, '(?i)^https?://\S+$') AND NOT regexp_matches(url, '[<>]') AND regexp_matches(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1), '^[^:]*\.\p{L}{2,}(:.*)?$')"
-query("web_pipeline", SCORED + f"SELECT a.* EXCLUDE (url) FROM graded a JOIN (SELECT url FROM pages WHERE {_VALID}) u ON u.url = a.url")(lambda load: O.validate_url(load("pages")).where("valid").select("url").join(load("pages"), "url").transform(parse_pages).transform(O.page_scores))
+query("web_pipeline", SCORED +
+    f"SELECT a.* EXCLUDE (url) FROM graded a JOIN (SELECT url FROM pages WHERE {_VALID}) u ON u.url = a.url")(
+    lambda load: O.validate_url(load("pages")).where("valid").select("url").join(load("pages"),
+        "url").transform(parse_pages).transform(O.page_scores))

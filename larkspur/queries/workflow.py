@@ -9,11 +9,16 @@ from ..operators.images import quality_band
 from ..operators.workflow import step_levels
 from .base import query
 
-ALIASES = {"path": "file_path", "filename": "file_path", "file": "file_path", "text": "content", "data": "content", "type": "file_type", "format": "file_type", "output_format": "target_format", "conversion_format": "target_format", "language": "target_language", "lang": "target_language"}
+ALIASES = {"path": "file_path", "filename": "file_path", "file": "file_path", "text": "content", "data": "content", "type": "file_type",
+    "format": "file_type", "output_format": "target_format", "conversion_format": "target_format", "language": "target_language", "lang":
+    "target_language"}
 _KEYS = [*ALIASES, "content", "other"]
 _PICK = "[" + ", ".join(f"'{k}'" for k in _KEYS) + f"][(doc_id % {len(_KEYS)} + 1)::BIGINT]"
-query("param_normalize", f"SELECT doc_id, k AS given, CASE k " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items()) + f" ELSE k END AS name, substr(text, 1, 100000) AS value FROM (SELECT doc_id, text, {_PICK} AS k FROM documents)")(
-    lambda load: load("documents").select("doc_id", "text", F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("doc_id") % len(_KEYS)).cast("int")).alias("given")).select("doc_id", "given", F.coalesce(lookup(F.col("given"), ALIASES, None), "given").alias("name"), F.substring("text", 1, 100000).alias("value")))
+query("param_normalize", f"SELECT doc_id, k AS given, CASE k " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items()) +
+    f" ELSE k END AS name, substr(text, 1, 100000) AS value FROM (SELECT doc_id, text, {_PICK} AS k FROM documents)")(lambda load: load(
+        "documents").select("doc_id", "text", F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("doc_id") % len(_KEYS)).cast("int")).alias(
+            "given")).select("doc_id", "given", F.coalesce(lookup(F.col("given"), ALIASES, None), "given").alias("name"), F.substring(
+            "text", 1, 100000).alias("value")))
 
 
 query("dag_levels", "SELECT o_orderkey AS step, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS level FROM orders")(
@@ -21,5 +26,8 @@ query("dag_levels", "SELECT o_orderkey AS step, CASE WHEN o_orderkey = 0 THEN 0
 
 
 _M = "SELECT l_orderkey, l_linenumber, l_quantity / 20.0::DOUBLE AS bpp, l_extendedprice / 5000.0::DOUBLE AS mp, l_discount * 100 AS sharp, l_tax * 100 AS noise FROM lineitem"
-query("image_quality_band", f"WITH s AS (SELECT *, (CASE WHEN bpp > 2 THEN 2 WHEN bpp > 1 THEN 1 ELSE 0 END + CASE WHEN mp > 8 THEN 2 WHEN mp > 2 THEN 1 ELSE 0 END + CASE WHEN sharp > 10 THEN 2 WHEN sharp > 5 THEN 1 ELSE 0 END + CASE WHEN noise < 5 THEN 2 WHEN noise < 10 THEN 1 ELSE 0 END) AS score FROM ({_M})) SELECT l_orderkey, l_linenumber, score::BIGINT AS score, CASE WHEN score >= 6 THEN 'excellent' WHEN score >= 4 THEN 'good' WHEN score >= 2 THEN 'fair' ELSE 'poor' END AS band FROM s")(
-    lambda load: quality_band(load("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 20.0).alias("bpp"), (F.col("l_extendedprice") / 5000.0).alias("mp"), (F.col("l_discount") * 100).alias("sharp"), (F.col("l_tax") * 100).alias("noise"))).select("l_orderkey", "l_linenumber", "score", "band"))
+query("image_quality_band",
+    f"WITH s AS (SELECT *, (CASE WHEN bpp > 2 THEN 2 WHEN bpp > 1 THEN 1 ELSE 0 END + CASE WHEN mp > 8 THEN 2 WHEN mp > 2 THEN 1 ELSE 0 END + CASE WHEN sharp > 10 THEN 2 WHEN sharp > 5 THEN 1 ELSE 0 END + CASE WHEN noise < 5 THEN 2 WHEN noise < 10 THEN 1 ELSE 0 END) AS score FROM ({_M})) SELECT l_orderkey, l_linenumber, score::BIGINT AS score, CASE WHEN score >= 6 THEN 'excellent' WHEN score >= 4 THEN 'good' WHEN score >= 2 THEN 'fair' ELSE 'poor' END AS band FROM s")(
+    lambda load: quality_band(load("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 20.0).alias("bpp"), (F.col(
+                "l_extendedprice") / 5000.0).alias("mp"), (F.col("l_discount") * 100).alias("sharp"), (F.col("l_tax") * 100).alias(
+                "noise"))).select("l_orderkey", "l_linenumber", "score", "band"))

@@ -41,7 +41,8 @@ def row(entry: os.DirEntry, depth: int) -> tuple | None:
         return None
     is_file, is_dir = stat.S_ISREG(s.st_mode), stat.S_ISDIR(s.st_mode)
     extension = os.path.splitext(entry.name)[1].lower() if is_file else ""
-    return entry.path, entry.name, os.path.dirname(entry.path), extension, is_file, is_dir, entry.is_symlink(), s.st_size if is_file else 0, s.st_mtime, s.st_ctime, stat.S_IMODE(s.st_mode), depth, os.access(entry.path, os.R_OK)
+    return entry.path, entry.name, os.path.dirname(entry.path), extension, is_file, is_dir, entry.is_symlink(), s.st_size if is_file else 0, s.st_mtime, s.st_ctime, stat.S_IMODE(
+        s.st_mode), depth, os.access(entry.path, os.R_OK)
 
 
 class TreeReader(DataSourceReader):
@@ -89,7 +90,8 @@ class TreeSource(DataSource):
         return TreeReader({k.lower(): v for k, v in self.options.items()})
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True, files: bool = True, folders: bool = True, max_depth: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True, files: bool = True, folders: bool = True,
+    max_depth: int | None = None) -> DataFrame:
     """The entries of a tree whose name fits the glob ``pattern``; links to folders are listed, not followed.
 
     The tree must lie where the driver and all executors see it. Entries that can't be looked at are left

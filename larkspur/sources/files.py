@@ -12,7 +12,8 @@ def read_texts(spark: SparkSession, path: str, extensions: list[str] | None = No
     rows = reader.load(path)
     name = F.element_at(F.split("path", "/"), -1)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    rows = rows.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), text.alias("content"))
+    rows = rows.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"), F.col("length")
+        .alias("size"), F.col("modificationTime").alias("mtime"), text.alias("content"))
     return rows.where(F.col("extension").isin(*["." + e.lower().lstrip(".") for e in extensions])) if extensions else rows
 
 

@@ -108,8 +108,10 @@ def parse(page_id: int | None, url: str | None, html: str | None) -> dict:
     heads = [{"level": h["level"], "text": h["text"].strip()} for h in p.heading_texts if h["text"].strip()]
     images = [x | {"src": absolute(p.url, x["src"])[0]} for x in p.image_list]
     lines = [s.strip() for s in "".join(p.pieces).splitlines() if s.strip()]
-    return {"page_id": page_id, "url": url, "title": p.title, "description": p.description or "", "lang": p.lang, "viewport": p.viewport, "charset": p.charset,
-            "headings": list(p.headings.items()), "links": links, "images": p.images, "images_with_alt": p.alts, "lists": p.lists, "forms": p.forms, "tables": p.tables, "text": "\n".join(lines), "meta": list(p.meta.items()), "heading_texts": heads, "image_list": images}
+    return {"page_id": page_id, "url": url, "title": p.title, "description": p.description or "", "lang": p.lang, "viewport": p.viewport,
+        "charset": p.charset, "headings": list(p.headings.items()), "links": links, "images": p.images, "images_with_alt": p.alts,
+        "lists": p.lists, "forms": p.forms, "tables": p.tables, "text": "\n".join(lines), "meta": list(p.meta.items()),
+        "heading_texts": heads, "image_list": images}
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -117,9 +119,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     link = pa.struct([("href", pa.string()), ("text", pa.string()), ("relative", pa.bool_()), ("internal", pa.bool_())])
     heading = pa.struct([("level", pa.string()), ("text", pa.string())])
     image = pa.struct([(k, pa.string()) for k in ("src", "alt", "title", "width", "height")])
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("description", pa.string()), ("lang", pa.string()), ("viewport", pa.bool_()), ("charset", pa.bool_()),
-                        ("headings", pa.map_(pa.string(), pa.int32())), ("links", pa.list_(link)), ("images", pa.int32()), ("images_with_alt", pa.int32()), ("lists", pa.int32()), ("forms", pa.int32()), ("tables", pa.int32()), ("text", pa.string()),
-                        ("meta", pa.map_(pa.string(), pa.string())), ("heading_texts", pa.list_(heading)), ("image_list", pa.list_(image))])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("description", pa.string()), ("lang",
+                pa.string()), ("viewport", pa.bool_()), ("charset", pa.bool_()), ("headings", pa.map_(pa.string(), pa.int32())), ("links",
+                pa.list_(link)), ("images", pa.int32()), ("images_with_alt", pa.int32()), ("lists", pa.int32()), ("forms", pa.int32()), (
+                "tables", pa.int32()), ("text", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("heading_texts",
+                pa.list_(heading)), ("image_list", pa.list_(image))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

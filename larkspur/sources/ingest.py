@@ -71,7 +71,8 @@ def web(data: bytes) -> str:
     return parse(None, "", plain(data))["text"]
 
 
-READERS: dict[str, Callable[[bytes], str]] = {".csv": delimited(","), ".tsv": delimited("\t"), ".json": json_lines, ".html": web, ".htm": web, ".docx": docx, ".pdf": pdf_text}
+READERS: dict[str, Callable[[bytes], str]] = {".csv": delimited(","), ".tsv": delimited("\t"), ".json": json_lines, ".html": web,
+    ".htm": web, ".docx": docx, ".pdf": pdf_text}
 
 
 def register_reader(extension: str, reader: Callable[[bytes], str]) -> None:
@@ -79,7 +80,8 @@ def register_reader(extension: str, reader: Callable[[bytes], str]) -> None:
     READERS["." + extension.lower().lstrip(".")] = reader
 
 
-def read_documents(spark: SparkSession, paths: str | list[str], extensions: list[str] | None = None, recursive: bool = True, most_bytes: int = 50 << 20) -> DataFrame:
+def read_documents(spark: SparkSession, paths: str | list[str], extensions: list[str] | None = None, recursive: bool = True,
+    most_bytes: int = 50 << 20) -> DataFrame:
     """path, text and error of all files; larger files than ``most_bytes`` have an error and are not decoded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
@@ -101,7 +103,8 @@ def read_documents(spark: SparkSession, paths: str | list[str], extensions: list
                         error = f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, text, error)], ["path", "text", "error"])
 
-    return files.select("path", extension.alias("extension"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("content")).mapInArrow(run, "path string, text string, error string")
+    return files.select("path", extension.alias("extension"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("content")).mapInArrow(
+        run, "path string, text string, error string")
 
 
 def ingest(docs: DataFrame, size: int = 800, overlap: int = 100, least: int = 50) -> DataFrame:

@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 #: Widths of the standard sans-serif font's characters from 32 to 126, in thousandths of its size.
-_WIDTHS = (
-    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
-    1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556,
-    333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
-)
+_WIDTHS = (278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556,
+    278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611,
+    722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556,
+    556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,)
 PAGE, MARGIN, SIZE, LEADING = (612, 792), 72, 12, 14
 
 
@@ -76,11 +75,14 @@ def write_docx(paragraphs: list[tuple[str, str]]) -> bytes:
     styled = lambda s: f'<w:pPr><w:pStyle w:val="{names[s]}"/></w:pPr>' if s in names else ""
     clean = lambda t: escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", t))
     body = "".join(f'<w:p>{styled(s)}<w:r><w:t xml:space="preserve">{clean(t)}</w:t></w:r></w:p>' for s, t in paragraphs)
-    files = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="{_W}"><w:body>{body}</w:body></w:document>',
-    }
+    files = {"[Content_Types].xml":
+        '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" '
+        'ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" '
+        'ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>', "_rels/.rels":
+        '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" '
+        'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" '
+        'Target="word/document.xml"/></Relationships>', "word/document.xml":
+        f'<w:document xmlns:w="{_W}"><w:body>{body}</w:body></w:document>',}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, xml in files.items():
@@ -99,7 +101,9 @@ def write_pdf(paragraphs: list[tuple[str, str]]) -> bytes:
     for page in pages:
         drawn = b"".join(b"/F1 %d Tf (%s) Tj T*\n" % (size, shown(line)) for size, line in page)
         stream = zlib.compress(b"BT %d TL %d %d Td\n%sET" % (LEADING, MARGIN, PAGE[1] - MARGIN, drawn))
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (*PAGE, len(objects) + 2))
+        objects.append(
+            b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (*PAGE,
+                len(objects) + 2))
         objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(stream), stream))
     kids = b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages)))
     objects[1] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(pages))
@@ -151,7 +155,8 @@ def pdf_pages(data: bytes) -> list[str]:
     if not data.startswith(b"%PDF"):
         raise ValueError("not a PDF file")
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)\b(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", data)}
-    refs = lambda key, body: [int(n) for m in re.findall(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body) for n in re.findall(rb"(\d+)\s+\d+\s+R", m)]
+    refs = lambda key, body: [int(n) for m in re.findall(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body) for n in re.findall(
+            rb"(\d+)\s+\d+\s+R", m)]
 
     def stream(number: int) -> bytes:
         body = objects.get(number, b"")
@@ -184,17 +189,12 @@ def _paragraphs(text: str) -> list[tuple[str, str]]:
 
 
 #: Methods of a conversion, the best first; each returns a file's bytes or raises.
-LADDERS: dict[tuple[str, str], list[tuple[str, Callable[[bytes], bytes]]]] = {
-    (".docx", ".pdf"): [
-        ("styled", lambda data: write_pdf(docx_paragraphs(data))),
-        ("plain", lambda data: write_pdf([("normal", t) for _, t in docx_paragraphs(data)])),
-        ("fallback", lambda data: write_pdf([("normal", re.sub(r"<[^>]+>", " ", zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "replace")))])),
-    ],
-    (".pdf", ".docx"): [
-        ("structured", lambda data: write_docx([p for page in pdf_pages(data) for p in _paragraphs(page)] or _nothing())),
-        ("plain", lambda data: write_docx([("normal", t) for t in pdf_text(data).split("\n")])),
-    ],
-}
+LADDERS: dict[tuple[str, str], list[tuple[str, Callable[[bytes], bytes]]]] = {(".docx", ".pdf"): [("styled",
+            lambda data: write_pdf(docx_paragraphs(data))), ("plain", lambda data: write_pdf([("normal", t) for _,
+                t in docx_paragraphs(data)])), ("fallback", lambda data: write_pdf([("normal", re.sub(r"<[^>]+>", " ",
+                zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "replace")))])),], (".pdf", ".docx"): [(
+            "structured", lambda data: write_docx([p for page in pdf_pages(data) for p in _paragraphs(page)] or _nothing())), ("plain",
+            lambda data: write_docx([("normal", t) for t in pdf_text(data).split("\n")])),],}
 
 
 def _nothing() -> list:
@@ -230,6 +230,7 @@ def convert_files(files: DataFrame, target: str, most_bytes: int = 100 << 20) ->
                 extension = "." + path.rpartition(".")[2].lower()
                 wrong = "File is empty" if not data else "File too large" if len(data) > most_bytes else None
                 out, method, warnings = (None, None, [wrong]) if wrong else convert(data, extension, target)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([method], pa.string()), pa.array([out], pa.binary()), pa.array([warnings], pa.list_(pa.string()))], ["path", "method", "output", "warnings"])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([method], pa.string()), pa.array([out], pa.binary()),
+                        pa.array([warnings], pa.list_(pa.string()))], ["path", "method", "output", "warnings"])
 
     return files.select("path", "content").mapInArrow(run, "path string, method string, output binary, warnings array<string>")

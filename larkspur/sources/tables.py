@@ -58,7 +58,8 @@ def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", header
     one task; empty files have no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths).select("path", "content")
-    kinds = pa.schema([("path", pa.string()), ("encoding", pa.string()), ("line", pa.int64()), ("names", pa.list_(pa.string())), ("cells", pa.list_(pa.string()))])
+    kinds = pa.schema([("path", pa.string()), ("encoding", pa.string()), ("line", pa.int64()), ("names", pa.list_(pa.string())), ("cells",
+                pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,5 +91,6 @@ def size_change(before: Column, after: Column) -> Column:
 
 def conversion_stats(rows: DataFrame) -> DataFrame:
     """rows, columns and change_percent for each input (path, names, cells) with input_size and output_size."""
-    out = rows.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("names")).cast("long").alias("columns"), F.max("input_size").alias("input_size"), F.max("output_size").alias("output_size"))
+    out = rows.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("names")).cast("long").alias("columns"), F.max(
+            "input_size").alias("input_size"), F.max("output_size").alias("output_size"))
     return out.withColumn("change_percent", size_change(F.col("input_size"), F.col("output_size")))

@@ -20,7 +20,8 @@ def tumbling_monitor(samples: DataFrame, width: str = "1 day", slide: str | None
     """Count, mean, largest and smallest value of each series in windows; rows later than ``late`` are dropped on streams."""
     rows = samples.withWatermark("ts", late) if samples.isStreaming else samples
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = rows.groupBy(w.alias("w"), "series").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value"), 6).alias("avg_value"), F.max("value").alias("max_value"), F.min("value").alias("min_value"))
+    out = rows.groupBy(w.alias("w"), "series").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value"), 6).alias("avg_value"), F.max("value")
+        .alias("max_value"), F.min("value").alias("min_value"))
     return out.select(epoch(F.col("w.start")).alias("window_start"), "series", "n", "avg_value", "max_value", "min_value")
 
 
@@ -28,7 +29,8 @@ def tumbling_monitor(samples: DataFrame, width: str = "1 day", slide: str | None
 def session_monitor(samples: DataFrame, gap: str = "12 hours", late: str = "2 hours") -> DataFrame:
     """Sessions of each series: rows no further apart than ``gap``."""
     rows = samples.withWatermark("ts", late) if samples.isStreaming else samples
-    return rows.groupBy(F.session_window("ts", gap).alias("w"), "series").agg(F.count(F.lit(1)).alias("n")).select(epoch(F.col("w.start")).alias("session_start"), "series", "n")
+    return rows.groupBy(F.session_window("ts", gap).alias("w"), "series").agg(F.count(F.lit(1)).alias("n")).select(epoch(F.col("w.start"))
+        .alias("session_start"), "series", "n")
 
 
 def _allow(times: list[float], kept: list[float], most: int, window: float) -> list[bool]:
