@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch
+from ..storage import Scratch, release
 from .joins import sized_join
 from .words import hashes, mix, parts, spans
 
@@ -118,6 +118,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = sized_join(rows, good.withColumn("_hit", F.lit(True)), F.col("doc_id") == F.col("_good"), "left")
     asks = asked(marked.withColumn("target", F.coalesce("_hit", F.lit(False))), max(1, int(held // PART).bit_length()))
     replied = scratch.keep(replies(asks), "counts")
+    release(docs.sparkSession)  # the texts are sent once more; what the first time has left is as large
     total = replied.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct_words", "words", "good_words")]).first()
     distinct, models = total["distinct_words"], (("good", total["good_words"]), ("n", total["words"]))
 
