@@ -31,14 +31,6 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver find out which steps are finished, so that executors delete the files of their shuffles.
-
-    Spark deletes them when the driver collects its garbage, which a driver with little to do puts off for long.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that are not written yet read them."""
     remove(spark, run_root(spark))
