@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +49,28 @@ def grams(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """Counts in a byte each; those of 255 and more follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+    """Counts in a byte each; those of 255 and more follow in full; compressed."""
+    return zstandard.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes(), 1)
 
 
 def unpack(raw: pa.Scalar, n: int) -> np.ndarray:
-    out = np.frombuffer(raw.as_buffer(), np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw.as_buffer().slice(n).to_pybytes(), np.int64)
+    raw = zstandard.decompress(raw.as_buffer())
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.int64, offset=n)
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, the bytes of one weight together: the upper ones are nearly all zero."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_keys(raw: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw.as_buffer()), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def asked(docs: DataFrame, bits: int) -> DataFrame:
     """(block, part, keys, n, good): the words and pairs of each block of (block, text, target), by part, with their counts in all and in target documents."""
 
@@ -72,7 +85,7 @@ def asked(docs: DataFrame, bits: int) -> DataFrame:
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
         cells = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table([pa.array([table["block"][0].as_py()] * len(cells), pa.int64()), pa.array(part[cuts[:-1]]),
-                *[pa.array([f(x[c]) for c in cells], pa.binary()) for f, x in ((np.ndarray.tobytes, keys), (pack, n), (pack, t))]], [
+                *[pa.array([f(x[c]) for c in cells], pa.binary()) for f, x in ((pack_keys, keys), (pack, n), (pack, t))]], [
                 "block", "part", "keys", "n", "good"],)
 
     return docs.select("block", "text", "target").groupBy("block").applyInArrow(run, "block long, part long, keys binary, n binary, good binary")
@@ -83,7 +96,7 @@ def replies(asks: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
+        held = [unpack_keys(x) for x in table["keys"]]
         ends = np.cumsum([len(x) for x in held])
         keys, at = np.unique(np.concatenate(held), return_inverse=True)
         sums = [np.bincount(at, np.concatenate([unpack(x, len(k)) for x, k in zip(table[c], held)]), len(keys)).astype(np.int64) for c in ("n", "good")]

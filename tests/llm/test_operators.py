@@ -365,6 +365,19 @@ def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch):
             assert r["target_loss"] is r["background_loss"] is r["score"] is None
 
 
+def test_lm_scoring_packs_keys_and_counts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (lmscore.unpack_keys(pa.scalar(lmscore.pack_keys(keys), pa.binary())) == keys).all()
+        counts = (10 ** rng.uniform(0, 6, n)).astype(np.int64) * rng.integers(0, 2, n)
+        assert (lmscore.unpack(pa.scalar(lmscore.pack(counts), pa.binary()), n) == counts).all()
+    edge = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    assert (lmscore.unpack_keys(pa.scalar(lmscore.pack_keys(edge), pa.binary())) == edge).all()
+
+
 def test_media_round_trip(docs, texts):
     for r in media.media_digests(docs).collect():
         raw = texts[r["doc_id"]].encode()
