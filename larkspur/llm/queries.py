@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import jaccard, lmscore, media, mixing, packing, quality, sharding, substring, urlfilter, warc
+from . import jaccard, lmscore, media, mixing, packing, quality, sharding, substring, trie, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filters": _on("pages", urlfilter.filter_urls),
     "op9_mixing": _on("documents", mixing.mix_documents),
     "op10_warc": _on("pages", warc.archive_pages),
+    "op11_prefix_trie": lambda spark, sf_dir: trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end"),
 }
 
 #: A document's draw, and the times that it is taken under seed s.
@@ -120,5 +121,47 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p LEFT JOIN f ON payload_digest = d
+""",
+    "op11_prefix_trie": r"""
+WITH v(v) AS (  -- the checksum's table, from its polynomial
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))
+), t AS (
+  SELECT conv_id, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS w,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base FROM t GROUP BY conv_id
+), g AS (
+  SELECT conv_id, n, base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                         lambda a, x: xor(a // 256, v[(xor(a, x) % 256 + 1)::BIGINT])), 4294967295)::BIGINT % 4 AS h
+  FROM c, v
+), p AS (
+  SELECT g.conv_id, g.base, g.h, least(g.h, coalesce(b.n, 0)) AS taken FROM g LEFT JOIN c b ON b.conv_id = g.base
+), r AS (
+  SELECT p.conv_id, pos AS d, m, w FROM p JOIN t ON t.conv_id = p.base AND pos <= taken
+  UNION ALL
+  SELECT p.conv_id, pos - h + taken, m, w FROM p JOIN t ON t.conv_id = p.conv_id AND pos > h
+), s AS (
+  SELECT p.conv_id, coalesce(ms, []) AS ms, coalesce(ws, []) AS ws
+  FROM p LEFT JOIN (SELECT conv_id, list(m ORDER BY d) AS ms, list(w ORDER BY d) AS ws FROM r GROUP BY conv_id) l ON l.conv_id = p.conv_id
+), e AS (
+  SELECT conv_id, d, ms[:d] AS path, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(ms) AS whole
+  FROM (SELECT *, unnest(range(0, len(ms) + 1)) AS d FROM s)
+), n AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(w) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole), '')) AS ends_sha256
+  FROM e GROUP BY path, d
+), k AS (
+  SELECT path[:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), f AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path
+), b AS (
+  SELECT path[:a] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL
+)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN b ON b.path = f.path LEFT JOIN n u ON f.d > 0 AND u.path = f.path[:f.d - 1]
 """,
 }
