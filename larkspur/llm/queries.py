@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import align, jaccard, lmscore, media, mixing, packing, quality, sharding, substring, trie, urlfilter, warc
+from . import align, forest, jaccard, lmscore, media, mixing, packing, quality, sharding, substring, trie, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op10_warc": _on("pages", warc.archive_pages),
     "op11_prefix_trie": lambda spark, sf_dir: trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end"),
     "op12_token_alignment": _on("documents", align.align_documents),
+    "op13_minhash_forest": _on("documents", forest.near_duplicates),
 }
 
 #: A document's draw, and the times that it is taken under seed s.
