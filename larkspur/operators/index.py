@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..registry import operator
+from ..snapshots import Conflict, SnapshotLog
 from ..storage import Scratch, remove
 from .text import chunk_smart
 from .vectors import topk
@@ -68,14 +69,20 @@ def build_index(docs: DataFrame, embedder: Embedder = hashed_words, size: int =
     return embed(chunks.select(key.alias("id"), "text", metadata.alias("metadata")), embedder)
 
 
+ROWS = "id string, text string, metadata map<string,string>, embedding array<double>"
+
+
 class Collections:
-    """Named collections below a folder; a collection is a Parquet table in buckets of ids, with its metadata beside it.
+    """Named collections below a folder. A collection is a log of snapshots; a snapshot says for each bucket of ids where its Parquet files are.
 
-    An upsert rewrites only the buckets that its ids fall into. Every write is on storage when it returns.
+    An upsert rewrites the buckets that its ids fall into, in a folder of its own, and then commits a
+    snapshot that leads to them. A writer that stops before has changed nothing. Of two writers at a time one
+    commits first; the other takes its buckets over, or merges again where both touched the same. Readers
+    keep the snapshot that they began with until ``vacuum`` removes its files.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, attempts: int = 20):
+        self.spark, self.root, self.buckets, self.attempts = spark, root.rstrip("/"), buckets, attempts
 
     def _fs(self, path: str):
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,22 +93,25 @@ class Collections:
             raise ValueError("a collection's name has letters, digits, dots, lines and underscores")
         return f"{self.root}/{name}"
 
+    def _log(self, name: str) -> SnapshotLog:
+        return SnapshotLog(self.spark, self._path(name) + "/log")
+
     def exists(self, name: str) -> bool:
-        fs, path = self._fs(self._path(name) + "/about.json")
-        return fs.exists(path)
+        return self._log(name).latest() is not None
 
     def create(self, name: str, metadata: dict | None = None) -> bool:
         """Make a collection; false where there is one already, which stays as it is."""
         if self.exists(name):
             return False
-        fs, path = self._fs(self._path(name) + "/about.json")
-        out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"space": "cosine"} if metadata is None else metadata).encode()))
-        out.close()
+        about = {"space": "cosine"} if metadata is None else metadata
+        try:
+            self._log(name).commit(0, {"about": about, "buckets": self.buckets, "folders": {}, "operation": "create"})
+        except Conflict:
+            return False
         return True
 
     def about(self, name: str) -> dict:
-        return json.loads(self.spark.read.text(self._path(name) + "/about.json", wholetext=True).first()[0])
+        return self._log(name).read(0)["about"]
 
     def names(self) -> list[str]:
         fs, path = self._fs(self.root)
@@ -115,12 +125,49 @@ class Collections:
             remove(self.spark, self._path(name))
         return there
 
-    def get(self, name: str) -> DataFrame:
-        """id, text, metadata and embedding of a collection; an unknown or new one is empty."""
-        fs, path = self._fs(self._path(name) + "/rows")
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], "id string, text string, metadata map<string,string>, embedding array<double>")
-        return self.spark.read.parquet(self._path(name) + "/rows").select("id", "text", "metadata", "embedding")
+    def history(self, name: str) -> list[tuple[int, str]]:
+        """Versions and what made them, the first one first."""
+        log = self._log(name)
+        return [(v, log.read(v)["operation"]) for v in log.versions()]
+
+    def _read(self, name: str, folders: dict[str, str]) -> DataFrame:
+        """The rows of buckets, given their folders."""
+        paths = [f"{self._path(name)}/rows/{folder}/bucket={bucket}" for bucket, folder in sorted(folders.items())]
+        if not paths:
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema(ROWS).parquet(*paths)
+
+    def get(self, name: str, version: int | None = None) -> DataFrame:
+        """id, text, metadata and embedding of a collection, of its last version or the one named; an unknown or new one is empty."""
+        log = self._log(name)
+        at = log.latest() if version is None else version
+        return self._read(name, {} if at is None else log.read(at)["folders"])
+
+    def _buckets_of(self, name: str) -> tuple[int, Column]:
+        n = self._log(name).read(0)["buckets"]
+        return n, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+    def _commit(self, name: str, operation: str, touched: list[str], rewritten: Callable[[dict[str, str]], DataFrame]) -> int:
+        """Commit new contents of the buckets ``touched``; ``rewritten`` makes their rows (with ``bucket``) from the folders that they have now."""
+        log, based_on, made = self._log(name), None, {}
+        for _ in range(self.attempts):
+            latest = log.latest()
+            content = log.read(latest)
+            old = {b: f for b, f in content["folders"].items() if b in set(touched)}
+            if old != based_on:
+                folder = uuid.uuid4().hex
+                rows = rewritten(old)
+                rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self._path(name)}/rows/{folder}")
+                fs, path = self._fs(f"{self._path(name)}/rows/{folder}")
+                filled = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(path) if s.isDirectory()}
+                based_on, made = old, {b: folder for b in filled}
+            kept = {b: f for b, f in content["folders"].items() if b not in set(touched)}
+            try:
+                log.commit(latest + 1, content | {"folders": kept | made, "operation": operation})
+                return latest + 1
+            except Conflict:
+                continue
+        raise Conflict(f"{name}: {self.attempts} other writers were faster")
 
     def upsert(self, name: str, rows: DataFrame, version: str | None = None) -> int:
         """Add or replace rows (id, text, metadata, embedding) by id; the number of ids.
@@ -133,16 +180,38 @@ class Collections:
         last = F.struct(*([version] if version else []), F.coalesce("text", F.lit("")).alias("_text"))
         keyed = scratch.keep(rows.withColumn("id", F.coalesce(F.col("id").cast("string"), F.expr("uuid()"))))
         new = keyed.groupBy("id").agg(F.max_by(F.struct("text", "metadata", "embedding"), last).alias("r")).select("id", "r.*")
-        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        bucket = self._buckets_of(name)[1]
         new = scratch.keep(new.withColumn("bucket", bucket))
-        old = self.get(name).withColumn("bucket", bucket).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # at most ``buckets`` rows
-        merged = scratch.keep(old.join(new.select("id"), "id", "left_anti").unionByName(new))
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "bucket").parquet(self._path(name) + "/rows")
+        touched = [str(r["bucket"]) for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
         n = new.count()
-        scratch.drop(keyed, new, merged)
+        if touched:
+            self._commit(name, "upsert", touched, lambda old: self._read(name, old).join(new.select("id"), "id", "left_anti").withColumn("bucket",
+                bucket).unionByName(new))
+        scratch.drop(keyed, new)
         return n
 
+    def remove_ids(self, name: str, ids: DataFrame) -> None:
+        """Delete the rows whose id is in ``ids`` (id); unknown ids are ignored."""
+        scratch = Scratch(self.spark, "remove")
+        n, bucket = self._buckets_of(name)
+        gone = scratch.keep(ids.select(F.col("id").cast("string").alias("id")).where("id is not null").distinct().withColumn("bucket", bucket))
+        touched = [str(r["bucket"]) for r in gone.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        if touched:
+            self._commit(name, "remove", touched, lambda old: self._read(name, old).join(gone.select("id"), "id", "left_anti").withColumn("bucket", bucket))
+        scratch.drop(gone)
+
+    def vacuum(self, name: str, keep: int = 1) -> int:
+        """Remove the files that none of the last ``keep`` versions leads to; the number of folders. No writer may be at work."""
+        log = self._log(name)
+        held = {f"{folder}/bucket={b}" for v in log.versions()[-keep:] for b, folder in log.read(v)["folders"].items()}
+        fs, path = self._fs(self._path(name) + "/rows")
+        removed = 0
+        for run in fs.listStatus(path) if fs.exists(path) else []:
+            for part in fs.listStatus(run.getPath()):
+                if part.isDirectory() and f"{run.getPath().getName()}/{part.getPath().getName()}" not in held:
+                    removed += fs.delete(part.getPath(), True)
+        return removed
+
     def stats(self, name: str) -> dict:
         """Rows, dimension of the embeddings, and the metadata fields of one row."""
         rows = self.get(name)
