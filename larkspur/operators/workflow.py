@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,109 @@ def step_levels(steps: DataFrame) -> DataFrame:
         now, looked = nxt, looked * 2
         open_ = now.where("up is not null").count()
     return now.select("step", "level")
+
+
+@operator(category="workflow")
+def dag_run(steps: DataFrame, failing: DataFrame | None = None) -> DataFrame:
+    """step, level and status of every step of a graph (step, dep), a row for each dependency.
+
+    A step runs when all that it depends on are through: level 0 has no dependency, and each level is
+    what became runnable by the one before. ``failing`` (step) are those that fail when they run. status
+    is ``completed``, ``failed``, ``stopped`` (something that it depends on, at any distance, failed),
+    ``circular`` (on a circle or between two) or ``blocked`` (behind a circle, or behind a
+    dependency that is no step); the last two have no level. Null dependencies count as none and repeated ones
+    once; null steps are left out.
+
+    Each round joins the open dependencies with the steps that the last one ended, so its work is that of
+    what is open; rounds are as many as levels. A step that very many depend on is a hot key on
+    the side that adaptive execution splits.
+    """
+    scratch = Scratch(steps.sparkSession, "dag")
+    names = scratch.keep(steps.where("step is not null").select("step").distinct(), "names")
+    open_ = scratch.keep(steps.where("step is not null and dep is not null").select("step", "dep").distinct(), "open")
+    bad = F.lit(False)
+    if failing is not None:
+        lost = failing.select("step").distinct().withColumn("_fails", F.lit(True))
+        names = scratch.keep(names.join(lost, "step", "left").select("step", F.coalesce("_fails", F.lit(False)).alias("fails")), "names")
+        bad = F.col("fails")
+    names = names.select("step", bad.alias("fails"))
+    ready = names.join(open_.select("step").distinct(), "step", "left_anti")
+    ready = scratch.keep(ready.select("step", "fails", F.lit(False).alias("hit")), "ready")
+    hits, done, level = None, [ready.withColumn("level", F.lit(0).cast("long"))], 0
+    while not ready.isEmpty() and not open_.isEmpty():
+        level += 1
+        through = ready.select(F.col("step").alias("dep"), (F.col("fails") | F.col("hit")).alias("hit"))
+        freed = scratch.keep(open_.join(through, "dep").groupBy("step").agg(F.bool_or("hit").alias("hit")), "freed")
+        rest = scratch.keep(open_.join(through.select("dep"), "dep", "left_anti"), "open")
+        hits = scratch.keep((freed if hits is None else hits.unionByName(freed)).groupBy("step").agg(F.bool_or("hit").alias("hit")), "hits")
+        next_ = freed.select("step").join(rest.select("step").distinct(), "step", "left_anti").join(names, "step").join(hits, "step")
+        ready = scratch.keep(next_.select("step", "fails", "hit"), "ready")
+        hits = scratch.keep(hits.join(ready.select("step"), "step", "left_anti"), "hits")
+        scratch.drop(open_, freed)
+        open_ = rest
+        done.append(ready.withColumn("level", F.lit(level).cast("long")))
+    ran = reduce(DataFrame.unionByName, done)
+    status = F.when(F.col("hit"), "stopped").when(F.col("fails"), "failed").otherwise("completed")
+    out = ran.select("step", "level", status.alias("status"))
+    if open_.isEmpty():
+        return out
+    core = circular(open_, scratch).select("step").distinct().withColumn("_core", F.lit(True))
+    left = names.join(open_.select("step").distinct(), "step", "left_semi").join(core, "step", "left")
+    return out.unionByName(left.select("step", F.lit(None).cast("long").alias("level"), F.when(F.col("_core"), "circular").otherwise("blocked").alias("status")))
+
+
+def circular(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges (step, dep) that lie on circles or between two: steps without a dependency and those that nothing depends on are peeled off until none is left."""
+    while True:
+        has = edges.select(F.col("step").alias("dep")).distinct()
+        wanted = edges.select(F.col("dep").alias("step")).distinct()
+        n = edges.count()
+        less = scratch.keep(edges.join(has, "dep", "left_semi").join(wanted, "step", "left_semi").select("step", "dep"), "core")
+        if less.count() == n:
+            return less
+        edges = less
+
+
+def circle(steps: DataFrame) -> DataFrame:
+    """step and dep along one circle of the graph (step, dep), no row if it has none.
+
+    In the circular part every step is followed to its smallest dependency. The smallest step, led on by
+    doubling the distance, comes to a circle, and doubling also gathers the steps on it.
+    """
+    scratch = Scratch(steps.sparkSession, "circle")
+    core = circular(scratch.keep(steps.where("step is not null and dep is not null").select("step", "dep").distinct(), "edges"), scratch)
+    to = scratch.keep(core.groupBy("step").agg(F.min("dep").alias("dep")), "to")
+    n = to.count()
+    jumps, far = [to], 1
+    while far < n:
+        a, b = jumps[-1], jumps[-1].select(F.col("step").alias("dep"), F.col("dep").alias("_to"))
+        jumps.append(scratch.keep(a.join(b, "dep").select("step", F.col("_to").alias("dep")), "jump"))
+        far *= 2
+    on = to.agg(F.min("step").alias("step")).where("step is not null")
+    for jump in jumps:
+        on = on.join(jump, "step").select(F.col("dep").alias("step"))
+    seen = scratch.keep(on, "on")
+    for jump in jumps:
+        more = seen.join(jump, "step").select(F.col("dep").alias("step"))
+        seen = scratch.keep(seen.unionByName(more).distinct(), "seen")
+    return to.join(seen, "step").select("step", "dep")
+
+
+@operator(category="workflow")
+def step_parameters(steps: DataFrame, outputs: DataFrame, own: DataFrame | None = None, context: dict[str, str] | None = None) -> DataFrame:
+    """step and params, a map: ``context``, then ``<dep>_output`` of each dependency that has one in ``outputs`` (step, output), then the step's ``own`` (step, params).
+
+    Of equal names the later source counts. Steps without any have the context alone; rows (step, dep) may repeat.
+    """
+    deps = steps.where("step is not null").select("step", "dep").distinct()
+    given = outputs.select(F.col("step").alias("dep"), "output")
+    entry = F.when(F.col("output").isNotNull(), F.struct(F.concat(F.col("dep").cast("string"), F.lit("_output")).alias("k"), F.col("output").alias("v")))
+    held = deps.join(given, "dep", "left").groupBy("step").agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("_out"))
+    base = F.create_map(*[F.lit(str(x)) for kv in (context or {}).items() for x in kv]).cast("map<string,string>") if context else F.expr("cast(map() as map<string,string>)")
+    if own is None:
+        held = held.withColumn("_own", F.expr("cast(map() as map<string,string>)"))
+    else:
+        held = held.join(own.select("step", F.col("params").alias("_own")), "step", "left")
+    later = F.coalesce("_own", F.expr("cast(map() as map<string,string>)"))
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    return held.select("step", over(over(base, F.col("_out")), later).alias("params"))
