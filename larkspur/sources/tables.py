@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import per, rnd
+from .splits import SPLIT, read_split
 
 #: Encodings in the order in which they are tried after the given one.
 ENCODINGS = ("utf-8", "latin-1", "cp1252", "iso-8859-1")
@@ -51,13 +52,17 @@ def cells(text: str, sep: str = ",") -> Iterator[list[str | None]]:
             yield [c if c != "" else None for c in row] + [None] * (width - len(row))
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", header: bool = True, encoding: str = "utf-8", recursive: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", header: bool = True, encoding: str = "utf-8", recursive: bool = True,
+    split: int = SPLIT) -> DataFrame:
     """path, encoding, line (from 0), names and cells of each row of the files.
 
-    With ``header`` the first row gives the names; else they are numbers from 0. A file is decoded by
-    one task; empty files have no rows.
+    With ``header`` the first row gives the names; else they are numbers from 0. Files are read in ranges of ``split`` bytes, also where quoted cells hold line
+    ends; only an ``encoding`` that doesn't hold ASCII as it is makes a file one task's. Empty files have no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    if '",\n'.encode(encoding) == b'",\n':
+        return read_split(spark, files.select("path", F.col("length").alias("size")), tuple(dict.fromkeys((encoding, *ENCODINGS))), sep, header, split)
+    files = files.select("path", "content")
     kinds = pa.schema([("path", pa.string()), ("encoding", pa.string()), ("line", pa.int64()), ("names", pa.list_(pa.string())), ("cells",
                 pa.list_(pa.string()))])
 
@@ -67,19 +72,11 @@ def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", header
                 path = batch.column(0)[i].as_py()
                 text, used = decode(batch.column(1)[i].as_py(), encoding)
                 rows = cells(text, sep)
-                names, held, line = None, [], 0
-                for row in rows:
-                    if names is None:
-                        names = [c or f"Unnamed: {j}" for j, c in enumerate(row)] if header else list(map(str, range(len(row))))
-                        if header:
-                            continue
-                    held.append((path, used, line, names, row))
-                    line += 1
-                    if len(held) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), kinds)], schema=kinds)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), kinds)], schema=kinds)
+                names = next(rows, None) if header else None
+                names = [c or f"Unnamed: {j}" for j, c in enumerate(names)] if names else None
+                held = [(path, used, line, names or list(map(str, range(len(row)))), row) for line, row in enumerate(rows)]
+                for lo in range(0, len(held), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held[lo : lo + 4096]), kinds)], schema=kinds)
 
     return files.mapInArrow(run, "path string, encoding string, line long, names array<string>, cells array<string>")
 
