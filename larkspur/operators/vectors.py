@@ -23,8 +23,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-#: Vectors and queries that are scored against each other in one piece.
-BLOCK, QUERIES = 1 << 16, 1 << 12
+#: Bytes of vectors, as doubles, and number of queries that are scored against each other in one piece.
+BLOCK, QUERIES = 64 << 20, 1 << 12
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
@@ -32,11 +32,35 @@ def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
     column = column.combine_chunks()
     out = np.full((len(column), d), np.nan)
     fits = pc.fill_null(pc.equal(pc.list_value_length(column), d), False)
-    out[fits.to_numpy(zero_copy_only=False)] = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    whole = column.filter(fits)
+    out[fits.to_numpy(zero_copy_only=False)] = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), d)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norm > 0, norm, np.nan)
 
 
+def nearest(table: pa.Table, asks: pa.Table, k: int) -> pa.Table:
+    """The k rows of ``table`` (vec_id, embedding, ...) nearest to each of ``asks`` (query_id, q), with query_id and similarity."""
+    ids, found, whose, sims = table["vec_id"].to_numpy(), [], [], []
+    sizes = pc.fill_null(pc.list_value_length(asks["q"]), 0).to_numpy()
+    for d in np.unique(sizes) if table.num_rows else ():
+        of = np.flatnonzero(sizes == d)
+        x, q = _matrix(table["embedding"], int(d)), _matrix(asks["q"].take(pa.array(of)), int(d))
+        for i in range(0, len(q), 64):
+            # a sum over no coordinates is 0, but there is no similarity of empty vectors
+            near = q[i : i + 64] @ x.T if d else np.full((len(q[i : i + 64]), len(x)), np.nan)
+            near = np.floor(near * 1e6 + 0.5) / 1e6
+            order = np.where(np.isnan(near), -np.inf, near)
+            for j, own in enumerate(order):
+                least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
+                some = np.flatnonzero(own >= least)
+                best = some[np.lexsort((ids[some], -own[some]))][:k]
+                found.append(best), whose.append(np.full(len(best), of[i + j])), sims.append(near[j][best])
+    cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    hits = table.take(pa.array(cat(found, np.int64)))
+    return hits.append_column("query_id", asks["query_id"].take(pa.array(cat(whose, np.int64)))).append_column("similarity",
+        pa.array(cat(sims, np.float64), from_pandas=True))
+
+
 @operator(category="vectors")
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
     """The k vectors nearest to each query (query_id, q), with query_id and similarity; filters come first.
@@ -45,31 +69,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | No
     once; it sends k rows a query at most. Vectors without a similarity come last, ties by vec_id.
     """
     rows = vectors.where(where) if where is not None else vectors
-    n, m = (max(1, -(-x.count() // size)) for x, size in ((rows, BLOCK), (queries, QUERIES)))
+    held, widest = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n, m = max(1, -(-held * 8 * max(widest or 1, 1) // BLOCK)), max(1, -(-queries.count() // QUERIES))
     rows = rows.withColumns({"_v": F.pmod(F.xxhash64("vec_id"), F.lit(n)), "_q": F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
     asked = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("_q"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_v"))
 
     def run(table: pa.Table, asks: pa.Table) -> pa.Table:
-        ids, found, whose, sims = table["vec_id"].to_numpy(), [], [], []
-        sizes = pc.fill_null(pc.list_value_length(asks["q"]), 0).to_numpy()
-        for d in np.unique(sizes) if table.num_rows else ():
-            of = np.flatnonzero(sizes == d)
-            x, q = _matrix(table["embedding"], int(d)), _matrix(asks["q"].take(pa.array(of)), int(d))
-            for i in range(0, len(q), 64):
-                # a sum over no coordinates is 0, but there is no similarity of empty vectors
-                near = q[i : i + 64] @ x.T if d else np.full((len(q[i : i + 64]), len(x)), np.nan)
-                near = np.floor(near * 1e6 + 0.5) / 1e6
-                order = np.where(np.isnan(near), -np.inf, near)
-                for j, own in enumerate(order):
-                    least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
-                    some = np.flatnonzero(own >= least)
-                    best = some[np.lexsort((ids[some], -own[some]))][:k]
-                    found.append(best), whose.append(np.full(len(best), of[i + j])), sims.append(near[j][best])
-        cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        hits = table.drop_columns(["_v", "_q"]).take(pa.array(cat(found, np.int64)))
-        return hits.append_column("query_id", asks["query_id"].take(pa.array(cat(whose, np.int64)))).append_column("similarity",
-            pa.array(cat(sims, np.float64), from_pandas=True))
+        return nearest(table.drop_columns(["_v", "_q"]), asks, k)
 
     kind = StructType([*vectors.schema.fields, StructField("query_id", queries.schema["query_id"].dataType), StructField("similarity", DoubleType())])
     near = rows.groupBy("_v", "_q").cogroup(asked.groupBy("_v", "_q")).applyInArrow(run, kind)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ivf
 from ..operators import vectors as V
+from ..storage import Scratch
 from .base import query
 
 R6 = lambda x: f"(floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE)"
@@ -41,6 +43,13 @@ def vector_topk_filtered(load):
     return V.topk(load("embeddings"), _q(load), 5, F.col("label") == 3).select("query_id", "vec_id", "label", "similarity")
 
 
+@query("vector_index_topk", _EACH(10).replace("vec_id, label, ", "vec_id, "))
+def vector_index_topk(load):
+    """An index of all vectors, and an exact search in it."""
+    rows = load("embeddings")
+    return ivf.build(rows, Scratch(rows.sparkSession, "vector-index").path).search(_q(load), 10, exact=True)
+
+
 query("l2_normalize",
     f"SELECT vec_id, {R6('sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))')} AS norm, {R6('embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))')} AS first FROM embeddings")(
     lambda load: V.l2_normalize(load("embeddings")).select("vec_id", T.rnd(F.col("norm"), 6).alias("norm"), T.rnd(F.col("embedding")[0], 6)
