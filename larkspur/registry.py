@@ -17,6 +17,21 @@ from pyspark.sql import functions as F
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
+#: What a job group sets for the jobs of a thread.
+_GROUP = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+
+
+def _wait_for_end(spark: SparkSession, group: str, most_s: float = 30.0) -> None:
+    """Wait until no task of a cancelled group is at work, so that none of them is killed beside a later job."""
+    tracker, until = spark.sparkContext.statusTracker(), time.monotonic() + most_s
+    while time.monotonic() < until:
+        jobs = [j for i in tracker.getJobIdsForGroup(group) if (j := tracker.getJobInfo(i))]
+        stages = [s for j in jobs for i in j.stageIds if (s := tracker.getStageInfo(i))]
+        if not any(s.numActiveTasks for s in stages):
+            return
+        time.sleep(0.1)
+
+
 @dataclass
 class Operator:
     name: str
@@ -78,6 +93,7 @@ class Registry:
             spark.sparkContext.cancelJobGroup(group)
 
         timer = threading.Timer(timeout_s, stop) if timeout_s else None
+        before = {p: spark.sparkContext.getLocalProperty(p) for p in _GROUP}
         spark.sparkContext.setJobGroup(group, name, interruptOnCancel=True)
         try:
             result = self.run(name, df, **params)
@@ -91,7 +107,10 @@ class Registry:
         finally:
             if timer:
                 timer.cancel()
-            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            for p, v in before.items():
+                spark.sparkContext.setLocalProperty(p, v)
+            if late.is_set():
+                _wait_for_end(spark, group)
         out["seconds"] = time.monotonic() - begun
         self._runs.setdefault(name, []).append((out["success"], out["seconds"]))
         return out

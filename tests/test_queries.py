@@ -39,11 +39,6 @@ def test_against_sql(name, spark, sf, duck):
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_rows_only(name, spark, sf):
-    assert QUERIES[name](spark, sf).count() > 0
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
