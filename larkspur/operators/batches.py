@@ -44,11 +44,16 @@ def batch_map(rows: DataFrame, fn: Callable, column: str, result: str = "string"
     return (rows.coalesce(1) if mode == "serial" else rows).mapInArrow(run, schema)
 
 
-def batch_counts(results: DataFrame) -> DataFrame:
-    """processed, successful, failed and the errors' messages in order, of ``batch_map``'s rows."""
+def batch_counts(results: DataFrame, most: int = 1000) -> DataFrame:
+    """processed, successful, failed and the first ``most`` errors' messages in order, of ``batch_map``'s rows.
+
+    A sort with a limit brings ``most`` messages of a task at most to the one row.
+    """
     failed = F.col("status") == "failed"
-    return results.agg(F.count(F.lit(1)).alias("processed"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"),
-        F.array_sort(F.collect_list(F.when(failed, F.col("error")))).alias("errors"))
+    counts = results.agg(F.count(F.lit(1)).alias("processed"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"))
+    first = results.where(failed & F.col("error").isNotNull()).select("error").orderBy("error").limit(most)
+    listed = first.agg(F.array_sort(F.collect_list("error")).alias("errors"))
+    return counts.join(F.broadcast(listed), how="cross")  # a row each
 
 
 @operator(category="files")

@@ -118,6 +118,31 @@ def test_directory_tree(spark, tmp_path):
     assert check_directory(str(tmp_path / "no"))["errors"] and check_directory(str(tmp_path / "no"), must_exist=False)["valid"]
 
 
+def test_directory_conditions_are_pushed_down(spark, tmp_path, monkeypatch):
+    """Conditions give the rows that they give on the whole table; folders that none can lie in are not opened."""
+    import os
+
+    from larkspur.sources import directories
+
+    for name in ("a/b/one.csv", "a/b/two.CSV", "a/b/none", "a/c/one.csv", "d/e/f/one.csv", "d/top.py", "x.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1" * len(name))
+    every = directories.scan(spark, str(tmp_path)).collect()
+    tests = {"extension = '.csv'": lambda r: r.extension == ".csv", "extension = ''": lambda r: r.extension == "", "size > 9 and is_file": lambda r: r.size > 9 and r.is_file, "depth <= 2": lambda r: r.depth <= 2, "depth = 3 and name like 'one%'": lambda r: r.depth == 3 and r.name.startswith("one"), f"parent = '{tmp_path}/a/b'": lambda r: r.parent == f"{tmp_path}/a/b", f"path like '{tmp_path}/a/%'": lambda r: r.path.startswith(f"{tmp_path}/a/"), "name in ('x.csv', 'top.py') or size < 0": lambda r: r.name in ("x.csv", "top.py"), "modified >= 1e9 and name like '%o%'": lambda r: "o" in r.name}
+    for condition, test in tests.items():
+        got = directories.scan(spark, str(tmp_path)).where(condition).select("path").collect()
+        assert sorted(r.path for r in got) == sorted(r.path for r in every if test(r)), condition
+    opened, looked = [], []
+    entries, row = directories.entries, directories.row
+    monkeypatch.setattr(directories, "entries", lambda p: opened.append(os.path.relpath(p, tmp_path)) or entries(p))
+    monkeypatch.setattr(directories, "row", lambda e, d: looked.append(e.name) or row(e, d))
+    reader = directories.TreeReader({"path": str(tmp_path), "splitdepth": "0"})
+    rest = list(reader.pushFilters([directories.StringStartsWith(("path",), f"{tmp_path}/a/"), directories.EqualTo(("name",), "one.csv"), directories.EqualTo(("is_file",), None)]))
+    found = [r[0] for part in reader.partitions() for r in reader.read(part)]
+    assert sorted(found) == [f"{tmp_path}/a/{d}/one.csv" for d in "bc"] and len(rest) == 1
+    assert sorted(set(opened)) == [".", "a", "a/b", "a/c"] and set(looked) == {"one.csv"}
+
+
 def test_office_files(spark):
     from larkspur.sources import ingest, office
 
