@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import files as K
 from ..functions.times import epoch
+from ..operators.layout import output_targets
 from ..operators import files as O
 from .base import query
 
@@ -147,3 +148,19 @@ files("column_widths",
     "SELECT unnest(['path', 'dir', 'size']) AS \"column\", unnest([least(greatest(max(length(path)), 4) + 2, 50), "
     "least(greatest(max(length(dir)), 3) + 2, 50), least(greatest(max(length(size::VARCHAR)), 4) + 2, 50)])::BIGINT AS width FROM c")(
     lambda c: column_widths(c.select("path", "dir", "size")))
+
+
+_NAMED = """SELECT coalesce(source, '') || '/' || doc_id::VARCHAR || '/' || coalesce(lang, 'xx') || CASE WHEN n_chars % 20 = 0 THEN '' ELSE '_' || (n_chars % 20)::VARCHAR END || '.txt' AS path FROM documents"""
+query("output_targets", f"""WITH p AS ({_NAMED}), t AS (
+  SELECT path, regexp_extract(path, '[^/]*$') AS name, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS n FROM p
+), b AS (
+  SELECT name, substr(name, 1, length(name) - 4) AS stem, max(n) AS most FROM t GROUP BY name
+), x AS (
+  SELECT name, stem, unnest(range(1, most + 25)) AS k FROM b
+), free AS (
+  SELECT name, stem, k, row_number() OVER (PARTITION BY name ORDER BY k) AS n FROM x WHERE stem || '_' || k::VARCHAR || '.txt' NOT IN (SELECT name FROM b)
+)
+SELECT path, 'flattened_structure/s/' || CASE WHEN t.n = 0 THEN t.name ELSE free.stem || '_' || free.k::VARCHAR || '.txt' END AS target
+FROM t LEFT JOIN free ON free.name = t.name AND free.n = t.n""")(lambda load: output_targets(load("documents").select(F.concat(F.coalesce("source", F.lit("")),
+    F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("lang", F.lit("xx")), F.when(F.col("n_chars") % 20 == 0, "").otherwise(F.concat(
+        F.lit("_"), (F.col("n_chars") % 20).cast("string"))), F.lit(".txt")).alias("path")), "flattened", stamp="s"))
