@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import jaccard, jpeg, lmscore, media, mixing, packing, quality, queries, sharding, substring, urlfilter, warc
+from larkspur.llm import jaccard, jpeg, lmscore, media, mixing, packing, pairs, quality, queries, sharding, substring, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -237,7 +237,7 @@ def test_jaccard_join(spark, size):
 def test_jaccard_large_group(spark, monkeypatch, edits):
     """More near copies than a block holds: blocks meet through their roots, over several rounds."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard, "PARTNERS", 7)
+    monkeypatch.setattr(pairs, "PARTNERS", 7)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
     texts = {}
@@ -250,6 +250,28 @@ def test_jaccard_large_group(spark, monkeypatch, edits):
     holds(got, texts, brute_links(texts))
 
 
+@pytest.mark.parametrize("members", [700, 2000])
+def test_jaccard_pairs_in_a_family(spark, members):
+    """Pairs at about 0.82 inside a family whose other pairs are below the threshold: recall doesn't fall with the size."""
+    rng = random.Random(members)
+    base = [f"b{i}" for i in range(220)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = f"x{rng.randrange(10**9)}"
+        return out
+
+    rows = []
+    for i in range(members):
+        own = changed(base, 3)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(changed(own, 4)))]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    near = [i for i in range(members) if 5 * len(sets[2 * i] & sets[2 * i + 1]) >= 4 * len(sets[2 * i] | sets[2 * i + 1])]
+    assert len(near) > 0.9 * members and sum(got[2 * i] == got[2 * i + 1] for i in near) >= 0.97 * len(near)
+
+
 def test_forests_are_best():
     """The first forest has the largest total of all, and every further edge is between sets that no sure edge connects."""
     rng = np.random.default_rng(5)
