@@ -27,8 +27,8 @@ from .graph import components
 from .pairs import COORDINATES, agreement, checked
 from .scan import running
 
-#: Sets of a region outside its largest component that are compared with all others.
-CROWD = 128
+#: Spanning forests of a region whose edges are checked; where a doubtful edge fails, another is beside it.
+FORESTS = 2
 #: Sketches this far below the threshold are not similar (about three standard deviations).
 SLACK = 0.09
 
@@ -38,6 +38,8 @@ class Plan(Protocol):
 
     short: int
     depths: tuple[int, ...]
+    #: Sets of a region outside its largest component that are compared with all others.
+    crowd: int
 
     def first(self, sets: DataFrame) -> DataFrame:
         """(tree, cell, fp) of sets (fp, sketch, low, high) in trees low to high - 1."""
@@ -70,7 +72,7 @@ def neighbours(sets: DataFrame, scratch: Scratch, plan: Plan) -> DataFrame:
     """(tree, cell, fp, size) of all first regions of two sets or more; of small ones with the same members one."""
     reached = scratch.keep(plan.first(sets), "orders")
     held = reached.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("fp")).alias("members")).where("size > 1")
-    once = F.when(F.col("size") > CROWD, F.col("cell"))
+    once = F.when(F.col("size") > plan.crowd, F.col("cell"))
     one = held.groupBy("size", "members", once.alias("own")).agg(F.min("cell").alias("cell")).select("cell", "size")
     met = scratch.keep(reached.join(one, "cell").select("tree", "cell", "fp", "size"), "met")
     scratch.drop(reached)
@@ -95,20 +97,20 @@ def mixed(rows: DataFrame) -> DataFrame:
     return bare.join(several, "cell").withColumn("main", of == F.col("_main")).drop("_main")
 
 
-def dealt(rows: DataFrame, depth: int) -> DataFrame:
+def dealt(rows: DataFrame, depth: int, crowd: int) -> DataFrame:
     """(cell, fp, sketch, root, depth) of cells with few others: the largest component in blocks, each with all others."""
-    blocks = F.ceil((F.col("size") - F.col("others")) / F.lit(CROWD)).cast("int")
+    blocks = F.ceil((F.col("size") - F.col("others")) / F.lit(crowd)).cast("int")
     at = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("fp"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
     placed = rows.withColumn("_block", F.explode(at))
     return placed.select(F.xxhash64("cell", "_block").alias("cell"), "fp", "sketch", "root", F.lit(depth).alias("depth"))
 
 
 def regions(met: DataFrame, sketches: DataFrame, roots: DataFrame | None, scratch: Scratch, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
-    """Regions of several components (cell, fp, sketch, root, depth), as deep as it needs for ``CROWD`` others at most; and the crowded first regions (cell, fp), None without one."""
+    """Regions of several components (cell, fp, sketch, root, depth), as deep as it needs for ``plan.crowd`` others at most; and the crowded first regions (cell, fp), None without one."""
     rows = mixed(with_roots(met.select("tree", "cell", "fp"), roots))
     rows = scratch.keep(rows.join(sketches, "fp").select("tree", "cell", "fp", "sketch", "root", "size", "others", "main"), "regions")
-    few = F.col("others") <= CROWD
-    out = [dealt(rows.where(few), plan.short)]
+    few = F.col("others") <= plan.crowd
+    out = [dealt(rows.where(few), plan.short, plan.crowd)]
     crowded = rows.where(~few)
     if crowded.isEmpty():
         return out[0], None
@@ -117,23 +119,23 @@ def regions(met: DataFrame, sketches: DataFrame, roots: DataFrame | None, scratc
     for last, depth in pairwise((plan.short, *plan.depths)):
         level = scratch.keep(mixed(plan.deeper(crowded, last, depth)), "level")
         scratch.drop(crowded)
-        out.append(dealt(level.where(few), depth))
+        out.append(dealt(level.where(few), depth, plan.crowd))
         crowded = level.where(~few)
         if crowded.isEmpty():
             break
         crowded = scratch.keep(crowded, "crowded")
     else:
         walked = running(crowded.select("cell", "fp", "sketch", "root", F.lit(1).cast("long").alias("one")), ["sketch", "fp"], scratch, sums=("one",), segment="cell")
-        place = F.floor((F.col("one_run") - 1) / CROWD)
+        place = F.floor((F.col("one_run") - 1) / plan.crowd)
         # the last of a stretch begins the next one too, so the walk has no gap
-        both = F.when(F.col("one_run") % CROWD == 0, F.array(place, place + 1)).otherwise(F.array(place))
+        both = F.when(F.col("one_run") % plan.crowd == 0, F.array(place, place + 1)).otherwise(F.array(place))
         walk = walked.withColumn("_at", F.explode(both))
         out.append(walk.select(F.xxhash64("cell", "_at").alias("cell"), "fp", "sketch", "root", F.lit(plan.depths[-1]).alias("depth")))
     return reduce(DataFrame.unionByName, out), first
 
 
-def compared(need: int, every: bool):
-    """Cell function: pairs (a, b) of a region's sets in different components whose sketches share ``need`` values; with ``every`` all, else the best that join the components."""
+def compared(need: int):
+    """Cell function: pairs (a, b) of a region's sets in different components whose sketches share ``need`` values: ``FORESTS`` spanning forests of the best, without an edge in common."""
 
     def run(cell: pa.RecordBatch) -> pa.RecordBatch | None:
         names, roots = cell.column(1).to_pylist(), cell.column(3).to_pylist()
@@ -147,31 +149,36 @@ def compared(need: int, every: bool):
         if not len(i):
             return None
         best = np.argsort(-same[i, j].astype(np.int64), kind="stable")
-        i, j = i[best].tolist(), j[best].tolist()
-        if not every:
-            up = list(range(len(number)))
-
-            def top(v: int) -> int:
-                while up[v] != v:
-                    up[v] = v = up[up[v]]
-                return v
-
-            chosen, left = [], len(number) - 1
-            for p, q in zip(i, j):
-                a, b = top(of[p]), top(of[q])
-                if a != b:
-                    up[a] = b
-                    chosen.append((p, q))
-                    left -= 1
-                    if not left:
-                        break
-            i, j = zip(*chosen)
+        i, j = i[best], j[best]
+        chosen = np.zeros(0, np.int64)
+        for _ in range(FORESTS):
+            left = np.setdiff1d(np.arange(len(i)), chosen, assume_unique=True)
+            chosen = np.concatenate([chosen, left[spanning(of[i[left]], of[j[left]], len(number))]])
         fps = pa.array([names[k] for k in order], pa.binary())
-        return pa.RecordBatch.from_arrays([fps.take(pa.array(i)), fps.take(pa.array(j))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([fps.take(pa.array(i[chosen])), fps.take(pa.array(j[chosen]))], ["a", "b"])
 
     return run
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges between n nodes make a spanning forest, the first ones first."""
+    up, chosen = list(range(n)), []
+
+    def top(v: int) -> int:
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for at, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
+        p, q = top(p), top(q)
+        if p != q:
+            up[p] = q
+            chosen.append(at)
+            if len(chosen) == n - 1:
+                break
+    return np.array(chosen, np.int64)
+
+
 class Links:
     """Checked links between sets, and their components, found step by step."""
 
@@ -181,11 +188,11 @@ class Links:
         self.tokens, self.threshold, self.scratch = tokens, threshold, scratch
         self.tested, self.found, self.roots = tested, found, roots
 
-    def look(self, cells: DataFrame, every: bool) -> None:
+    def look(self, cells: DataFrame) -> None:
         """Check the pairs of these regions, apart from those that were."""
         need = math.ceil((self.threshold - SLACK) * COORDINATES)  # sketches below that are not similar
         rows = cells.select("cell", "fp", "sketch", "root")
-        pairs = by_cell(rows, "cell", compared(need, every), "a binary, b binary").distinct()
+        pairs = by_cell(rows, "cell", compared(need), "a binary, b binary").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = self.scratch.keep(pairs, "pairs")
@@ -210,14 +217,13 @@ def complete(links: Links, met: list[DataFrame], sketches: DataFrame, plan: Plan
     for part in met:
         some, crowd = regions(part, sketches, links.roots, scratch, plan)
         some = scratch.keep(some, "cells")
-        links.look(some, every=False)
+        links.look(some)
         cells = some if cells is None else cells.unionByName(some)
         crowds += [crowd] if crowd is not None else []
     while True:
         rest = links.again(cells)
-        links.look(rest, every=True)
         needs = reduce(lambda c, d: c.when(F.col("depth") == d, F.lit(plan.trees(d))), plan.depths, F.when(F.col("depth") == plan.short, F.lit(0)))
-        high = links.again(rest).groupBy("fp").agg(F.max(needs).alias("high")).where(F.col("high") > done)
+        high = rest.groupBy("fp").agg(F.max(needs).alias("high")).where(F.col("high") > done)
         if not crowds or high.isEmpty():
             return
         # of a pair that the crowd kept apart both have to be in the further trees
@@ -227,6 +233,6 @@ def complete(links: Links, met: list[DataFrame], sketches: DataFrame, plan: Plan
         open_ = scratch.keep(sketches.join(open_, "fp").withColumn("low", F.lit(done)), "open")
         cells, crowd = regions(neighbours(open_, scratch, plan), sketches, links.roots, scratch, plan)
         cells = scratch.keep(cells, "cells")
-        links.look(cells, every=False)
+        links.look(cells)
         crowds += [crowd] if crowd is not None else []
         done = open_.agg(F.max("high")).first()[0]
