@@ -41,18 +41,18 @@ class Scratch:
 
     ``keep`` writes a table there and returns a reader of it, which cuts lineage in a way that
     outlives lost executors; ``drop`` deletes tables that nothing reads any more. What is left at the
-    end of an application, ``clean`` removes.
+    end of an application, ``clean`` removes. ``compression`` is Parquet's, the session's if not given.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, compression: str | None = None):
+        self.spark, self.compression = spark, compression
         self.path = f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.path}/{self._n}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=self.compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
