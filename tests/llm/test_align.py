@@ -85,3 +85,10 @@ def test_cut_at_words(tmp_path):
     assert align.cut_at_words(A, B)
     assert [x for s in align.slices("a  b c  d▁ e 'f", True) for x in s] == ["a  b", "c  d▁ e", "'f"]
     assert list(align.slices("a b", False)) == [["a b"]]
+
+
+def test_ranks_are_the_merges(spark, sf):
+    """The encoder by ranks gives what the merges give."""
+    two = align.pair(A, B)
+    texts = [t for t in ODD if t] + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    assert two.ranks is not None and [two.ranks.encode_ordinary(f" {t}") for t in texts] == [e.ids for e in two.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
