@@ -40,6 +40,8 @@ class Plan(Protocol):
     depths: tuple[int, ...]
     #: Sets of a region outside its largest component that are compared with all others.
     crowd: int
+    #: Spanning forests that are checked where a region still holds several components, none if 0.
+    again: int
 
     def first(self, sets: DataFrame) -> DataFrame:
         """(tree, cell, fp) of sets (fp, sketch, low, high) in trees low to high - 1."""
@@ -134,8 +136,8 @@ def regions(met: DataFrame, sketches: DataFrame, roots: DataFrame | None, scratc
     return reduce(DataFrame.unionByName, out), first
 
 
-def compared(need: int):
-    """Cell function: pairs (a, b) of a region's sets in different components whose sketches share ``need`` values: ``FORESTS`` spanning forests of the best, without an edge in common."""
+def compared(need: int, forests: int):
+    """Cell function: pairs (a, b) of a region's sets in different components whose sketches share ``need`` values: ``forests`` spanning forests of the best, without an edge in common."""
 
     def run(cell: pa.RecordBatch) -> pa.RecordBatch | None:
         names, roots = cell.column(1).to_pylist(), cell.column(3).to_pylist()
@@ -151,7 +153,7 @@ def compared(need: int):
         best = np.argsort(-same[i, j].astype(np.int64), kind="stable")
         i, j = i[best], j[best]
         chosen = np.zeros(0, np.int64)
-        for _ in range(FORESTS):
+        for _ in range(forests):
             left = np.setdiff1d(np.arange(len(i)), chosen, assume_unique=True)
             chosen = np.concatenate([chosen, left[spanning(of[i[left]], of[j[left]], len(number))]])
         fps = pa.array([names[k] for k in order], pa.binary())
@@ -188,11 +190,11 @@ class Links:
         self.tokens, self.threshold, self.scratch = tokens, threshold, scratch
         self.tested, self.found, self.roots = tested, found, roots
 
-    def look(self, cells: DataFrame) -> None:
+    def look(self, cells: DataFrame, forests: int = FORESTS) -> None:
         """Check the pairs of these regions, apart from those that were."""
         need = math.ceil((self.threshold - SLACK) * COORDINATES)  # sketches below that are not similar
         rows = cells.select("cell", "fp", "sketch", "root")
-        pairs = by_cell(rows, "cell", compared(need), "a binary, b binary").distinct()
+        pairs = by_cell(rows, "cell", compared(need, forests), "a binary, b binary").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = self.scratch.keep(pairs, "pairs")
@@ -203,8 +205,17 @@ class Links:
         new = self.scratch.keep(checked(pairs, self.tokens(ends), self.threshold), "links")
         if new.isEmpty():
             return
-        self.found = new if self.found is None else self.found.unionByName(new)
-        self.roots = self.scratch.keep(components(self.found, self.scratch), "roots")
+        if self.roots is None:
+            self.found, self.roots = new, self.scratch.keep(components(new, self.scratch), "roots")
+            return
+        # only components that the new links join change
+        self.found = self.found.unionByName(new)
+        side = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        ends = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        moved = self.scratch.keep(components(ends, self.scratch).select(F.col("node").alias("_old"), F.col("root").alias("_new")), "moved")
+        kept = self.roots.join(moved, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+        fresh = moved.join(self.roots.select("node"), F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_new").alias("root"))
+        self.roots = self.scratch.keep(kept.unionByName(fresh), "roots")
 
     def again(self, cells: DataFrame) -> DataFrame:
         """The regions that still hold several components."""
@@ -220,11 +231,16 @@ def complete(links: Links, met: list[DataFrame], sketches: DataFrame, plan: Plan
         links.look(some)
         cells = some if cells is None else cells.unionByName(some)
         crowds += [crowd] if crowd is not None else []
-    while True:
+    while crowds or plan.again:
         rest = links.again(cells)
+        if plan.again:
+            links.look(rest, plan.again)
+            if not crowds:
+                return
+            rest = links.again(rest)
         needs = reduce(lambda c, d: c.when(F.col("depth") == d, F.lit(plan.trees(d))), plan.depths, F.when(F.col("depth") == plan.short, F.lit(0)))
         high = rest.groupBy("fp").agg(F.max(needs).alias("high")).where(F.col("high") > done)
-        if not crowds or high.isEmpty():
+        if high.isEmpty():
             return
         # of a pair that the crowd kept apart both have to be in the further trees
         crowd = reduce(DataFrame.unionByName, crowds)
