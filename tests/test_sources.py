@@ -275,3 +275,21 @@ def test_page_parts_and_issues(spark):
     assert web.extract(parsed, ["links", "title", "nothing", "title"]).columns == ["page_id", "url", "links", "title"]
     got = {r["page_id"]: r["issues"] for r in web.seo_issues(parsed).collect()}
     assert got == {1: ["Missing meta description", "Only 50% of images have alt"], 2: ["Missing title", "Missing meta description"]}
+
+
+@pytest.mark.parametrize("name", ["page_title", "page_text", "page_headings", "page_grade", "web_pipeline"])
+def test_cut_references_stay_as_they_are(spark, tmp_path, name):
+    """Pages whose text was cut within a reference, against the SQL."""
+    import duckdb
+
+    from larkspur.queries import ORACLE_SQL, QUERIES
+
+    tails = ["&amp", "&am", "&a", "&quot", "&lt", "&#39", "&", "&amp;", "&amp;lt;", "&quot;&copy;&middot;&#39;", "&ampx;", "&notit;", "&copy2", "&;"]
+    page = lambda x: f"<html lang=\"en\"><title>{'t' * 25}{x}</title><h1>a{x}</h1><p>{'word ' * 99}{x}</p></html>"
+    rows = [(i, f"http://example.com/{i}", page(x)) for i, x in enumerate(tails)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    assert sorted(map(tuple, got.select([d[0] for d in want.description]).collect())) == sorted(want.fetchall())
