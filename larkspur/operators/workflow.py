@@ -11,6 +11,10 @@ from ..registry import operator
 from ..storage import Scratch
 
 
+#: Steps of a round that are broadcast.
+FEW = 200_000
+
+
 @operator(category="workflow")
 def step_levels(steps: DataFrame) -> DataFrame:
     """step and level of every row (step, dep): 0 without a dependency, else one more than the dependency's.
@@ -49,41 +53,42 @@ def dag_run(steps: DataFrame, failing: DataFrame | None = None) -> DataFrame:
     dependency that is no step); the last two have no level. Null dependencies count as none and repeated ones
     once; null steps are left out.
 
-    Each round joins the open dependencies with the steps that the last one ended, so its work is that of
-    what is open; rounds are as many as levels. A step that very many depend on is a hot key on
-    the side that adaptive execution splits.
+    Edges lie sorted by what they depend on. A round reads those between the smallest and the largest step that the
+    last one ended, joins them with these steps, which are broadcast if they are few, and counts for each step
+    that was met how many of its dependencies are through; only such counts are written, no edges. Rounds are as
+    many as levels. A step that very many depend on is a hot key on the side that adaptive execution splits.
     """
     scratch = Scratch(steps.sparkSession, "dag")
-    names = scratch.keep(steps.where("step is not null").select("step").distinct(), "names")
-    open_ = scratch.keep(steps.where("step is not null and dep is not null").select("step", "dep").distinct(), "open")
-    bad = F.lit(False)
+    pairs = scratch.keep(steps.where("step is not null").select("step", "dep").distinct(), "pairs")
+    names, bad = pairs.groupBy("step").agg(F.count("dep").alias("need")), F.lit(False)
     if failing is not None:
-        lost = failing.select("step").distinct().withColumn("_fails", F.lit(True))
-        names = scratch.keep(names.join(lost, "step", "left").select("step", F.coalesce("_fails", F.lit(False)).alias("fails")), "names")
-        bad = F.col("fails")
-    names = names.select("step", bad.alias("fails"))
-    ready = names.join(open_.select("step").distinct(), "step", "left_anti")
-    ready = scratch.keep(ready.select("step", "fails", F.lit(False).alias("hit")), "ready")
-    hits, done, level = None, [ready.withColumn("level", F.lit(0).cast("long"))], 0
-    while not ready.isEmpty() and not open_.isEmpty():
-        level += 1
-        through = ready.select(F.col("step").alias("dep"), (F.col("fails") | F.col("hit")).alias("hit"))
-        freed = scratch.keep(open_.join(through, "dep").groupBy("step").agg(F.bool_or("hit").alias("hit")), "freed")
-        rest = scratch.keep(open_.join(through.select("dep"), "dep", "left_anti"), "open")
-        hits = scratch.keep((freed if hits is None else hits.unionByName(freed)).groupBy("step").agg(F.bool_or("hit").alias("hit")), "hits")
-        next_ = freed.select("step").join(rest.select("step").distinct(), "step", "left_anti").join(names, "step").join(hits, "step")
-        ready = scratch.keep(next_.select("step", "fails", "hit"), "ready")
-        hits = scratch.keep(hits.join(ready.select("step"), "step", "left_anti"), "hits")
-        scratch.drop(open_, freed)
-        open_ = rest
-        done.append(ready.withColumn("level", F.lit(level).cast("long")))
+        names = names.join(failing.select("step").distinct().withColumn("_fails", F.lit(True)), "step", "left")
+        bad = F.coalesce("_fails", F.lit(False))
+    names = scratch.keep(names.select("step", bad.alias("fails"), "need"), "names")
+    edges = scratch.keep(pairs.where("dep is not null").join(names, "step").repartitionByRange("dep").sortWithinPartitions("dep"), "edges")
+    scratch.drop(pairs)
+    now = names.where("need = 0").select("step", "fails", F.lit(False).alias("hit"), "need", F.lit(0).cast("long").alias("met"))
+    done, through = [], 0
+    while True:
+        ready = now.where("met = need")
+        n, low, high = ready.agg(F.count(F.lit(1)), F.min("step"), F.max("step")).first()
+        done.append(ready.withColumn("level", F.lit(len(done)).cast("long")))
+        if not n:
+            break
+        through += n
+        ended = ready.select(F.col("step").alias("dep"), (F.col("fails") | F.col("hit")).alias("hit"))
+        near = edges.where(F.col("dep").between(F.lit(low), F.lit(high))).join(F.broadcast(ended) if n <= FEW else ended, "dep")
+        counts = near.select("step", "fails", "hit", "need", F.lit(1).cast("long").alias("met")).unionByName(now.where("met < need"))
+        now = scratch.keep(counts.groupBy("step").agg(F.bool_or("fails").alias("fails"), F.bool_or("hit").alias("hit"), F.max("need").alias("need"),
+            F.sum("met").alias("met")), "counts")
     ran = reduce(DataFrame.unionByName, done)
     status = F.when(F.col("hit"), "stopped").when(F.col("fails"), "failed").otherwise("completed")
     out = ran.select("step", "level", status.alias("status"))
-    if open_.isEmpty():
+    if through == names.count():
         return out
+    open_ = scratch.keep(edges.select("step", "dep").join(ran.select("step"), "step", "left_anti"), "open")
     core = circular(open_, scratch).select("step").distinct().withColumn("_core", F.lit(True))
-    left = names.join(open_.select("step").distinct(), "step", "left_semi").join(core, "step", "left")
+    left = names.join(ran.select("step"), "step", "left_anti").join(core, "step", "left")
     return out.unionByName(left.select("step", F.lit(None).cast("long").alias("level"), F.when(F.col("_core"), "circular").otherwise("blocked").alias("status")))
 
 

@@ -60,6 +60,18 @@ def test_all_circular_and_empty(spark):
     assert ran(spark, [(1, None)]) == {1: (0, "completed")} and ran(spark, []) == {}
 
 
+def test_rounds_write_no_edges(spark, monkeypatch):
+    """What a round writes are the steps that it met, not the edges that are still open."""
+    from larkspur.storage import Scratch
+
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": kept.append((name, keep(self, df, name))) or kept[-1][1])
+    edges = [(1, 0), (2, 1), (3, 2)] + [(s, 3) for s in range(10, 40)] + [(s, s - 30) for s in range(40, 70)]
+    monkeypatch.setattr(workflow, "FEW", 2)
+    assert ran(spark, edges + [(0, None)], [2]) == scheduler(edges + [(0, None)], [2])
+    assert sum("dep" in t.columns for _, t in kept) == 2  # the pairs and the sorted edges
+
+
 def test_circle_is_named(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(40, 17), (17, 3), (60, 61), (2, 60)]
     got = {r.step: r.dep for r in workflow.circle(spark.createDataFrame(edges, EDGES)).collect()}
