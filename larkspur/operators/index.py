@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,18 @@ DIMENSION = 64
 BATCH = 32
 
 
+@lru_cache(1 << 16)
+def word_class(word: str) -> int:
+    """The first byte of a word's MD5 digest."""
+    return hashlib.md5(word.encode()).digest()[0]
+
+
 def hashed_words(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
     """How many of a text's lower-case words fall into each of ``dimension`` (256 at most) classes of their MD5 digests: an embedder that needs no model."""
-    import hashlib
-
     out = np.zeros((len(texts), dimension))
     for i, text in enumerate(texts):
         for w in re.findall(r"\w+", text.lower()):
-            out[i, hashlib.md5(w.encode()).digest()[0] % dimension] += 1
+            out[i, word_class(w) % dimension] += 1
     return out
 
 

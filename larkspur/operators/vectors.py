@@ -24,7 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 #: Bytes of vectors, as doubles, and number of queries that are scored against each other in one piece.
-BLOCK, QUERIES = 64 << 20, 1 << 12
+BLOCK, QUERIES = 64 << 20, 1 << 14
+#: Vectors of which the best one stands in a query's first look, and how far single precision and rounding may be off.
+GROUP, MARGIN = 128, 2e-5
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
@@ -38,23 +40,40 @@ def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
     return out / np.where(norm > 0, norm, np.nan)
 
 
+def likely(q: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of q those rows of x, at least k, that may be among its k best: no more than ``MARGIN`` below the k-th best of the best of all groups."""
+    near = q @ x.T
+    whole = len(x) // GROUP
+    if whole < k:
+        return [np.arange(len(x))] * len(q)
+    tops = near[:, : whole * GROUP].reshape(len(q), whole, GROUP).max(axis=2)
+    least = np.partition(tops, -k, axis=1)[:, -k]
+    return [np.flatnonzero(own >= bound - np.float32(MARGIN)) for own, bound in zip(near, least)]
+
+
 def nearest(table: pa.Table, asks: pa.Table, k: int) -> pa.Table:
-    """The k rows of ``table`` (vec_id, embedding, ...) nearest to each of ``asks`` (query_id, q), with query_id and similarity."""
+    """The k rows of ``table`` (vec_id, embedding, ...) nearest to each of ``asks`` (query_id, q), with query_id and similarity.
+
+    A first look in single precision leaves few rows for each query; these are scored in double.
+    """
     ids, found, whose, sims = table["vec_id"].to_numpy(), [], [], []
     sizes = pc.fill_null(pc.list_value_length(asks["q"]), 0).to_numpy()
     for d in np.unique(sizes) if table.num_rows else ():
         of = np.flatnonzero(sizes == d)
         x, q = _matrix(table["embedding"], int(d)), _matrix(asks["q"].take(pa.array(of)), int(d))
+        # rows without a similarity come last, so they don't count where there are k others
+        whole = np.flatnonzero(~np.isnan(x).any(axis=1)) if d else np.zeros(0, np.int64)
+        light = x[whole].astype(np.float32)
         for i in range(0, len(q), 64):
-            # a sum over no coordinates is 0, but there is no similarity of empty vectors
-            near = q[i : i + 64] @ x.T if d else np.full((len(q[i : i + 64]), len(x)), np.nan)
-            near = np.floor(near * 1e6 + 0.5) / 1e6
-            order = np.where(np.isnan(near), -np.inf, near)
-            for j, own in enumerate(order):
-                least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
-                some = np.flatnonzero(own >= least)
-                best = some[np.lexsort((ids[some], -own[some]))][:k]
-                found.append(best), whose.append(np.full(len(best), of[i + j])), sims.append(near[j][best])
+            part = q[i : i + 64]
+            some = likely(part.astype(np.float32), light, k) if len(whole) >= k else None
+            for j, own in enumerate(part):
+                at = np.arange(len(x)) if some is None or np.isnan(own).any() else whole[some[j]]
+                # a sum over no coordinates is 0, but there is no similarity of empty vectors
+                near = x[at] @ own if d else np.full(len(at), np.nan)
+                near = np.floor(near * 1e6 + 0.5) / 1e6
+                best = np.lexsort((ids[at], -np.where(np.isnan(near), -np.inf, near)))[:k]
+                found.append(at[best]), whose.append(np.full(len(best), of[i + j])), sims.append(near[best])
     cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
     hits = table.take(pa.array(cat(found, np.int64)))
     return hits.append_column("query_id", asks["query_id"].take(pa.array(cat(whose, np.int64)))).append_column("similarity",
