@@ -4,7 +4,7 @@ A distinct set of word shingles is sketched by 128 min-hash values. A tree puts
 of some of their values, in a sequence of its own; sets whose signatures share a long prefix are
 neighbours there. A region is all sets with a common prefix. Regions begin at eight values and grow
 deeper one by one where they are crowded, until each has few sets; what still agrees on 32 values is
-walked in its sorted order. Within a region all sketches are compared, and pairs that may be similar are checked on their whole sets.
+dealt into blocks that all meet. Within a region all sketches are compared, and sets that may be similar on their whole shingles.
 
 Similar sets share d values of a tree with probability s**d, so a region's depth tells how many trees
 find a pair with the wanted probability. All sets have the trees that the first depth needs; sets
@@ -41,8 +41,8 @@ SHORT, LONG, STEP = 8, 32, 4
 FIRST_TREES = 4
 #: Sets that are compared in a region. Many, since the trees that a region wants grow fast with its depth.
 CROWD = 1024
-#: Spanning forests of a region that are checked where the first two have left several components.
-AGAIN = 6
+#: Blocks of so many sets whose pairs are all compared before a region is split.
+WHOLE = 2
 
 
 @cache
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, k: int, tokens: bool = False) -> DataFrame:
 def orders(sets: DataFrame, whole: bool = False) -> DataFrame:
     """(tree, cell, fp) of sets (fp, sketch, low, high) in trees low to high - 1; cell stands for the tree and the first values of its order.
 
-    With ``whole``, sets (tree, fp, sketch, root) keep their columns and get ``key``, all values of the tree's order.
+    With ``whole``, sets (tree, fp, sketch, root, n) keep their columns and get ``key``, all values of the tree's order.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +123,14 @@ def orders(sets: DataFrame, whole: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.tobytes() for k in key], pa.binary())], [*batch.schema.names, "key"])
 
     if whole:
-        return sets.select("tree", "fp", "sketch", "root").mapInArrow(keys, "tree int, fp binary, sketch binary, root binary, key binary")
+        return sets.select("tree", "fp", "sketch", "root", "n").mapInArrow(keys, "tree int, fp binary, sketch binary, root binary, n long, key binary")
     return sets.select("fp", "sketch", "low", "high").mapInArrow(first, "tree int, cell long, fp binary")
 
 
 class SortedOrders:
     """Trees whose regions are the sets with a common prefix in a tree's order."""
 
-    short, depths, crowd, again = SHORT, tuple(range(SHORT + STEP, LONG + 1, STEP)), CROWD, AGAIN
+    short, depths, crowd, whole = SHORT, tuple(range(SHORT + STEP, LONG + 1, STEP)), CROWD, WHOLE
 
     def __init__(self, threshold: float, recall: float):
         self.threshold, self.recall = threshold, recall
@@ -152,17 +152,17 @@ def link_sets(docs: DataFrame, threshold: float, recall: float, k: int, scratch:
     """Documents (doc_id, n_shingles, fp), distinct sets (fp, first_id, copies), and the components (node, root) of linked sets, None without a link."""
     sig = scratch.keep(signatures(docs, k), "signatures")
     classes = sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.any_value(
-            "sketch").alias("sketch"))
+            "sketch").alias("sketch"), F.any_value("n_shingles").alias("n"))
     classes = scratch.keep(classes, "classes")
     plan, base = SortedOrders(threshold, recall), trees_for(SHORT, threshold, recall)
     met = neighbours(classes.select("fp", "sketch", F.lit(0).alias("low"), F.lit(base).alias("high")), scratch, plan)
-    near = scratch.keep(classes.join(met.select("fp").distinct(), "fp").select("fp", "first_id", "sketch"), "near")
+    near = scratch.keep(classes.join(met.select("fp").distinct(), "fp").select("fp", "first_id", "sketch", "n"), "near")
     wanted = near.select(F.col("first_id").alias("_id")).distinct()
     texts = sized_join(docs.select("doc_id", "text"), wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     sets = scratch.keep(sized_join(signatures(texts, k, tokens=True), near.select("fp"), ["fp"], "left_semi"), "sets")
     links = Links(lambda fps: sized_join(sets, fps, ["fp"], "left_semi"), threshold, scratch)
     early = F.col("tree") < FIRST_TREES
-    complete(links, [met.where(early), met.where(~early)], near.select("fp", "sketch"), plan, base, scratch)
+    complete(links, [met.where(early), met.where(~early)], near.select("fp", "sketch", "n"), plan, base, scratch)
     return sig.select("doc_id", "n_shingles", "fp"), classes.select("fp", "first_id", "copies"), links.roots
 
 

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..storage import Scratch
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether each node of the edges (u, v) has one v at most, and none is both u and v."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the component's smallest node.
 
@@ -19,11 +27,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    was = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == was or not state[0]:
-            break
+    while not stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,5 +36,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(least, "u").select(F.explode(star).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         nxt = scratch.keep(small, "edges")
         scratch.drop(now)
-        now, was = nxt, state
+        now = nxt
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,24 +6,21 @@ similar sets share paths and others part. The paths of depth 3 are buckets; thos
 dealt into blocks. Runs repeat until a pair at the threshold is met with the wanted probability. Of
 buckets with the same sets one is looked at.
 
-Within a bucket or block all sketches are compared, and each set is joined to its most similar
-neighbours by spanning forests, so the edges grow with the sets and not with their pairs. The most
-central set of each of a block's trees stands for it and meets those of the other blocks: near copies
-leave few; where many are left, the sets differ, and three trees more split them again. The centres of the
-largest trees go to all blocks, where each set is joined to the nearest, so copies that are like their
-original alone find it. Every edge is then checked on the whole sets: a link is a true Jaccard similarity of at least the threshold.
-
-That joins large groups of copies at small cost, but leaves sets apart that are similar to few others of a
-large family. So all sets of buckets that hold several components follow their paths on until the buckets
-are small, are compared there and checked, and crowded ones get as many further trees as their depth wants.
-Classes are what the links connect.
+In the blocks of the largest buckets all sketches are compared, and each set is joined to its most similar
+neighbours by a spanning forest, so the edges grow with the sets and not with their pairs. The most
+central set of each of a block's trees stands for it; those of the largest trees go to all blocks, where each set is
+joined to the nearest. Every edge is checked on the whole sets: a link is a true Jaccard similarity of at least the threshold.
+
+That joins large groups of copies at small cost, but leaves sets apart. So in all buckets that hold several
+components, the sets whose sketches agree are compared as a whole, each with all of other components; buckets of very many
+follow their paths on first, and their sets get as many further trees as their depth wants. Classes are what the links
+connect, and all links of a class are counted, in pairs of blocks of its sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +34,23 @@ from .cells import by_cell
 from .graph import components
 from .joins import quoted, sized_join
 from .memory import give_back
-from .pairs import COORDINATES, agreement, checked
-from .regions import Links, complete, mixture
+from .pairs import COORDINATES, agreement, checked, common
+from .regions import TOKENS, Links, complete, mixture
 from .words import SHINGLE, mix, parts, shingle_sets
 
 THRESHOLD = 0.8
 RECALL = 0.995
 DEPTH = 3
-#: Trees by which what is left of a large bucket is split again, each as deep as the first.
+#: Runs are counted as if a pair in a large bucket had to meet again in one of so many trees below it.
 SUBTREES = 3
 #: Sets of a bucket that are compared at once, about.
 BLOCK = 256
+#: Blocks of a bucket from which on it is large.
+LARGE = 16
 #: A large bucket is dealt into blocks in one of so many ways, so that sets that meet again make the same edges again.
 DEALS = 3
-#: Rounds in which the roots of a large bucket's blocks are dealt anew; each leaves about one in ``BLOCK`` of near copies.
-ROUNDS = 6
+#: Sets of a block when a class's links are counted.
+MEMBERS = 1024
 #: Spanning forests of a block, and the share of equal values from which an edge needs no other beside it.
 FORESTS, SURE = 3, 0.9
 #: Sketches this far below the threshold are not similar (over four standard deviations).
@@ -114,7 +113,7 @@ def grow(x: np.ndarray, row: np.ndarray, node: np.ndarray, levels: int, threshol
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, tokens: bool = False) -> DataFrame:
-    """doc_id, fp and sketch of every document; with ``tokens``, fp and tokens of distinct sets per task.
+    """doc_id, fp, sketch and n, the size of the set, of every document; with ``tokens``, fp and tokens of distinct sets per task.
 
     fp and sketch are null where a text has no word.
     """
@@ -136,17 +135,17 @@ def signatures(docs: DataFrame, k: int = SHINGLE, tokens: bool = False) -> DataF
                 else:
                     marks = [sketch(s).tobytes() if len(s) else None for s in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, len(sets)), pa.array(prints, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "fp", "sketch"]
+                        [batch.column(0).slice(lo, len(sets)), pa.array(prints, pa.binary()), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
+                        ["doc_id", "fp", "sketch", "n"],
                     )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "fp binary, tokens binary" if tokens else "doc_id long, fp binary, sketch binary"
+        run, "fp binary, tokens binary" if tokens else "doc_id long, fp binary, sketch binary, n long"
     )
 
 
 def paths(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
-    """(path, fp): the nodes that sets (fp, sketch) reach in ``trees`` trees, each below the sets' own ``path`` if they have one."""
-    own = "path" in sets.columns
+    """(path, fp): the nodes that sets (fp, sketch) reach in ``trees`` trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +153,6 @@ def paths(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
                 n = part.num_rows
                 x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, COORDINATES)
                 root = np.repeat(mix(np.arange(1000, 1000 + trees, dtype=np.uint64)), n)
-                if own:
-                    root = mix(root + np.tile(part.column(2).to_numpy().view(np.uint64), trees))
                 row, node = grow(x, np.tile(np.arange(n), trees), root, DEPTH, threshold)
                 order = np.lexsort((node, row))
                 row, node = row[order], node[order]
@@ -163,13 +160,13 @@ def paths(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[new].view(np.int64)), part.column(0).take(pa.array(row[new]))], ["path", "fp"])
         give_back()
 
-    return sets.select("fp", "sketch", *(["path"] if own else [])).mapInArrow(run, "path long, fp binary")
+    return sets.select("fp", "sketch").mapInArrow(run, "path long, fp binary")
 
 
 class ChosenPaths:
     """Trees whose regions are the sets that reach a node; a crowded node's sets follow the tree on."""
 
-    short, depths, crowd, again = DEPTH, (4, 6, 8, 10, 12, 16), BLOCK // 2, 0
+    short, depths, crowd, whole = DEPTH, (4, 6, 8, 10, 12, 16), 2 * BLOCK, LARGE // 2
 
     def __init__(self, threshold: float, recall: float):
         self.threshold, self.recall = threshold, recall
@@ -194,7 +191,7 @@ class ChosenPaths:
         return sets.select("fp", "sketch", "low", "high").mapInArrow(run, "tree int, cell long, fp binary")
 
     def start(self, crowded: DataFrame) -> DataFrame:
-        return crowded.select("tree", "cell", "fp", "sketch", "root")
+        return crowded.select("tree", "cell", "fp", "sketch", "root", "n")
 
     def deeper(self, crowded: DataFrame, last: int, depth: int) -> DataFrame:
         threshold = self.threshold
@@ -209,7 +206,7 @@ class ChosenPaths:
                     yield pa.RecordBatch.from_arrays([took.column(0), pa.array(node.view(np.int64)), *took.columns[2:]], part.schema.names)
             give_back()
 
-        return crowded.select("tree", "cell", "fp", "sketch", "root").mapInArrow(run, "tree int, cell long, fp binary, sketch binary, root binary")
+        return self.start(crowded).mapInArrow(run, "tree int, cell long, fp binary, sketch binary, root binary, n long")
 
     def trees(self, depth: int) -> int:
         return mixture(self.threshold, lambda k: share_of_runs(self.threshold, depth, k / COORDINATES), self.recall)
@@ -248,7 +245,7 @@ def trees(n: int, edges: list[tuple[int, int]]) -> np.ndarray:
     return of
 
 
-def block_edges(x: np.ndarray, need: int, sure: int) -> tuple[list[tuple[int, int]], int, np.ndarray]:
+def block_edges(x: np.ndarray, need: int, sure: int, forests: int = FORESTS) -> tuple[list[tuple[int, int]], int, np.ndarray]:
     """The edges of a block's spanning forests, how many of them are the first's, and the centre of each set's tree in that.
 
     A tree's centre is the set that agrees most with all of the tree.
@@ -264,7 +261,7 @@ def block_edges(x: np.ndarray, need: int, sure: int) -> tuple[list[tuple[int, in
     begin = np.concatenate([[True], of[order][1:] != of[order][:-1]])
     centre = order[begin][np.searchsorted(of[order][begin], of)]
     known = trees(len(x), [e for e in first if same[e] >= sure])
-    for _ in range(FORESTS - 1):
+    for _ in range(forests - 1):
         for e in edges:
             same[e] = same[e[::-1]] = 0
         same[known[:, None] == known[None, :]] = 0
@@ -275,11 +272,11 @@ def block_edges(x: np.ndarray, need: int, sure: int) -> tuple[list[tuple[int, in
     return edges, len(first), centre
 
 
-_ELECTED = "a binary, b binary, first boolean, path long, sketch binary, weight long"
+_ELECTED = "a binary, b binary, path long, sketch binary, weight long"
 
 
 def elected(least: float):
-    """Cell function: edges (a, b) of a cell's sets, and whether the first forest has them; of a block of a large bucket also its centres, as (a, path, sketch, weight), the weight being the tree's sets."""
+    """Cell function: edges (a, b) of a spanning forest of a cell's sets; of a block of a large bucket also its centres, as (a, path, sketch, weight), the weight being the tree's sets."""
     need, sure = math.ceil(least * COORDINATES), math.ceil(SURE * COORDINATES)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -288,7 +285,7 @@ def elected(least: float):
         part = part.take(pa.array([once[p] for p in sorted(once)]))
         fps, path = part.column(0), part.column(2)[0].as_py()
         x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        edges, n_first, centre = block_edges(x, need, sure)
+        edges, _, centre = block_edges(x, need, sure, 1)
         kept, size = np.unique(centre, return_counts=True) if part.column(3)[0].as_py() > 1 else (np.zeros(0, np.int64),) * 2
         if not edges and not len(kept):
             return None
@@ -297,8 +294,8 @@ def elected(least: float):
         b = pa.array([*[e[1] for e in edges], *[None] * len(kept)], pa.int64())
         sketches = pa.array([None] * n + [x[i].tobytes() for i in kept.tolist()], pa.binary())
         weights = pa.array([None] * n + size.tolist(), pa.int64())
-        return pa.RecordBatch.from_arrays([fps.take(a), fps.take(b), pa.array(np.arange(len(a)) < n_first), pa.array([path] * len(a),
-                    pa.int64()), sketches, weights], ["a", "b", "first", "path", "sketch", "weight"])
+        return pa.RecordBatch.from_arrays([fps.take(a), fps.take(b), pa.array([path] * len(a), pa.int64()), sketches, weights],
+            ["a", "b", "path", "sketch", "weight"])
 
     return run
 
@@ -327,104 +324,109 @@ def attached(least: float):
 
 
 def candidates(scratch: Scratch, met: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, first), a < b: pairs of sets of buckets (path, fp, size) whose sketches say that they may be similar; first forests' and leaders' edges are ``first``."""
-    sketches, out, level = classes.select("fp", "sketch"), [], 0
-    while True:
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        deal = F.when(blocks > 1, F.pmod(F.xxhash64("path", F.lit(level)), F.lit(DEALS)))
-        mine = F.pmod(F.xxhash64("fp", deal, F.lit(level)), blocks)
-        cells = met if "sketch" in met.columns else met.join(sketches, "fp")
-        cells = cells.select("fp", "sketch", "path", blocks.alias("blocks"), F.xxhash64("path", mine, F.lit(level)).alias("cell"))
-        got = scratch.keep(by_cell(cells, "cell", elected(threshold - SLACK), _ELECTED), "edges")
-        out.append(got.where("b is not null").select("a", "b", "first"))
-        level += 1
-        left = got.where("b is null").select("path", F.col("a").alias("fp"), "sketch", "weight")
-        if left.isEmpty():
-            break
+    """(a, b), a < b: pairs of sets of buckets (path, fp, size) whose sketches say that they may be similar, few for each set."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    deal = F.when(blocks > 1, F.pmod(F.xxhash64("path"), F.lit(DEALS)))
+    mine = F.pmod(F.xxhash64("fp", deal), blocks)
+    cells = met.join(classes.select("fp", "sketch"), "fp")
+    cells = cells.select("fp", "sketch", "path", blocks.alias("blocks"), F.xxhash64("path", mine).alias("cell"))
+    got = scratch.keep(by_cell(cells, "cell", elected(threshold - SLACK), _ELECTED), "edges")
+    edges = got.where("b is not null").select("a", "b")
+    centres = got.where("b is null").select("path", F.col("a").alias("fp"), "sketch", "weight")
+    if not centres.isEmpty():
         # a bucket's leaders are as many as a block at most, so what its blocks get of them is about as much as they hold
         rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("weight"), "fp"))
-        leaders = left.withColumn("_rank", rank).where(F.col("_rank") <= BLOCK).drop("_rank", "weight")
+        leaders = centres.withColumn("_rank", rank).where(F.col("_rank") <= BLOCK).drop("_rank", "weight")
         large = cells.where("blocks > 1")
         spread = leaders.join(large.select("path", "cell").distinct(), "path").select("fp", "sketch", F.lit(True).alias("lead"), "cell")
         both = spread.unionByName(large.select("fp", "sketch", F.lit(False).alias("lead"), "cell"))
-        near = scratch.keep(by_cell(both, "cell", attached(threshold - SLACK), "a binary, b binary"), "leaders")
-        out.append(near.withColumn("first", F.lit(True)))
-        if level == ROUNDS:
-            break
-        met = scratch.keep(sized(left.drop("weight")), "left")
-        many = met.where(F.col("size") > BLOCK)
-        if not many.isEmpty():
-            split = paths(many, threshold, SUBTREES).join(many.groupBy("fp").agg(F.any_value("sketch").alias("sketch")), "fp")
-            met = met.where(F.col("size") <= BLOCK).unionByName(sized(split.select("path", "fp", "sketch")))
-    edges = reduce(DataFrame.unionByName, out).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "first")
-    return scratch.keep(edges.groupBy("a", "b").agg(F.bool_or("first").alias("first")), "candidates")
+        edges = edges.unionByName(by_cell(both, "cell", attached(threshold - SLACK), "a binary, b binary"))
+    return scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+
+def counted(threshold: float):
+    """Cell function: (fp, links) of sets (cell, fp, copies, block, tokens): the documents of the sets that each one is similar to, in a cell of two blocks those of the other block."""
+
+    def run(cell: pa.RecordBatch) -> pa.RecordBatch | None:
+        copies, block = (cell.column(i).to_numpy() for i in (2, 3))
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in cell.column(4)]
+        size, out = np.array([len(t) for t in sets]), []
+        for lo, same in common(sets):
+            hi = lo + len(same)
+            near = same >= threshold * (size[lo:hi, None] + size[None, :] - same) - 1e-9
+            if block.min() < block.max():
+                near &= block[lo:hi, None] != block[None, :]
+            near[np.arange(hi - lo), np.arange(lo, hi)] = False
+            out.append((near * copies[None, :]).sum(axis=1))
+        return pa.RecordBatch.from_arrays([cell.column(1), pa.array(np.concatenate(out))], ["fp", "links"])
 
+    return run
 
-def sized(left: DataFrame) -> DataFrame:
-    """(path, fp, sketch, size) of the buckets of two sets or more."""
-    size = left.groupBy(F.col("path").alias("_p")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return left.join(size, F.col("path") == F.col("_p")).drop("_p")
 
+def link_counts(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(fp, links) of all sets (fp, root, copies, n) of classes: every two sets (fp, tokens) of a class are compared, in pairs of blocks."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(TOKENS // 2))).cast("int")
+    held = members.groupBy(F.col("root").alias("_root")).agg(blocks.alias("blocks")).where("blocks > 1")
+    rows = members.join(held, F.col("root") == F.col("_root"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("_root")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("root", F.least("block", "_other"), F.greatest("block", "_other"))
+    rows = rows.select(cell.alias("cell"), "fp", "copies", "block").join(sets, "fp").select("cell", "fp", "copies", "block", "tokens")
+    return by_cell(rows, "cell", counted(threshold), "fp binary, links long").groupBy("fp").agg(F.sum("links").alias("links"))
 
-def link_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+
+def link_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = SHINGLE, counts: bool = True) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, fp) and the classes of equal sets (fp, class_id, first_id, copies, links).
 
     The second table has the classes of several documents or with links; class_id is the smallest
     doc_id of the class's connected component, links the number of documents in the other classes that
-    a checked link joins to it. All that is in between stays on shared storage.
+    are similar to it, null without ``counts``. All that is in between stays on shared storage.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     sig = scratch.keep(signatures(docs, k), "signatures")
     classes = scratch.keep(sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias(
-                "copies"), F.any_value("sketch").alias("sketch")), "classes")
+                "copies"), F.any_value("sketch").alias("sketch"), F.any_value("n").alias("n")), "classes")
     met = buckets(scratch, classes, threshold, runs_for(threshold, recall))
-    pairs = candidates(scratch, met, classes, threshold)
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ends = scratch.keep(ends.join(classes, "fp").select("fp", "first_id", "copies"), "ends")
-    wanted = ends.select(F.col("first_id").alias("_id")).distinct()
-    texts = sized_join(docs.select("doc_id", "text"), wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    sets = scratch.keep(sized_join(signatures(texts, k, tokens=True), ends.select("fp"), ["fp"], "left_semi"), "sets")
-    # the further forests' edges matter only between sets that the first ones' have left apart
-    found = scratch.keep(checked(pairs.where("first"), sets, threshold), "links")
-    members = components(found, scratch)
-    side = lambda c: members.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.where("not first").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = scratch.keep(rest.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b"), "rest")
-    if not rest.isEmpty():
-        found = scratch.keep(found.unionByName(checked(rest, sets, threshold)), "links")
-        members = components(found, scratch)
-    scratch.drop(sets, rest)
 
     def tokens(fps: DataFrame) -> DataFrame:
-        ids = fps.join(classes, "fp").select(F.col("first_id").alias("_id")).distinct()
-        rows = sized_join(docs.select("doc_id", "text"), scratch.keep(ids, "ids"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-        return sized_join(signatures(rows, k, tokens=True), fps, ["fp"], "left_semi")
-
-    # what the blocks' trees have left apart: all sets of all buckets with several components, split on along their paths
-    links = Links(tokens, threshold, scratch, pairs.select("a", "b"), found, members)
-    first = met.select(F.lit(0).alias("tree"), F.col("path").alias("cell"), "fp")
-    complete(links, [first], classes.select("fp", "sketch"), ChosenPaths(threshold, recall), 0, scratch)
-    found, members = links.found, links.roots
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = ends.select(F.col("fp").alias("b"), "copies")
-    links = sized_join(both, copies, ["b"]).groupBy(F.col("a").alias("fp")).agg(F.sum("copies").alias("links"))
-    several = classes.select("fp", "first_id", "copies").join(links, "fp", "left").join(members.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    several = scratch.keep(several.where("copies > 1 or links is not null").withColumn("root", F.coalesce("root", "fp")), "several")
+        ids = scratch.keep(fps.join(classes, "fp").select("fp", F.col("first_id").alias("_id")), "ids")
+        rows = sized_join(docs.select("doc_id", "text"), ids.select("_id").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+        return sized_join(signatures(rows, k, tokens=True), ids.select("fp"), ["fp"], "left_semi").dropDuplicates(["fp"])
+
+    links = Links(tokens, threshold, scratch)
+    large = met.where(F.col("size") > BLOCK * LARGE)
+    if not large.isEmpty():
+        pairs = candidates(scratch, large, classes, threshold)
+        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        sets = scratch.keep(tokens(ends), "sets")
+        links.roots = scratch.keep(components(scratch.keep(checked(pairs, sets, threshold), "links"), scratch), "roots")
+        scratch.drop(sets)
+    # what that has left apart: all sets of all buckets with several components
+    first = met.select(F.lit(0).alias("tree"), F.col("path").alias("cell"), "fp", "size")
+    complete(links, [first], classes.select("fp", "sketch", "n"), ChosenPaths(threshold, recall), 0, scratch)
+    if links.roots is None:
+        members = classes.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+    else:
+        members = links.roots
+    several = classes.select("fp", "first_id", "copies", "n").join(members.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    several = scratch.keep(several.where("copies > 1 or root is not null").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp")), "several")
     least = several.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    result = scratch.keep(several.join(least, "root").select("fp", "class_id", "first_id", "copies", F.coalesce("links", F.lit(0)).cast(
-                "long").alias("links")), "classes")
-    return sig.select("doc_id", "fp"), result
+    result = several.join(least, "root").select("fp", "class_id", "first_id", "copies")
+    if counts:
+        linked = several.where("linked").select("fp", "root", "copies", "n")
+        result = result.join(link_counts(linked, tokens(linked.select("fp")), threshold), "fp", "left").withColumn("links", F.coalesce("links", F.lit(0)).cast("long"))
+    else:
+        result = result.withColumn("links", F.lit(None).cast("long"))
+    return sig.select("doc_id", "fp"), scratch.keep(result, "classes")
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id and n_links of every document, one row each.
 
     ``class_id`` is the smallest doc_id that similar documents reach one another by (a document's own
-    id if it has none). ``n_links`` is the number of other documents that a checked link joins to it:
-    those with the same set of 5-word shingles, and those of sets with a Jaccard similarity of at
-    least ``threshold`` to which it is joined in a spanning forest. In a class of many near copies not
-    every pair is a link of its own, but a document of a class of several has at least one. Texts of
+    id if it has none). ``n_links`` is the number of other documents that are similar to it: those with the same
+    set of 5-word shingles, and those of all sets of its class with a Jaccard similarity of at least ``threshold``. Texts of
     1 to 4 words are one shingle; texts without words (null, empty) are similar to nothing. Documents
     with a null id take part; their class_id is null if no other id is in the class.
     """
@@ -443,7 +445,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     Classes are those of ``join_documents``. Rows that agree in id and shingle set, so that the
     smallest id doesn't tell them apart, are reduced to one of them.
     """
-    rows, classes = link_classes(docs, threshold, recall)
+    rows, classes = link_classes(docs, threshold, recall, counts=False)
     scratch = Scratch(docs.sparkSession, "keep-one")
     member = sized_join(rows, classes, ["fp"])
     # the first class of a component keeps its smallest id; every other (class, id) goes

@@ -28,6 +28,29 @@ def agreement(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def common(sets: list[np.ndarray], rows: int = 512, columns: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
+    """How many values each two sets share, ``rows`` sets against all at a time: (first set, counts).
+
+    The sets are 0 and 1 in columns of the values that several sets have; products of those are counts.
+    """
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    wide = int((n > 1).sum())
+    cuts = np.searchsorted(column, np.arange(0, wide + columns, columns))
+    for lo in range(0, len(sets), rows):
+        some = min(rows, len(sets) - lo)
+        same = np.zeros((some, len(sets)))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            x = np.zeros((len(sets), min(columns, wide - k * columns)), np.float32)
+            x[owner[a:b], column[a:b] - k * columns] = 1
+            same += x[lo : lo + some] @ x.T
+        yield lo, same
+
+
 def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of sets (fp, tokens) that are similar, in either order.
 

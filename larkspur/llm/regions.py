@@ -2,9 +2,10 @@
 
 A plan puts sets into first regions, tree by tree, and can split a region further, so that similar sets stay
 together with a known probability. A region is crowded by the sets outside its largest component:
-few of them meet all of that component, dealt out in blocks; many are split again. Pairs whose sketches agree are
-checked on their whole sets. Sets whose regions stay crowded, and those that they might have met, get as many
-further trees as the depth of their regions wants.
+few of them meet all of that component, dealt out in blocks, and up to ``plan.whole`` blocks of sets all meet one
+another; more are split again, and those that no depth parts meet in pairs of blocks, however many they are. Sets whose
+sketches agree are compared as a whole, every pair of them that isn't linked yet. Sets whose regions are split, and
+those that they might have met, get as many further trees as the depth of their regions wants.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Callable
 from functools import reduce
+from hashlib import blake2b
 from itertools import pairwise
 from typing import Protocol
 
@@ -24,13 +26,12 @@ from pyspark.sql import functions as F
 from ..storage import Scratch
 from .cells import by_cell
 from .graph import components
-from .pairs import COORDINATES, agreement, checked
-from .scan import running
+from .pairs import COORDINATES, agreement, common
 
-#: Spanning forests of a region whose edges are checked; where a doubtful edge fails, another is beside it.
-FORESTS = 2
-#: Sketches this far below the threshold are not similar (about three standard deviations).
-SLACK = 0.09
+#: Sketches this far below the threshold are not similar (about three and a half standard deviations).
+SLACK = 0.12
+#: Shingles of the sets that are compared in a task at once, about; more are dealt out in two halves of it.
+TOKENS = 1 << 22
 
 
 class Plan(Protocol):
@@ -40,14 +41,14 @@ class Plan(Protocol):
     depths: tuple[int, ...]
     #: Sets of a region outside its largest component that are compared with all others.
     crowd: int
-    #: Spanning forests that are checked where a region still holds several components, none if 0.
-    again: int
+    #: Blocks of ``crowd`` sets whose pairs are all compared before a region is split.
+    whole: int
 
     def first(self, sets: DataFrame) -> DataFrame:
         """(tree, cell, fp) of sets (fp, sketch, low, high) in trees low to high - 1."""
 
     def start(self, crowded: DataFrame) -> DataFrame:
-        """What ``deeper`` wants of rows (tree, cell, fp, sketch, root)."""
+        """What ``deeper`` wants of rows (tree, cell, fp, sketch, root, n)."""
 
     def deeper(self, crowded: DataFrame, last: int, depth: int) -> DataFrame:
         """The rows in the cells of a larger depth."""
@@ -100,18 +101,25 @@ def mixed(rows: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, depth: int, crowd: int) -> DataFrame:
-    """(cell, fp, sketch, root, depth) of cells with few others: the largest component in blocks, each with all others."""
-    blocks = F.ceil((F.col("size") - F.col("others")) / F.lit(crowd)).cast("int")
-    at = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("fp"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    """(cell, fp, sketch, root, n, depth) of cells: where others are few, the largest component in blocks, each with all others; else all pairs of blocks."""
+    few, of = F.col("others") <= crowd, lambda n: F.ceil(n / F.lit(crowd)).cast("int")
+    blocks = F.when(few, F.greatest(of(F.col("size") - F.col("others")), F.lit(1))).otherwise(of(F.col("size")))
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    met = F.transform(F.filter(every, lambda b: b != own), lambda b: F.least(b, own).cast("long") * blocks + F.greatest(b, own))
+    at = F.when(few & F.col("main"), F.array(own.cast("long"))).when(few, every.cast("array<long>")).otherwise(met)
     placed = rows.withColumn("_block", F.explode(at))
-    return placed.select(F.xxhash64("cell", "_block").alias("cell"), "fp", "sketch", "root", F.lit(depth).alias("depth"))
+    return placed.select(F.xxhash64("cell", "_block").alias("cell"), "fp", "sketch", "root", "n", F.lit(depth).alias("depth"))
 
 
 def regions(met: DataFrame, sketches: DataFrame, roots: DataFrame | None, scratch: Scratch, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
-    """Regions of several components (cell, fp, sketch, root, depth), as deep as it needs for ``plan.crowd`` others at most; and the crowded first regions (cell, fp), None without one."""
-    rows = mixed(with_roots(met.select("tree", "cell", "fp"), roots))
-    rows = scratch.keep(rows.join(sketches, "fp").select("tree", "cell", "fp", "sketch", "root", "size", "others", "main"), "regions")
-    few = F.col("others") <= plan.crowd
+    """Regions of several components (cell, fp, sketch, root, n, depth), as deep as it needs for ``plan.crowd`` others or ``plan.whole`` blocks at most; and the first regions that are split (cell, fp), None without one."""
+    if roots is None:  # nothing is linked yet: all sets are others
+        rows = met.select("tree", "cell", "fp", F.col("fp").alias("root"), "size", F.col("size").alias("others"), F.lit(False).alias("main"))
+    else:
+        rows = mixed(with_roots(met.select("tree", "cell", "fp"), roots))
+    rows = scratch.keep(rows.join(sketches, "fp").select("tree", "cell", "fp", "sketch", "root", "n", "size", "others", "main"), "regions")
+    few = (F.col("others") <= plan.crowd) | (F.col("size") <= plan.crowd * plan.whole)
     out = [dealt(rows.where(few), plan.short, plan.crowd)]
     crowded = rows.where(~few)
     if crowded.isEmpty():
@@ -127,92 +135,117 @@ def regions(met: DataFrame, sketches: DataFrame, roots: DataFrame | None, scratc
             break
         crowded = scratch.keep(crowded, "crowded")
     else:
-        walked = running(crowded.select("cell", "fp", "sketch", "root", F.lit(1).cast("long").alias("one")), ["sketch", "fp"], scratch, sums=("one",), segment="cell")
-        place = F.floor((F.col("one_run") - 1) / plan.crowd)
-        # the last of a stretch begins the next one too, so the walk has no gap
-        both = F.when(F.col("one_run") % plan.crowd == 0, F.array(place, place + 1)).otherwise(F.array(place))
-        walk = walked.withColumn("_at", F.explode(both))
-        out.append(walk.select(F.xxhash64("cell", "_at").alias("cell"), "fp", "sketch", "root", F.lit(plan.depths[-1]).alias("depth")))
+        out.append(dealt(crowded, plan.depths[-1], plan.crowd))
     return reduce(DataFrame.unionByName, out), first
 
 
-def compared(need: int, forests: int):
-    """Cell function: pairs (a, b) of a region's sets in different components whose sketches share ``need`` values: ``forests`` spanning forests of the best, without an edge in common."""
+def digest(names: list[bytes], *more: int) -> int:
+    """64 bits that stand for sets and numbers."""
+    return int.from_bytes(blake2b(b"".join(names) + repr(more).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def alike(need: int):
+    """Cell function: the sets of a region that may be linked, (cell, fp, root) with a cell for each group that pairs of different components whose sketches share ``need`` values connect.
+
+    A group of more than ``TOKENS`` shingles is dealt out in pairs of its parts.
+    """
 
     def run(cell: pa.RecordBatch) -> pa.RecordBatch | None:
-        names, roots = cell.column(1).to_pylist(), cell.column(3).to_pylist()
+        names, roots, sizes = (cell.column(i).to_pylist() for i in (1, 3, 4))
         once = {p: i for i, p in enumerate(names)}
         order = [once[p] for p in sorted(once)]
         x = np.frombuffer(b"".join(cell.column(2).take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, COORDINATES)
         number = {r: i for i, r in enumerate(dict.fromkeys(roots[i] for i in order))}
         of = np.array([number[roots[i]] for i in order])
-        same = agreement(x)
-        i, j = np.nonzero(np.triu((same >= need) & (of[:, None] != of[None, :]), 1))
+        i, j = np.nonzero(np.triu((agreement(x) >= need) & (of[:, None] != of[None, :]), 1))
         if not len(i):
             return None
-        best = np.argsort(-same[i, j].astype(np.int64), kind="stable")
-        i, j = i[best], j[best]
-        chosen = np.zeros(0, np.int64)
-        for _ in range(forests):
-            left = np.setdiff1d(np.arange(len(i)), chosen, assume_unique=True)
-            chosen = np.concatenate([chosen, left[spanning(of[i[left]], of[j[left]], len(number))]])
-        fps = pa.array([names[k] for k in order], pa.binary())
-        return pa.RecordBatch.from_arrays([fps.take(pa.array(i[chosen])), fps.take(pa.array(j[chosen]))], ["a", "b"])
+        groups: dict[int, list[int]] = {}
+        for k, top in enumerate(connected(i, j, len(order))):
+            groups.setdefault(top, []).append(order[k])
+        out = []
+        for group in groups.values():
+            if len(group) == 1:
+                continue
+            key = digest([names[k] for k in group])
+            part = np.cumsum([sizes[k] for k in group]) // (TOKENS // 2)
+            last = int(part[-1])
+            for k, p in zip(group, (part - part[0]).tolist() if last else [0] * len(group)):
+                met = [(min(p, q), max(p, q)) for q in range(last + 1) if q != p] if last else [(0, 0)]
+                out += [(digest([], key, *m) if last else key, names[k], roots[k]) for m in met]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["cell", "fp", "root"])
 
     return run
 
 
-def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the edges between n nodes make a spanning forest, the first ones first."""
-    up, chosen = list(range(n)), []
+def linked(threshold: float):
+    """Cell function: of sets (cell, fp, root, tokens), the components that links between these join: (a, b), a being the least root of those joined, b each other."""
+
+    def run(cell: pa.RecordBatch) -> pa.RecordBatch | None:
+        names, roots = cell.column(1).to_pylist(), cell.column(2).to_pylist()
+        once = {p: i for i, p in enumerate(names)}
+        order = [once[p] for p in sorted(once)]
+        known = sorted(set(roots))
+        number = {r: i for i, r in enumerate(known)}
+        of = np.array([number[roots[i]] for i in order])
+        sets = [np.frombuffer(cell.column(3)[i].as_buffer(), np.uint64) for i in order]
+        found = []
+        for lo, same in common(sets):
+            total = np.array([len(s) for s in sets])
+            union = total[lo : lo + len(same), None] + total[None, :] - same
+            i, j = np.nonzero((same >= threshold * union - 1e-9) & (of[lo : lo + len(same), None] != of[None, :]))
+            found.append((i[j > i + lo] + lo, j[j > i + lo]))
+        i, j = (np.concatenate(c) for c in zip(*found))
+        joined = [(top, b) for b, top in enumerate(connected(of[i], of[j], len(known))) if top != b]
+        return pa.RecordBatch.from_arrays([pa.array([known[k] for k in c], pa.binary()) for c in zip(*joined)], ["a", "b"]) if joined else None
+
+    return run
 
-    def top(v: int) -> int:
-        while up[v] != v:
-            up[v] = v = up[up[v]]
-        return v
 
-    for at, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
-        p, q = top(p), top(q)
-        if p != q:
-            up[p] = q
-            chosen.append(at)
-            if len(chosen) == n - 1:
-                break
-    return np.array(chosen, np.int64)
+def connected(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
+    """For each of n nodes the smallest one that the edges connect it with."""
+    of = np.arange(n)
+    while True:
+        low = of.copy()
+        np.minimum.at(low, a, of[b])
+        np.minimum.at(low, b, of[a])
+        low = low[low]
+        if (low == of).all():
+            return of.tolist()
+        of = low
 
 
 class Links:
-    """Checked links between sets, and their components, found step by step."""
+    """Components of linked sets, found step by step."""
 
-    def __init__(self, tokens: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch, tested: DataFrame | None = None,
-        found: DataFrame | None = None, roots: DataFrame | None = None):
-        """``tokens`` gives the whole sets (fp, tokens) of (fp); what is ``tested`` and ``found`` (a, b), a < b, and the ``roots`` (node, root) may be known in part."""
+    def __init__(self, tokens: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch):
+        """``tokens`` gives the whole sets (fp, tokens) of (fp)."""
         self.tokens, self.threshold, self.scratch = tokens, threshold, scratch
-        self.tested, self.found, self.roots = tested, found, roots
+        self.tested: DataFrame | None = None
+        #: (node, root) of the components, None while there is none.
+        self.roots: DataFrame | None = None
 
-    def look(self, cells: DataFrame, forests: int = FORESTS) -> None:
-        """Check the pairs of these regions, apart from those that were."""
+    def look(self, cells: DataFrame) -> None:
+        """Find the links between the components that meet in these regions; groups of sets that have been compared are not again."""
         need = math.ceil((self.threshold - SLACK) * COORDINATES)  # sketches below that are not similar
-        rows = cells.select("cell", "fp", "sketch", "root")
-        pairs = by_cell(rows, "cell", compared(need, forests), "a binary, b binary").distinct()
+        rows = cells.select("cell", "fp", "sketch", "root", "n")
+        groups = by_cell(rows, "cell", alike(need), "cell long, fp binary, root binary").dropDuplicates(["cell", "fp"])
         if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = self.scratch.keep(pairs, "pairs")
-        if pairs.isEmpty():
+            groups = groups.join(self.tested, "cell", "left_anti")
+        groups = self.scratch.keep(groups, "groups")
+        if groups.isEmpty():
             return
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        new = self.scratch.keep(checked(pairs, self.tokens(ends), self.threshold), "links")
+        own = groups.select("cell").distinct()
+        self.tested = own if self.tested is None else self.tested.unionByName(own)
+        whole = groups.join(self.tokens(groups.select("fp").distinct()), "fp").select("cell", "fp", "root", "tokens")
+        new = self.scratch.keep(by_cell(whole, "cell", linked(self.threshold), "a binary, b binary").distinct(), "links")
         if new.isEmpty():
             return
         if self.roots is None:
-            self.found, self.roots = new, self.scratch.keep(components(new, self.scratch), "roots")
+            self.roots = self.scratch.keep(components(new, self.scratch), "roots")
             return
         # only components that the new links join change
-        self.found = self.found.unionByName(new)
-        side = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        ends = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        moved = self.scratch.keep(components(ends, self.scratch).select(F.col("node").alias("_old"), F.col("root").alias("_new")), "moved")
+        moved = self.scratch.keep(components(new, self.scratch).select(F.col("node").alias("_old"), F.col("root").alias("_new")), "moved")
         kept = self.roots.join(moved, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
         fresh = moved.join(self.roots.select("node"), F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_new").alias("root"))
         self.roots = self.scratch.keep(kept.unionByName(fresh), "roots")
@@ -223,21 +256,15 @@ class Links:
 
 
 def complete(links: Links, met: list[DataFrame], sketches: DataFrame, plan: Plan, base: int, scratch: Scratch) -> None:
-    """Find the links between the sets of first regions (tree, cell, fp), one table after the other; ``base`` trees have been grown."""
+    """Find the links between the sets of first regions (tree, cell, fp, size), one table after the other; ``base`` trees have been grown."""
     cells, crowds, done = None, [], base
     for part in met:
         some, crowd = regions(part, sketches, links.roots, scratch, plan)
-        some = scratch.keep(some, "cells")
         links.look(some)
         cells = some if cells is None else cells.unionByName(some)
         crowds += [crowd] if crowd is not None else []
-    while crowds or plan.again:
+    while crowds:
         rest = links.again(cells)
-        if plan.again:
-            links.look(rest, plan.again)
-            if not crowds:
-                return
-            rest = links.again(rest)
         needs = reduce(lambda c, d: c.when(F.col("depth") == d, F.lit(plan.trees(d))), plan.depths, F.when(F.col("depth") == plan.short, F.lit(0)))
         high = rest.groupBy("fp").agg(F.max(needs).alias("high")).where(F.col("high") > done)
         if high.isEmpty():
@@ -248,7 +275,6 @@ def complete(links: Links, met: list[DataFrame], sketches: DataFrame, plan: Plan
         open_ = crowd.join(around, "cell").groupBy("fp").agg(F.max("high").alias("high"))
         open_ = scratch.keep(sketches.join(open_, "fp").withColumn("low", F.lit(done)), "open")
         cells, crowd = regions(neighbours(open_, scratch, plan), sketches, links.roots, scratch, plan)
-        cells = scratch.keep(cells, "cells")
         links.look(cells)
         crowds += [crowd] if crowd is not None else []
         done = open_.agg(F.max("high")).first()[0]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,3 +541,46 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     one = p.near_duplicates(spark, good, sf)
     assert {r["doc_id"] for r in one.collect()} == set(classes(kept, brute_links(kept)).values()) and one.columns == docs.columns
     assert p.run(spark, sf).count() > 0
+
+
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """In a family whose members are partly similar, n_links is all similar documents, copies too, over several blocks of a class."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    rng = random.Random(8)
+    texts = {}
+    for i in range(150):
+        w = [f"w{j}" for j in range(120)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    texts |= {150 + i: texts[i % 20] for i in range(30)}
+    n = Counter(x for p in brute_links(texts) for x in p)
+    got = jaccard.join_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: n[i] for i in texts}
+
+
+def test_regions_compare_every_pair():
+    """One link among very many pairs that are nearly similar is found, and groups of many shingles are dealt out with every pair in a cell."""
+    from larkspur.llm import regions
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 2**62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:320], rng.integers(1, 2**62, 80).astype(np.uint64)])) for _ in range(40)]  # 0.667 each
+    sets[33] = np.unique(np.concatenate([sets[5][:380], rng.integers(1, 2**62, 20).astype(np.uint64)]))
+    names = [bytes([i]) * 16 for i in range(40)]
+    sketches = [jaccard.sketch(s).tobytes() for s in sets]
+    cell = pa.RecordBatch.from_arrays([pa.array([1] * 40, pa.int64()), pa.array(names), pa.array(sketches), pa.array(names), pa.array([len(s) for s in sets])], ["cell", "fp", "sketch", "root", "n"])
+    for most in (1 << 22, 4000):
+        regions.TOKENS, was = most, regions.TOKENS
+        got = regions.alike(64)(cell).to_pylist()
+        regions.TOKENS = was
+        cells = defaultdict(list)
+        for r in got:
+            cells[r["cell"]].append(r["fp"])
+        assert (len(cells) > 1) == (most == 4000) and all(sum(len(sets[f[0]]) for f in c) <= 5000 or most > 4000 for c in cells.values())
+        assert {(a, b) for c in cells.values() for a in c for b in c} == {(a, b) for a in names for b in names}
+        links = set()
+        for k, c in cells.items():
+            out = regions.linked(0.8)(pa.RecordBatch.from_arrays([pa.array([k] * len(c)), pa.array(c), pa.array(c), pa.array([sets[f[0]].tobytes() for f in c])], ["cell", "fp", "root", "tokens"]))
+            links |= {tuple(r.values()) for r in out.to_pylist()} if out is not None else set()
+        assert links == {(names[5], names[33])}
